@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from askloom.llm import token_counts
+from askloom.llm import quality_rules, token_counts
 
 
 def queries() -> dict:
-    return {"op6_token_counts": token_counts.op6_token_counts}
+    return {
+        "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_token_counts": token_counts.op6_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": quality_rules.oracle()}
