@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, **extra: str) -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("ASKLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
