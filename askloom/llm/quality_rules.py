@@ -24,7 +24,7 @@ LEAST_WORDS = 20
 MEASURES = ("word_len", "symbols", "dup_lines", "repeats")
 LEAST = 200
 REACH = 4
-SPREAD = {"word_len": 400, "symbols": 50, "dup_lines": 60, "repeats": 40}
+SPREAD = {"word_len": 400, "symbols": 50, "dup_lines": 90, "repeats": 60}
 BROADCAST_ROWS = 20_000
 
 
