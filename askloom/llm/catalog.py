@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from askloom.llm import quality_rules, token_counts
+from askloom.llm import html_extraction, quality_rules, token_counts, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op3_warc_zip": warc_zip.op3_warc_zip,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op9_html_extraction": html_extraction.op9_html_extraction,
     }
 
 
