@@ -15,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.oracle()}
+    return {"op3_warc_zip": warc_zip.ORACLE, "op4_quality_rules": quality_rules.oracle()}

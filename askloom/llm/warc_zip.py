@@ -223,3 +223,13 @@ def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+    WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+    v AS (
+      SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first, list_transform(range(8), lambda g: list_reduce(
+        list_transform(range(5), lambda j: strpos('0123456789abcdef', x[(5 * g + j + 1)::INT]) - 1), lambda a, b: 16 * a + b)) AS v FROM d)
+    SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((v[(k // 4 + 1)::INT] >> (15 - 5 * (k % 4))) & 31))::INT, 1)), '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM v"""
