@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from askloom.llm import html_extraction, quality_rules, token_counts, warc_zip
+from askloom.llm import html_extraction, packing, quality_rules, token_counts, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op3_warc_zip": warc_zip.op3_warc_zip,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_token_counts": token_counts.op6_token_counts,
