@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askloom.llm import html_extraction, packing, quality_rules, token_counts, warc_zip
+from askloom.llm import decontamination, html_extraction, packing, quality_rules, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_token_counts": token_counts.op6_token_counts,
         "op9_html_extraction": html_extraction.op9_html_extraction,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_zip": warc_zip.ORACLE, "op4_quality_rules": quality_rules.oracle()}
+    return {"op3_warc_zip": warc_zip.ORACLE, "op4_quality_rules": quality_rules.oracle(), "op10_decontamination": decontamination.ORACLE}
