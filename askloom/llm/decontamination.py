@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askloom.llm.common import cut, lower_ascii, table, written
+from askloom.llm.common import cut, held, lower_ascii, table, written
 
 SIZE = 10
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,7 +53,8 @@ def windows(items: DataFrame, size: int = SIZE, key: str = "item_id", text: str
 def index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The written postings id, h, pos, term of the given terms."""
     own = keys(docs, key, text)
-    out = own.select(*DOC, F.posexplode(tokens(F.col("t"))).alias("pos", "term")).join(bounded(terms), "term")
+    own = own.select(*DOC, held(tokens(F.col("t"))).alias("w"))
+    out = own.select(*DOC, F.posexplode("w").alias("pos", "term")).join(bounded(terms), "term")
     return written(out.select(*DOC, "pos", "term"), "postings")
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm.common import SPACE, cut, table, words, written
+from askloom.llm.common import SPACE, cut, held, table, words, written
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -31,7 +31,7 @@ BROADCAST_ROWS = 20_000
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed."""
     own = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    own = own.withColumn("_w", F.transform(words(F.col("_t")), lambda w: F.xxhash64(w)))
+    own = own.withColumn("_w", held(F.transform(words(F.col("_t")), lambda w: F.xxhash64(w))))
     own = own.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.regexp_replace(x, SPACE, "") != ""))
     own = own.withColumn("n_words", F.size("_w").cast("long"))
     last = F.col("n_words") - WINDOW
