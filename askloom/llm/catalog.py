@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askloom.llm import decontamination, html_extraction, packing, quality_rules, token_counts, warc_zip
+from askloom.llm import decontamination, html_extraction, ngram_join, packing, quality_rules, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op3_warc_zip": warc_zip.op3_warc_zip,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_html_extraction": html_extraction.op9_html_extraction,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_zip": warc_zip.ORACLE, "op4_quality_rules": quality_rules.oracle(), "op10_decontamination": decontamination.ORACLE}
+    return {"op3_warc_zip": warc_zip.ORACLE, "op4_quality_rules": quality_rules.oracle(), "op8_ngram_join": ngram_join.ORACLE, "op10_decontamination": decontamination.ORACLE}
