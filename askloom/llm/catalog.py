@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from askloom.llm import decontamination, html_extraction, ngram_join, packing, quality_rules, token_counts, warc_zip
+from askloom.llm import decontamination, html_extraction, ngram_join, packing, pii, quality_rules, token_counts, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_packing": packing.op2_packing,
         "op3_warc_zip": warc_zip.op3_warc_zip,
         "op4_quality_rules": quality_rules.op4_quality_rules,
