@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askloom.llm import decontamination, html_extraction, ngram_join, packing, pii, quality_rules, token_counts, warc_zip
+from askloom.llm import decontamination, html_extraction, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_warc_zip": warc_zip.op3_warc_zip,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_html_extraction": html_extraction.op9_html_extraction,
         "op10_decontamination": decontamination.op10_decontamination,
