@@ -192,10 +192,16 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, and those without id, with the columns they had."""
-    to = join_documents(docs, key, text).where("component_id <> " + key).select(F.col(key).alias("_gone")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"))
-    return packed.join(bounded(cut(to)), F.col("_key") == F.col("_gone"), "left_anti").select("row.*")
+    """The rows of docs whose id is the smallest of its component, one of those with equal ids, and all without id,
+    with the columns they had."""
+    to = join_documents(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key).cast("long").alias("_gone")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("_key"))
+    left = packed.join(bounded(cut(to)), F.col("_key") == F.col("_gone"), "left_anti")
+    twice = cut(docs.groupBy(F.col(key).cast("long").alias("_twice")).agg(F.count("*").alias("n")).where("n > 1 and _twice is not null").select("_twice"))
+    if not twice.isEmpty():
+        same = F.col("_key") == F.col("_twice")
+        left = left.join(bounded(twice), same, "left_anti").unionByName(left.join(bounded(twice), same, "left_semi").dropDuplicates(["_key"]))
+    return left.select("row.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
