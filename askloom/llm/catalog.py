@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askloom.llm import decontamination, html_extraction, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, warc_zip
+from askloom.llm import decontamination, html_extraction, lm_scoring, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_warc_zip": warc_zip.op3_warc_zip,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_lm_scoring": lm_scoring.op5_lm_scoring,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_ngram_join": ngram_join.op8_ngram_join,
