@@ -22,7 +22,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,52 +142,65 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[out.a != out.b]
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """rows with df, the number of rows with the same g, where that is over one. One shuffle; groups may spill."""
+    return rows.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
+
+
+def prefix(s: Column) -> Column:
+    """The first shingles of a set, of which step 2 wants some shared."""
+    n = F.size(s)
+    return F.slice(s, 1, F.least(n, n - need(n) + F.greatest(F.lit(1), F.floor(n / DEEPER)).cast("int")))
+
+
 def candidates(reps: DataFrame) -> DataFrame:
-    """rep of the sets (rep, n, s) that step 2 leaves."""
-    n = F.size("s")
-    deeper = F.greatest(F.lit(1), F.floor(n / DEEPER)).cast("int")
-    least = F.greatest(F.lit(1), F.floor(need(n) / DEEPER)).cast("int")
-    rows = reps.where(n > 0).select("rep", least.alias("least"), F.explode(F.slice("s", 1, F.least(n, n - need(n) + deeper))).alias("g"))
-    rows = rows.repartition("g")
-    shared = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1").select("g")
-    return rows.join(shared, "g").groupBy("rep", "least").agg(F.count("*").alias("k")).where("k >= least").select("rep")
+    """rep of the sets (rep, n, p: the prefix) that step 2 leaves."""
+    least = F.greatest(F.lit(1), F.floor(need(F.col("n")) / DEEPER)).cast("int")
+    rows = shared(reps.where("n > 0").select("rep", least.alias("least"), F.explode("p").alias("g")))
+    return rows.groupBy("rep", "least").agg(F.count("*").alias("k")).where("k >= least").select("rep")
 
 
 def meetings(sets: DataFrame) -> DataFrame:
     """at, i, j, rep: which sets (rep, n, s) meet where, by step 3. s has the shingles that any other has, rarest first."""
     p = F.col("n") - need(F.col("n")) + 1 - (F.col("n") - F.size("s"))
-    rows = sets.where(p > 0).select("rep", F.explode(F.slice("s", 1, F.least(p, F.size("s")))).alias("g")).repartition("g")
-    lead = rows.groupBy("g").agg(F.min("rep").alias("at"), F.count("*").alias("df")).where("df > 1").drop("df")
-    pairs = cut(rows.join(lead, "g").select("at", "rep").distinct())
+    rows = shared(sets.where(p > 0).select("rep", F.explode(F.slice("s", 1, F.least(p, F.size("s")))).alias("g")))
+    pairs = cut(rows.select(F.min("rep").over(Window.partitionBy("g")).alias("at"), "rep").distinct())
     size = pairs.groupBy("at").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("blocks"))
     placed = pairs.join(size, "at").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return placed.select("at", "rep", "mine", others).select("at", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep")
 
 
-def link(reps: DataFrame) -> DataFrame:
+def link(sets: DataFrame) -> DataFrame:
     """a, b: links between the sets (rep, n, s) that connect the same sets as all links do."""
-    few = bounded(cut(candidates(reps)))
-    rows = reps.join(few, "rep", "left_semi").select("rep", F.col("n"), F.explode("s").alias("g")).repartition("g")
-    shared = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    sets = rows.join(shared, "g").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("x"))
+    rows = shared(sets.select("rep", "n", F.explode("s").alias("g")))
+    sets = rows.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("x"))
     sets = written(sets.select("rep", "n", F.transform("x", lambda x: x["g"]).alias("s")), "sets")
     met = meetings(sets).join(sets, "rep")
     return met.groupBy("at", "i", "j").applyInPandas(_meet, "a long, b long").distinct()
 
 
+CLASS = ["n", "k1", "k2"]
+
+
+def classed(own: DataFrame) -> DataFrame:
+    """own (key, id, t) with s, its size n, and two hashes of it instead of t."""
+    return shingled(own, "t").drop("t").withColumns({"n": F.size("s"), "k1": F.xxhash64("s"), "k2": F.xxhash64(F.lit(7), F.col("s"))})
+
+
 def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: the key, n_shingles, component_id."""
+    """One row per row of docs: the key, n_shingles, component_id. All texts are cut to shingles once, those of step 3 again."""
     own = docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    sets = shingled(own, "t").drop("t")
-    info = written(sets.select("key", "id", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(7), F.col("s")).alias("k2")), "shingles")
-    classes = cut(info.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
-    chosen = bounded(cut(classes.where("rows > 1").join(info.where("id is not null"), ["n", "k1", "k2"]).where("id <> rep").select("id", "n", "k1", "k2").distinct()))
-    keyed = sets.where("id is not null").withColumns({"n": F.size("s"), "k1": F.xxhash64("s"), "k2": F.xxhash64(F.lit(7), F.col("s"))})
-    reps = keyed.join(chosen, ["id", "n", "k1", "k2"], "left_anti").select(F.col("id").alias("rep"), "n", "s")
-    inner = info.where("id is not null and n > 0").join(bounded(classes.where("rows > 1")), ["n", "k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    ends = bounded(components(link(reps).unionByName(inner.distinct())))
-    out = info.join(ends.select(F.col("a").alias("id"), F.col("b").alias("to")), "id", "left")
+    info = written(classed(own).select("key", "id", *CLASS, prefix(F.col("s")).alias("p")), "shingles")
+    some = info.where("n > 0 and id is not null")
+    copied = cut(some.groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    inner = cut(some.join(bounded(copied), CLASS).where("id <> rep").select("id", "rep", *CLASS).distinct())
+    others = bounded(inner.select("id", *CLASS))
+    few = cut(candidates(some.join(others, ["id", *CLASS], "left_anti").select(F.col("id").alias("rep"), "n", "p")))
+    again = classed(own.join(bounded(few), F.col("id") == F.col("rep"), "left_semi"))
+    links = link(again.join(others, ["id", *CLASS], "left_anti").select(F.col("id").alias("rep"), "n", "s"))
+    ends = bounded(components(links.unionByName(inner.select(F.col("id").alias("a"), F.col("rep").alias("b")))))
+    out = info.select("key", "id", "n").join(ends.select(F.col("a").alias("id"), F.col("b").alias("to")), "id", "left")
     return out.select(F.col("key").alias(key), F.col("n").cast(T.LongType()).alias("n_shingles"), F.coalesce("to", "id").alias("component_id"))
 
 
