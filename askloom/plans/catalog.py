@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from askloom.plans import relational_queries, retrieval_queries, scoring_queries, table_queries
+
+PARTS = (scoring_queries, retrieval_queries, table_queries, relational_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
