@@ -21,7 +21,7 @@ def submission_csv(df: DataFrame, path: str, metadata: dict | None = None) -> in
     flat = df.select("ID", *[flatten_lines(F.col(t)).alias(t) for t in TARGETS])
     flat.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     if metadata is not None:
-        with open(os.path.join(path, "_metadata.json"), "w") as f:
+        with open(os.path.join(path, ".metadata.json"), "w") as f:
             json.dump(metadata | {"rows": bad["n"]}, f)
     return bad["n"]
 
