@@ -76,7 +76,7 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     second = bounded(cut(own.where(F.size("by") > 1).select(by(1, "term").alias("term")).distinct()))
     lists = postings.join(second, "term", "left_semi")
     wanted = hits.withColumns({"term": by(1, "term"), "pos": F.col("start") + by(1, "at")})
-    hits = cut(wanted.where(F.size("by") > 1).join(lists, [*DOC, "pos", "term"], "left_semi").select(*hits.columns).unionByName(wanted.where(F.size("by") == 1).select(*hits.columns)))
+    hits = cut(wanted.where(F.size("by") > 1).join(lists, [*DOC, "pos", "term"], "left_semi").select(*hits.columns).unionByName(wanted.where(F.size("by") == 1).select(*hits.columns)).dropDuplicates([*DOC, "start", "phrase"]))
     # all others, in the documents that are left
     rest = hits.where(F.size("by") > 2)
     lists = postings.join(bounded(cut(rest.select(*DOC).distinct())), DOC, "left_semi").distinct()
