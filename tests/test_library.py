@@ -133,3 +133,10 @@ def test_entry_lists_sql_for_known_queries():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 70
+
+
+@pytest.mark.parametrize(("word", "stemmed"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"), ("relational", "relat"), ("generalization", "gener"), ("controlling", "control"), ("sky", "sky")])
+def test_stemmer(word, stemmed):
+    from askloom.functions.stemming import stem
+
+    assert stem(word) == stemmed
