@@ -44,7 +44,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"
 SSN = r"(?<!\w)\d{3}-\d{2}-\d{4}(?!\w)"
 CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"
-PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{9,14}(?!\w)"
+PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+(?=(?:[ ().-]{0,2}\d){8,15}(?!\d))\d[\d ().-]{6,20}\d(?!\w)|(?<![\w.])0\d(?:[ .-]\d{2}){4}(?!\w)"
 PERSON = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? (?:\p{{Lu}}[\p{{L}}'-]+ ){{0,2}}\p{{Lu}}[\p{{L}}'-]*\p{{L}}"
 ENTITY = "|".join((EMAIL, SECRET, ACCESS, IBAN, IP, SSN, CARD, PHONE, PERSON))
 HINT = rf"[0-9@]|(?:{MALE}|{FEMALE}|{NEUTRAL})"
