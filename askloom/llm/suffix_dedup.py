@@ -15,8 +15,8 @@
 4. Repeated starts go back to all documents with that piece; the union of their strings is removed.
 
 Null texts are empty. Texts under LENGTH bytes lose nothing. Repeated rows are documents that repeat each other. A
-document is known by its id and a hash of its text. Tables of documents with removals are broadcast only after they
-are counted; beyond the bound they are joined by a shuffle.
+document is known by its id and a hash of its text. Texts are joined with what is found in them by a shuffle at every
+size.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ GRAM = 200
 SYMBOL = 8
 BATCH_BYTES = 1 << 20
 MEETING = 1000
-BROADCAST_ROWS, BROADCAST_PARTS = 200_000, 1_500_000
 NO_ID = -(1 << 63)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _tables: dict[int, tuple] = {}
@@ -252,16 +251,10 @@ def fetch(own: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """fp, c1, c2, m, lead, t: the bytes of wanted pieces (id, h, s, n, lead, fp, c1, c2, m)."""
     lists = written(wanted.groupBy(*DOC).agg(F.collect_list(F.struct("s", "n", "lead", "fp", "c1", "c2", "m")).alias("x")), "wanted")
     cutting = lambda x: F.struct(x["fp"].alias("fp"), x["c1"].alias("c1"), x["c2"].alias("c2"), x["m"].alias("m"), x["lead"].alias("lead"), F.substring("t", (x["s"] + 1).cast("int"), (x["n"] + length - 1).cast("int")).alias("t"))
-    once = own.select(*DOC, "t").join(bounded(lists, "x"), DOC)
+    once = own.select(*DOC, "t").join(lists, DOC)
     return once.select(F.explode(F.transform("x", cutting)).alias("y")).select("y.*")
 
 
-def bounded(df: DataFrame, parts: str) -> DataFrame:
-    """df, to be broadcast if it has few rows with few elements of the array `parts` in all. df is written."""
-    size = df.agg(F.count("*"), F.coalesce(F.sum(F.size(parts)), F.lit(0))).first()
-    return F.broadcast(df) if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_PARTS else df
-
-
 def meet(texts: DataFrame, length: int, tasks: int) -> DataFrame:
     """c1, c2, runs: repeated starts of the pieces (fp, c1, c2, m, lead, t), which meet by fp."""
 
@@ -337,7 +330,7 @@ def dedup_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key
                     rows.append((x["key"], len(x["t"]), len(x["t"]) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-    gone = bounded(removals(docs, length, gram, key, text), "x")
+    gone = removals(docs, length, gram, key, text)
     out = keyed(docs, key, text).join(gone, DOC, "left").select(F.col("key").cast("long").alias("key"), "t", "x")
     return out.mapInArrow(run, kind).withColumnRenamed("k", key)
 
