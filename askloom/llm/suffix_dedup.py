@@ -218,7 +218,7 @@ def runs_of(marks: np.ndarray) -> list[tuple[int, int]]:
 
 
 DOC = ["id", "h"]
-ROW = "id long, h long, s long, n long, lead long, fp long, c1 long, c2 long"
+ROW = "id long, h long, s array<long>, n long, lead long, fp long, c1 long, c2 long"
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -227,7 +227,14 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def cut_to_pieces(own: DataFrame, length: int, gram: int) -> DataFrame:
-    """ROW for every piece of the documents (id, h, t)."""
+    """ROW for every piece of the documents (id, h, t) with all the starts at which the document has it."""
+
+    def grouped(text: np.ndarray, s: np.ndarray, *rest: np.ndarray) -> tuple:
+        order = np.lexsort((s, rest[4], rest[3], text))
+        text, s, rest = text[order], s[order], [x[order] for x in rest]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (rest[3][1:] != rest[3][:-1]) | (rest[4][1:] != rest[4][:-1])]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(s)), pa.int32()), pa.array(s))
+        return text[new], lists, *[x[new] for x in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,8 +246,9 @@ def cut_to_pieces(own: DataFrame, length: int, gram: int) -> DataFrame:
                     flat = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8)
                     found = pieces(flat, np.array(sizes[begin:i], np.int64), length, gram)
                     if len(found[0]):
+                        found = grouped(*found)
                         ids, hs = (np.array(part.column(k).to_pylist(), np.int64)[found[0]] for k in (0, 1))
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, hs, *found[1:])], [x.split()[0] for x in ROW.split(", ")])
+                        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (ids, hs, *found[1:])], [x.split()[0] for x in ROW.split(", ")])
                     begin, held = i, 0
                 held += n or 0
 
@@ -284,14 +292,14 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     own = keyed(docs, key, text)
     by = Window.partitionBy("fp")
     rows = cut_to_pieces(own.where(F.octet_length("t") >= length), length, gram)
-    rows = rows.withColumns({"all": F.count("*").over(by), "one": (F.min("c1").over(by) == F.max("c1").over(by)) & (F.min("c2").over(by) == F.max("c2").over(by))})
+    rows = rows.withColumns({"all": F.sum(F.size("s")).over(by), "one": (F.min("c1").over(by) == F.max("c1").over(by)) & (F.min("c2").over(by) == F.max("c2").over(by))})
     live = written(rows.where("all > 1").drop("all"), "pieces")
-    classes = live.where("not one").groupBy("fp", "c1", "c2", "n", "lead").agg(F.count("*").alias("m"), F.min(F.struct("id", "h", "s")).alias("at"))
+    classes = live.where("not one").groupBy("fp", "c1", "c2", "n", "lead").agg(F.sum(F.size("s")).alias("m"), F.min(F.struct("id", "h", F.get("s", F.lit(0)).alias("s"))).alias("at"))
     texts = fetch(own, classes.select("at.*", "n", "lead", "fp", "c1", "c2", "m"), length)
     tasks = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = written(meet(texts, length, 2 * tasks).where(F.size("runs") > 0), "repeats")
-    some = live.where("not one").join(found, ["c1", "c2"]).select(*DOC, F.explode("runs").alias("r"), "s").select(*DOC, (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b")).alias("b"))
-    whole = live.where("one").select(*DOC, F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
+    some = live.where("not one").join(found, ["c1", "c2"]).select(*DOC, "s", F.explode("runs").alias("r")).select(*DOC, "r", F.explode("s").alias("s")).select(*DOC, (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b")).alias("b"))
+    whole = live.where("one").select(*DOC, "n", F.explode("s").alias("s")).select(*DOC, F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("b"))
     return written(some.unionByName(whole).groupBy(*DOC).agg(F.collect_set(F.struct("a", "b")).alias("x")), "removals")
 
 
