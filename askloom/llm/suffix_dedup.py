@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +38,7 @@ LENGTH = 400
 GRAM = 200
 SYMBOL = 8
 BATCH_BYTES = 1 << 20
+SEGMENT = 4 << 20
 MEETING = 1000
 NO_ID = -(1 << 63)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -226,7 +226,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(t).alias("h"), t.cast("binary").alias("t"))
 
 
-def cut_to_pieces(own: DataFrame, length: int, gram: int) -> DataFrame:
+def cut_to_pieces(own: DataFrame, length: int, gram: int, segment: int) -> DataFrame:
     """ROW for every piece of the documents (id, h, t) with all the starts at which the document has it."""
 
     def grouped(text: np.ndarray, s: np.ndarray, *rest: np.ndarray) -> tuple:
@@ -236,21 +236,34 @@ def cut_to_pieces(own: DataFrame, length: int, gram: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(s)), pa.int32()), pa.array(s))
         return text[new], lists, *[x[new] for x in rest]
 
+    def cut_long(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+        """Row, place and bytes of parts of `segment` starts; every string lies in the part that has its start."""
+        for i in range(batch.num_rows):
+            text = batch.column(2)[i].as_py()
+            for a in range(0, max(1, len(text) - length + 1), segment):
+                yield i, a, text[a : a + segment + length - 1]
+
+    def found_in(batch: pa.RecordBatch, parts: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        flat = np.frombuffer(b"".join(t for _, _, t in parts), np.uint8)
+        found = list(pieces(flat, np.array([len(t) for _, _, t in parts], np.int64), length, gram))
+        if len(found[0]):
+            part = found[0]
+            found[0], found[1] = np.array([i for i, _, _ in parts])[part], found[1] + np.array([a for _, a, _ in parts])[part]
+            rows, lists, *rest = grouped(*found)
+            ids, hs = (np.array(batch.column(k).to_pylist(), np.int64)[rows] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs), lists, *map(pa.array, rest)], [x.split()[0] for x in ROW.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin, held = 0, 0
-            sizes = pc.binary_length(batch.column(2)).to_pylist()
-            for i, n in enumerate([*sizes, None]):
-                if n is None and begin < i or n is not None and held and held + n > BATCH_BYTES:
-                    part = batch.slice(begin, i - begin)
-                    flat = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8)
-                    found = pieces(flat, np.array(sizes[begin:i], np.int64), length, gram)
-                    if len(found[0]):
-                        found = grouped(*found)
-                        ids, hs = (np.array(part.column(k).to_pylist(), np.int64)[found[0]] for k in (0, 1))
-                        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (ids, hs, *found[1:])], [x.split()[0] for x in ROW.split(", ")])
-                    begin, held = i, 0
-                held += n or 0
+            parts, held = [], 0
+            for part in cut_long(batch):
+                parts.append(part)
+                held += len(part[2])
+                if held >= BATCH_BYTES:
+                    yield from found_in(batch, parts)
+                    parts, held = [], 0
+            if parts:
+                yield from found_in(batch, parts)
 
     return own.select("id", "h", "t").mapInArrow(run, ROW)
 
@@ -287,11 +300,11 @@ def meet(texts: DataFrame, length: int, tasks: int) -> DataFrame:
     return texts.repartition(tasks, "fp").sortWithinPartitions("fp").mapInArrow(run, "c1 long, c2 long, runs array<struct<a:long,b:long>>")
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """id, h, x: for documents that lose bytes, the starts [a, b) of repeated strings."""
     own = keyed(docs, key, text)
     by = Window.partitionBy("fp")
-    rows = cut_to_pieces(own.where(F.octet_length("t") >= length), length, gram)
+    rows = cut_to_pieces(own.where(F.octet_length("t") >= length), length, gram, segment)
     rows = rows.withColumns({"all": F.sum(F.size("s")).over(by), "one": (F.min("c1").over(by) == F.max("c1").over(by)) & (F.min("c2").over(by) == F.max("c2").over(by))})
     live = written(rows.where("all > 1").drop("all"), "pieces")
     classes = live.where("not one").groupBy("fp", "c1", "c2", "n", "lead").agg(F.sum(F.size("s")).alias("m"), F.min(F.struct("id", "h", F.get("s", F.lit(0)).alias("s"))).alias("at"))
@@ -322,7 +335,7 @@ def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def dedup_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """One row per row of docs: the key, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes)."""
     kind = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     names = [x.split()[0] for x in kind.split(", ")]
@@ -338,7 +351,7 @@ def dedup_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key
                     rows.append((x["key"], len(x["t"]), len(x["t"]) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-    gone = removals(docs, length, gram, key, text)
+    gone = removals(docs, length, gram, key, text, segment)
     out = keyed(docs, key, text).join(gone, DOC, "left").select(F.col("key").cast("long").alias("key"), "t", "x")
     return out.mapInArrow(run, kind).withColumnRenamed("k", key)
 

@@ -295,8 +295,9 @@ def test_suffix_dedup(docs, nothing, rows):
                 gone[k : k + 400] = b"\x01" * 400
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         want[(i, len(t), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())] += 1
-    got = suffix_dedup.dedup_documents(docs)
-    assert Counter(tuple(r)[:5] for r in got.collect()) == want
+    for segment in (suffix_dedup.SEGMENT, 700):
+        got = suffix_dedup.dedup_documents(docs, segment=segment)
+        assert Counter(tuple(r)[:5] for r in got.collect()) == want
     assert suffix_dedup.dedup_documents(nothing).count() == 0
 
 
