@@ -36,11 +36,11 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     own = own.withColumn("n_words", F.size("_w").cast("long"))
     last = F.col("n_words") - WINDOW
     grams = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WINDOW)]))
-    own = own.withColumn("_g", F.when(last >= 0, grams).otherwise(F.array().cast("array<bigint>")))
+    own = own.withColumn("_g", held(F.when(last >= 0, grams).otherwise(F.array().cast("array<bigint>"))))
     repeated = F.size(F.array_distinct("_g")) < F.size("_g")
-    own = own.withColumn("_s", F.when(repeated, F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
+    own = own.withColumn("_s", held(F.when(repeated, F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))))
     twins = F.filter("_s", lambda x, j: ((j > 0) & F.coalesce(F.get("_s", j - 1)["g"] == x["g"], F.lit(False))) | F.coalesce(F.get("_s", j + 1)["g"] == x["g"], F.lit(False)))
-    own = own.withColumn("_p", F.when(F.col("_s").isNotNull(), F.sort_array(F.transform(twins, lambda x: x["i"].cast("long")))))
+    own = own.withColumn("_p", held(F.when(F.col("_s").isNotNull(), F.sort_array(F.transform(twins, lambda x: x["i"].cast("long"))))))
     nothing = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("_p", nothing, lambda a, p: F.struct((p + WINDOW).alias("end"), (a["n"] + p + WINDOW - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
     return own.select(
@@ -50,7 +50,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size("_l").cast("long").alias("n_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        held(F.coalesce(covered, F.lit(0)).cast("long")).alias("n_repeat_words"),
     ).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
