@@ -1,17 +1,20 @@
-"""LM scoring (op 5) by online logistic context mixing.
+"""LM scoring (op 5) by logistic context mixing.
 
 A text is its lower-case words, parted by one blank, and an end byte. Bytes are coded bit by bit in a Huffman code of
-the training bytes. For each bit several predictors look up counts of zeros and ones in hashed tables: by the last 2,
-3, 5 and 8 bytes and by the word so far, each with the place in the code. Their log-odds are summed with weights that a
-gate selects (depth in the code, and which of the sparse contexts have been seen); a scale and an offset, refined block
-by block as a text goes on, give the final odds. The sum over all bits is the log10 probability of the text.
-
-Training reads all documents whose crc32 of the id is not divisible by 10. Each task counts its own tables and learns
-its own weights, always predicting a chunk before counting it; counts are summed by blocks of the tables and weights
-averaged by bits. The tables have a fixed number of slots, so what a worker loads is bounded (`TABLES`, one byte each).
-The unigram base needs exact counts of all words: each partition of the scan writes its distinct words, a window over
-the words adds the counts up, and the scoring task of the same partition reads its own part back. A word missing there
-would mean another split of the input and raises an error.
+the training bytes. For each bit several predictors look up how often it was zero and one: after the last 2, 3, 5 and 8
+bytes and after the word so far, at that place in the code. Their log-odds are summed with weights that a gate selects
+(depth in the code, and which of the sparse contexts have been seen); a scale and an offset, refined block by block as a
+text goes on, give the final odds. The sum over all bits is the log10 probability of the text.
+
+Training reads all documents whose crc32 of the id is not divisible by 10. What is gathered are exact counts of all pairs
+of a context and its next byte, so it grows with the texts. A pair is known by 64 bits: 56 of the context's hash, which
+tell contexts apart, and the byte's rank in the code. Units of about UNIT bytes of a partition's texts write their
+distinct pairs; the pairs are dealt to buckets by hash, as many as the counted bytes ask for, and added up there; each
+unit gets its own pairs back with the log-odds along the byte's path. A task holds one unit or one bucket at a time. The
+weights are learned from odds that leave the bit's own occurrence out, and averaged by bits over the tasks. The unigram
+base needs exact counts of all words: each partition of the scan writes its distinct words, a window over the words adds
+the counts up, and the scoring task of the same partition reads its own part back. A word or a pair missing there would
+mean another split of the input and raises an error.
 
 Null and empty texts have the end token alone. A null id counts as the empty text. An empty table gives no rows; without
 training documents all words are unknown. Repeated rows are scored, and learned from, as often as they occur.
@@ -37,14 +40,15 @@ from pyspark.sql import functions as F
 from askloom.llm.common import shared_dir, table, written
 
 FOLDS = 10
-#: Slots of each predictor's table, as powers of two: last 2, 3, 5, 8 bytes, word so far.
-TABLES = (19, 20, 21, 22, 21)
+#: Contexts: the last so many bytes each, then the word so far.
 REACH = (2, 3, 5, 8)
-BLOCK = 1 << 16
 PAD = 8
 CHUNK = 1 << 17
 LONGEST = 1 << 18
-REFRESH = 8
+#: Bytes of text whose pairs are held at a time, and bytes of training text a bucket.
+UNIT, SHARE = 1 << 21, 1 << 22
+RANK = np.uint64(255)
+MIXER = np.uint64(0x9E3779B97F4A7C15)
 GATES, DEPTHS = 64, 8
 #: Weights before any learning.
 START = (0.12, 0.3, 0.4, 0.25, 0.2)
@@ -88,23 +92,32 @@ class Code:
         self.sizes = np.array([len(paths[b]) for b in range(256)])
         self.begins = np.cumsum(self.sizes) - self.sizes
         flat = [x for b in range(256) for x in paths[b]]
-        self.nodes = np.array([x[0] for x in flat], np.uint32) * np.uint32(0x9E3779B1)
         self.depths = np.minimum([x[1] for x in flat], DEPTHS - 1).astype(np.uint8)
         self.bits = np.array([x[2] for x in flat], np.uint8)
+        self.by_rank = np.array(sorted(range(256), key=lambda b: [x[2] for x in paths[b]]))  # bytes below a node lie side by side
+        self.ranks = np.argsort(self.by_rank).astype(np.uint64)
+        self.rank_sizes = self.sizes[self.by_rank]
+        #: By depth: the node there and the bit taken, for each rank.
+        self.levels = []
+        for depth in range(int(self.sizes.max())):
+            at = [paths[b][depth] if depth < len(paths[b]) else (-1, 0, 0) for b in self.by_rank]
+            self.levels.append((np.array([x[0] for x in at]), np.array([x[2] for x in at])))
 
 
 _powers: list[np.ndarray] = []
 
 
 def contexts(held: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash of each context at each byte. held: texts with PAD end bytes before each."""
+    """A 56-bit hash of each context at each byte, in the upper bits. held: texts with PAD end bytes before each."""
     n = len(held)
     wide = held.astype(np.uint64)
     out, sums = [], np.zeros(n, np.uint64)
     for k in range(1, max(REACH) + 1):
         sums[k:] += wide[: n - k] << np.uint64(8 * (k - 1))
         if k in REACH:
-            out.append(((sums ^ sums >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0x61C8864680B583EB & (1 << 64) - 1) >> np.uint64(32)).astype(np.uint32))
+            mixed = (sums ^ sums >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0x61C8864680B583EB & (1 << 64) - 1)
+            mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            out.append(mixed & ~RANK)
     if not _powers or len(_powers[0]) <= n:
         size = 1 << max(19, n.bit_length())
         for base in (0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)):
@@ -119,7 +132,8 @@ def contexts(held: np.ndarray) -> list[np.ndarray]:
     start = np.concatenate([[0], start[:-1]])  # where the word that holds this byte begins
     word = (total[:n] - total[start]) * inverse[start]
     word ^= word >> np.uint64(29)
-    out.append((word * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32))
+    word = word * np.uint64(0x94D049BB133111EB) + np.uint64(0x2545F4914F6CDD1D)
+    out.append((word ^ word >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) & ~RANK)
     return out
 
 
@@ -131,48 +145,87 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held, np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())), np.repeat(np.arange(len(texts)), sizes)
 
 
-def decisions(held: np.ndarray, real: np.ndarray, code: Code) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of the real bytes: slots in all tables, bit, depth, and the real byte it belongs to."""
+def pairs(held: np.ndarray, real: np.ndarray, code: Code) -> list[np.ndarray]:
+    """For each context the pairs of it and the real bytes."""
+    ranks = code.ranks[held[real]]
+    return [h[real] | ranks for h in contexts(held)]
+
+
+def decisions(held: np.ndarray, real: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each bit of the real bytes: its place on the byte's path, bit, depth, and the real byte it belongs to."""
     symbols = held[real]
     sizes = code.sizes[symbols]
     stops = np.cumsum(sizes)
     byte = np.repeat(np.arange(len(real)), sizes)
-    at = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(code.begins[symbols] - stops + sizes, sizes)
-    node = code.nodes.take(at)
-    slots = []
-    for h, power in zip(contexts(held), TABLES, strict=True):
-        mixed = np.repeat(h[real], sizes)
-        mixed ^= node
-        mixed *= np.uint32(0x85EBCA6B)
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0xC2B2AE35)
-        mixed >>= np.uint32(32 - power)
-        slots.append(mixed)
-    return slots, code.bits.take(at), code.depths.take(at), byte
+    step = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - sizes, sizes)
+    at = step + np.repeat(code.begins[symbols], sizes)
+    return step, code.bits.take(at), code.depths.take(at), byte
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log-odds in 1/STEPS, which keeps a table in few bytes."""
+    """Log-odds in 1/STEPS, which keeps a path in few bytes."""
     return np.clip(np.rint(STEPS * np.log((ones + PRIOR) / (zeros + PRIOR))), -127, 127).astype(np.int8)
 
 
-class Model:
-    """Log-odds of each slot, and the gated weights."""
+def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of some contexts, sorted and distinct: where each one's path begins, the log-odds along the paths, and
+    those with one occurrence of the pair itself left out."""
+    rank = (keys & RANK).astype(np.int64)
+    sizes = code.rank_sizes[rank]
+    begins = np.cumsum(sizes) - sizes
+    odds, others = np.zeros(int(sizes.sum()), np.int8), np.zeros(int(sizes.sum()), np.int8)
+    context, here = keys >> np.uint64(8), np.arange(len(keys))
+    for depth, (node, bits) in enumerate(code.levels):
+        here = here[sizes[here] > depth]
+        if not len(here):
+            break
+        r, c, own = rank[here], context[here], counts[here]
+        n, bit = node[r], bits[r]
+        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1])]))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(here))))
+        ones = np.add.reduceat(own * bit, first)[group]
+        zeros = np.add.reduceat(own, first)[group] - ones
+        at = begins[here] + depth
+        odds[at] = log_odds(zeros, ones)
+        one = own > 0
+        others[at] = log_odds(zeros - (one & (bit == 0)), ones - (one & (bit == 1)))
+    return begins, odds, others
 
-    def __init__(self) -> None:
-        self.counts = [np.zeros(2 << p, np.uint32) for p in TABLES]  # zeros and ones of a slot side by side
-        self.odds = [np.zeros(1 << p, np.int8) for p in TABLES]
-        self.weights = np.tile(np.array(START, np.float32), (GATES, 1))
 
-    def refresh(self) -> None:
-        for k, held in enumerate(self.counts):
-            for i in range(0, len(held) // 2, BLOCK):
-                part = held[2 * i : 2 * (i + BLOCK)]
-                self.odds[k][i : i + BLOCK] = log_odds(part[::2], part[1::2])
+class Model:
+    """Log-odds along the paths of a unit's pairs, and the gated weights. Without pairs all odds are even."""
 
-    def mix(self, slots: list[np.ndarray], depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Odds by table, the gate of each bit, and the mixed log-odds."""
-        odds = [o.take(s) for o, s in zip(self.odds, slots, strict=True)]
+    def __init__(self, code: Code | None = None, keys: np.ndarray | None = None, odds: np.ndarray | None = None) -> None:
+        self.weights = np.tile(np.array(START, np.float32), (GATES, 1))
+        self.odds = odds
+        if keys is not None:
+            sizes = code.rank_sizes[(keys & RANK).astype(np.int64)]
+            begins = np.cumsum(sizes) - sizes
+            if int(sizes.sum()) != len(odds):
+                raise ValueError("odds do not fit their pairs")
+            mixed = keys * MIXER
+            order = np.argsort(mixed)
+            self.mixed = np.append(mixed[order], ~np.uint64(0))
+            self.begins = np.append(begins[order], 0)
+            bits = max(1, len(keys).bit_length())
+            self.shift = np.uint64(64 - bits)
+            self.first = np.searchsorted(self.mixed, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where the paths of pairs begin."""
+        mixed = keys * MIXER
+        at = self.first.take((mixed >> self.shift).astype(np.int64))
+        later = np.flatnonzero(self.mixed.take(at) < mixed)
+        while len(later):
+            at[later] += 1
+            later = later[self.mixed.take(at[later]) < mixed[later]]
+        if (self.mixed.take(at) != mixed).any():
+            raise ValueError("a pair that its unit has not written: the input was split anew")
+        return self.begins.take(at)
+
+    def mix(self, found: list[np.ndarray], step: np.ndarray, depth: np.ndarray, byte: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Odds by context, the gate of each bit, and the mixed log-odds."""
+        odds = [self.odds.take(self.find(keys).take(byte) + step) if self.odds is not None else np.zeros(len(step), np.int8) for keys in found]
         gate = depth * np.uint8(8) + (odds[-3] != 0) * np.uint8(4) + (odds[-2] != 0) * np.uint8(2) + (odds[-1] != 0)
         row = gate.astype(np.uint16) << 8
         steps = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float32) / STEPS
@@ -181,18 +234,13 @@ class Model:
             z += np.outer(self.weights[:, k], steps).ravel().astype(np.float32).take(row | o.view(np.uint8))
         return odds, gate, np.clip(z, -12, 12, out=z)
 
-    def learn(self, slots: list[np.ndarray], bit: np.ndarray, depth: np.ndarray, correct: bool) -> None:
-        """Predicts and corrects the weights, where that is due, then counts."""
-        if correct:
-            odds, gate, z = self.mix(slots, depth)
-            error = (bit - 1 / (1 + np.exp(-z))) / np.float32(STEPS)
-            seen = np.maximum(np.bincount(gate, minlength=GATES), 64)
-            for k, o in enumerate(odds):
-                self.weights[:, k] += RATE * np.bincount(gate, error * o, GATES).astype(np.float32) / seen
-        for held, s in zip(self.counts, slots, strict=True):
-            at = s << np.uint32(1)
-            at |= bit
-            np.add.at(held, at, np.uint32(1))
+    def learn(self, found: list[np.ndarray], step: np.ndarray, bit: np.ndarray, depth: np.ndarray, byte: np.ndarray) -> None:
+        """Predicts, then corrects the weights."""
+        odds, gate, z = self.mix(found, step, depth, byte)
+        error = (bit - 1 / (1 + np.exp(-z))) / np.float32(STEPS)
+        seen = np.maximum(np.bincount(gate, minlength=GATES), 64)
+        for k, o in enumerate(odds):
+            self.weights[:, k] += RATE * np.bincount(gate, error * o, GATES).astype(np.float32) / seen
 
 
 def refined(z: np.ndarray, bit: np.ndarray, text: np.ndarray, n: int, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -248,21 +296,27 @@ def segments(text: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def score_texts(texts: list[bytes], model: Model, code: Code) -> np.ndarray:
-    """Log10 probability of each text."""
-    out = np.zeros(len(texts))
+def in_parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Bytes with what their contexts reach, the places of the real ones, the text of each, and if the last text goes on."""
     short = [i for i, t in enumerate(texts) if len(t) <= LONGEST]
     if short:
         held, real, text = laid_out([texts[i] for i in short])
-        slots, bit, depth, byte = decisions(held, real, code)
-        out[short] = refined(model.mix(slots, depth)[2], bit, text[byte], len(short))[0]
-    for i in set(range(len(texts))) - set(short):
-        state = None
-        for before, part in segments(texts[i]):
-            held = np.frombuffer(before + part, np.uint8)
-            slots, bit, depth, byte = decisions(held, np.arange(PAD, len(held)), code)
-            made, state = refined(model.mix(slots, depth)[2], bit, np.zeros(len(bit), np.int64), 1, state)
-            out[i] += made[0]
+        yield held, real, np.array(short)[text], False
+    for i, t in enumerate(texts):
+        if len(t) > LONGEST:
+            for k, (before, part) in enumerate(segments(t)):
+                held = np.frombuffer(before + part, np.uint8)
+                yield held, np.arange(PAD, len(held)), np.full(len(part), i), k > 0
+
+
+def score_texts(texts: list[bytes], model: Model, code: Code) -> np.ndarray:
+    """Log10 probability of each text."""
+    out, state = np.zeros(len(texts)), None
+    for held, real, text, on in in_parts(texts):
+        own, text = np.unique(text, return_inverse=True)
+        step, bit, depth, byte = decisions(held, real, code)
+        made, state = refined(model.mix(pairs(held, real, code), step, depth, byte)[2], bit, text[byte], len(own), state if on else None)
+        out[own] += made
     return out / math.log(10)
 
 
@@ -293,73 +347,112 @@ def distinct_words(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "part int, word binary, n long")
 
 
+def in_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int | None, list[bytes]]]]]:
+    """The chunks of a partition, each with the number of the unit it belongs to."""
+    size = 0
+    for chunk in in_chunks(batches):
+        yield size // UNIT, chunk
+        size += sum(len(as_text(words)) for _, words in chunk)
+
+
+def gathered(own: DataFrame, code_counts: list[int]) -> str:
+    """Where each unit's pairs are, with the log-odds along their paths: part, unit, bucket, keys, odds, others."""
+    kind = "part int, unit int, bucket int, keys binary, counts binary"
+    back = "part int, unit int, bucket int, keys binary, odds binary, others binary"
+    buckets = max(1, -(-sum(code_counts) // SHARE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, code = TaskContext.get().partitionId(), Code(code_counts)
+        at, size, kept = 0, 0, {True: [], False: []}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for trains, some in kept.items():
+                if not some:
+                    continue
+                keys, counts = np.unique(np.concatenate(some), return_counts=True)
+                some.clear()
+                counts = counts.astype("<u4") if trains else np.zeros(len(keys), "<u4")
+                edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(edges))
+                cells = [slice(edges[b], edges[b + 1]) for b in full]
+                packed = [pa.array([keys[c].tobytes() for c in cells], pa.binary()), pa.array([zlib.compress(counts[c].tobytes(), 1) for c in cells], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(full), pa.int32()), pa.array([at] * len(full), pa.int32()), pa.array(full, pa.int32()), *packed], [x.split()[0] for x in kind.split(", ")])
+
+        for unit, chunk in in_units(batches):
+            if unit != at:
+                yield from flushed()
+                at, size = unit, 0
+            for trains in (True, False):
+                for held, real, _, _ in in_parts([as_text(w) for key, w in chunk if held_out(key) != trains]):
+                    kept[trains] += pairs(held, real, code)
+                    size += len(real)
+                    if size >= 2 * UNIT:  # texts of many megabytes
+                        yield from flushed()
+                        size = 0
+        yield from flushed()
+
+    def add(rows: pa.Table) -> pa.Table:
+        code = Code(code_counts)
+        held = [np.frombuffer(x, "<u8") for x in rows.column("keys").to_pylist()]
+        counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in rows.column("counts").to_pylist()]).astype(np.int64)
+        keys = np.concatenate(held)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, counts = keys[first], np.add.reduceat(counts, first)
+        begins, odds, others = path_odds(keys, counts, code)
+        units: dict[tuple[int, int], list[np.ndarray]] = {}
+        for x, *unit in zip(held, rows.column("part").to_pylist(), rows.column("unit").to_pylist(), strict=True):
+            units.setdefault(tuple(unit), []).append(x)
+        out, bucket = [], rows.column("bucket")[0].as_py()
+        for (part, unit), some in units.items():
+            its = np.unique(np.concatenate(some)) if len(some) > 1 else some[0]
+            sizes = code.rank_sizes[(its & RANK).astype(np.int64)]
+            flat = np.repeat(begins[np.searchsorted(keys, its)] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            out.append((part, unit, bucket, its.tobytes(), zlib.compress(odds[flat].tobytes(), 1), zlib.compress(others[flat].tobytes(), 1)))
+        types = [pa.int32()] * 3 + [pa.binary()] * 3
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in back.split(", ")])
+
+    place = f"{shared_dir(own.sparkSession)}/pairs-{uuid.uuid4().hex}"
+    made = own.mapInArrow(run, kind).groupBy("bucket").applyInArrow(add, back)
+    made.repartition("part").sortWithinPartitions("part", "unit").write.partitionBy("part", "unit").parquet(place)
+    return place
+
+
+def load(place: str, unit: int, name: str, code: Code, weights: np.ndarray | None) -> Model:
+    """The model of a unit of this task's partition; name: odds, or others for learning."""
+    store, at = fs.FileSystem.from_uri(f"{place}/part={TaskContext.get().partitionId()}/unit={unit}")
+    rows = pq.read_table(at, filesystem=store, columns=["bucket", "keys", name], partitioning=None).sort_by("bucket")
+    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u8")
+    model = Model(code, keys, np.frombuffer(b"".join(map(zlib.decompress, rows.column(name).to_pylist())), np.int8))
+    if weights is not None:
+        model.weights = weights
+    return model
+
+
 def train(own: DataFrame, code_counts: list[int]) -> tuple[str, list]:
-    """Where the summed tables are, and the weights."""
-    kind = "task int, k int, block int, zeros binary, ones binary, weights array<double>, bits long"
+    """Where the units' pairs are, and the weights."""
+    place = gathered(own, code_counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model, bits, chunks = Code(code_counts), Model(), 0, 0
-        for chunk in in_chunks(batches):
-            texts = [as_text(w) for key, w in chunk if not held_out(key)]
-            groups = [[t for t in texts if len(t) <= LONGEST], *([t] for t in texts if len(t) > LONGEST)]
-            for group in groups:
-                for parts in [[(END * PAD, t) for t in group]] if len(group) != 1 else ([x] for x in segments(group[0])):
-                    if not parts:
-                        continue
-                    held = np.frombuffer(b"".join(a + b for a, b in parts), np.uint8)
-                    sizes = np.array([len(b) for _, b in parts])
-                    begins = np.cumsum(sizes + PAD) - sizes
-                    real = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                    slots, bit, depth, _ = decisions(held, real, code)
-                    model.learn(slots, bit, depth, chunks >= REFRESH and chunks % LEARN_EVERY == 0)
-                    bits += len(bit)
+        code, model, at, bits, weights, chunks = Code(code_counts), None, -1, 0, None, 0
+        for unit, chunk in in_units(batches):
+            if unit != at:
+                model, at = None, unit
+                model = load(place, unit, "others", code, weights)
+                weights = model.weights
+            for held, real, _, _ in in_parts([as_text(w) for key, w in chunk if not held_out(key)]):
+                step, bit, depth, byte = decisions(held, real, code)
+                if chunks % LEARN_EVERY == 0:
+                    model.learn(pairs(held, real, code), step, bit, depth, byte)
+                bits += len(bit)
             chunks += 1
-            if chunks % REFRESH == 0 and chunks & (chunks - 1) == 0 or chunks % (8 * REFRESH) == 0:
-                model.refresh()
-        task = TaskContext.get().partitionId()
-        for k in range(len(TABLES)):
-            for b in range(-(-len(model.odds[k]) // BLOCK)):
-                part = model.counts[k][2 * b * BLOCK : 2 * (b + 1) * BLOCK]
-                own_ = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in (part[::2], part[1::2])]
-                first = k == 0 and b == 0
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array(own_[:1], pa.binary()), pa.array(own_[1:], pa.binary()), pa.array([model.weights.ravel().tolist() if first else None], pa.list_(pa.float64())), pa.array([bits if first else 0], pa.int64())], [x.split()[0] for x in kind.split(", ")])
+        if bits:
+            yield pa.RecordBatch.from_arrays([pa.array([weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([bits], pa.int64())], ["weights", "bits"])
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        for i in range(rows.num_rows):
-            for j, name in enumerate(("zeros", "ones")):
-                x = np.frombuffer(zlib.decompress(rows.column(name)[i].as_py()), "<u4").astype(np.int64)
-                total[j] = x if not len(total[j]) else total[j] + x
-        packed = [zlib.compress(np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes(), 1) for x in total]
-        return pa.table([rows.column("k")[:1], rows.column("block")[:1], pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())], ["k", "block", "zeros", "ones"])
-
-    made = written(own.mapInArrow(run, kind), "counts")
-    summed = made.select(F.pmod("task", F.lit(16)).alias("some"), "k", "block", "zeros", "ones")
-    summed = summed.groupBy("some", "k", "block").applyInArrow(add, "k int, block int, zeros binary, ones binary")
-    summed = summed.groupBy("k", "block").applyInArrow(add, "k int, block int, zeros binary, ones binary")
-    path = f"{shared_dir(own.sparkSession)}/tables-{uuid.uuid4().hex}"
-    summed.write.parquet(path)
-    weights = made.where("bits > 0").select(F.posexplode("weights").alias("i", "w"), "bits").groupBy("i").agg((F.sum(F.col("w") * F.col("bits")) / F.sum("bits")).alias("w"))
-    return path, [r["w"] for r in weights.orderBy("i").collect()]  # one row per gate and table
-
-
-_loaded: dict[str, Model] = {}
-
-
-def load(path: str, weights: list[float]) -> Model:
-    """The model of a path, once in a worker."""
-    if path not in _loaded:
-        store, at = fs.FileSystem.from_uri(path)
-        model = Model()
-        model.counts = []
-        for row in pq.read_table(at, filesystem=store).to_pylist():
-            zeros, ones = (np.frombuffer(zlib.decompress(row[n]), "<u4") for n in ("zeros", "ones"))
-            model.odds[row["k"]][row["block"] * BLOCK : row["block"] * BLOCK + len(ones)] = log_odds(zeros, ones)
-        if weights:
-            model.weights = np.array(weights, np.float32).reshape(GATES, len(TABLES))
-        _loaded.clear()
-        _loaded[path] = model
-    return _loaded[path]
+    made = written(own.mapInArrow(run, "weights array<double>, bits long"), "weights")
+    weights = made.select(F.posexplode("weights").alias("i", "w"), "bits").groupBy("i").agg((F.sum(F.col("w") * F.col("bits")) / F.sum("bits")).alias("w"))
+    return place, [r["w"] for r in weights.orderBy("i").collect()]  # one row per gate and context
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -378,17 +471,20 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sizes = [0] * 256
     for r in counts.where(~real & F.col("first")).select("word", "c").collect() if counts is not None else []:  # at most 256 rows
         sizes[int(bytes(r["word"])[2:])] = r["c"]
-    path, weights = train(own, sizes)
+    pairs_place, learned = train(own, sizes)
+    weights = np.array(learned, np.float32).reshape(GATES, -1) if learned else None
     kind = "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     names = [x.split()[0] for x in kind.split(", ")]
     below = n + 0.1 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model, count = Code(sizes), None, None
+        code, model, at_unit, count = Code(sizes), None, -1, None
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        for chunk in in_chunks(batches):
-            if model is None:
-                model = load(path, weights)
+        for unit, chunk in in_units(batches):
+            if unit != at_unit:
+                model, at_unit = None, unit
+                model = load(pairs_place, unit, "odds", code, weights)
+            if count is None:
                 store, at = fs.FileSystem.from_uri(f"{place}/part={TaskContext.get().partitionId()}")
                 rows = pq.read_table(at, filesystem=store, columns=["word", "c"], partitioning=None)
                 count = dict(zip(rows.column("word").to_pylist(), rows.column("c").to_pylist(), strict=True))

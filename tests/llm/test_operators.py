@@ -320,6 +320,42 @@ def test_lm_scores(docs, nothing, rows):
     assert lm_scoring.score_documents(nothing).count() == 0
 
 
+def test_lm_pairs_are_exact(spark, docs, rows, monkeypatch):
+    """Each context has counts of its own, whatever the number of buckets."""
+    import numpy as np
+
+    monkeypatch.setattr(lm_scoring, "SHARE", 4000)
+    known, every = Counter(), set()
+    for i, t in rows:
+        text = b"\n" * 8 + " ".join(words(t)).encode() + b"\n"
+        for k in range(8, len(text)):
+            word = re.split(rb"[ \n]", text[:k])[-1]
+            for c in (*((n, text[k - n : k]) for n in lm_scoring.REACH), ("word", word)):
+                every.add((c, text[k]))
+                known[(c, text[k])] += not lm_scoring.held_out(i)
+    sizes = [sum(n for (c, b), n in known.items() if c[0] == "word" and b == byte) for byte in range(256)]
+    code = lm_scoring.Code(sizes)
+    below = defaultdict(lambda: [0, 0])
+    path = {b: [(node[r], bit[r]) for node, bit in code.levels[: code.sizes[b]]] for b, r in enumerate(code.ranks.astype(int))}
+    for (c, b), n in known.items():
+        for node, bit in path[b]:
+            below[(c, node)][bit] += n
+    want = Counter()
+    for c, b in every:
+        counts = [below[(c, node)] for node, _ in path[b]]
+        want[lm_scoring.log_odds(*(np.array([x[k] for x in counts]) for k in (0, 1))).tobytes()] += 1
+    own = docs.selectExpr("doc_id as k", "text as t")
+    got = {}
+    made = spark.read.parquet(lm_scoring.gathered(own, sizes))
+    assert made.select("bucket").distinct().count() > 3
+    for r in made.collect():
+        keys, odds = np.frombuffer(r["keys"], "<u8"), zlib.decompress(r["odds"])
+        ends = np.cumsum(code.rank_sizes[(keys & lm_scoring.RANK).astype(int)])
+        for key, a, b in zip(keys.tolist(), [0, *ends], ends, strict=False):
+            assert got.setdefault(key, odds[a:b]) == odds[a:b]
+    assert Counter(got.values()) == want
+
+
 def test_lm_bits_add_up_to_a_distribution():
     import numpy as np
 
