@@ -1,8 +1,8 @@
 """LM scoring (op 5) by logistic context mixing.
 
 A text is its lower-case words, parted by one blank, and an end byte. Bytes are coded bit by bit in a Huffman code of
-the training bytes. For each bit several predictors look up how often it was zero and one: after the last 2, 3, 5 and 8
-bytes and after the word so far, at that place in the code. Their log-odds are summed with weights that a gate selects
+the training bytes. For each bit several predictors look up how often it was zero and one: after the last 1, 2, 3, 5 and
+8 bytes and after the word so far, at that place in the code. Their log-odds are summed with weights that a gate selects
 (depth in the code, and which of the sparse contexts have been seen); a scale and an offset, refined block by block as a
 text goes on, give the final odds. The sum over all bits is the log10 probability of the text.
 
@@ -11,10 +11,10 @@ of a context and its next byte, so it grows with the texts. A pair is known by 6
 tell contexts apart, and the byte's rank in the code. Units of about UNIT bytes of a partition's texts write their
 distinct pairs; the pairs are dealt to buckets by hash, as many as the counted bytes ask for, and added up there; each
 unit gets its own pairs back with the log-odds along the byte's path. A task holds one unit or one bucket at a time. The
-weights are learned from odds that leave the bit's own occurrence out, and averaged by bits over the tasks. The unigram
-base needs exact counts of all words: each partition of the scan writes its distinct words, a window over the words adds
-the counts up, and the scoring task of the same partition reads its own part back. A word or a pair missing there would
-mean another split of the input and raises an error.
+weights are learned from odds that leave the bit's own occurrence out. Every chunk corrects them, from a task's first on;
+they are averaged by bits over the tasks. The unigram base needs exact counts of all words: each partition of the scan
+writes its distinct words, a window over the words adds the counts up, and the scoring task of the same partition reads
+its own part back. A word or a pair missing there would mean another split of the input and raises an error.
 
 Null and empty texts have the end token alone. A null id counts as the empty text. An empty table gives no rows; without
 training documents all words are unknown. Repeated rows are scored, and learned from, as often as they occur.
@@ -41,7 +41,7 @@ from askloom.llm.common import shared_dir, table, written
 
 FOLDS = 10
 #: Contexts: the last so many bytes each, then the word so far.
-REACH = (2, 3, 5, 8)
+REACH = (1, 2, 3, 5, 8)
 PAD = 8
 CHUNK = 1 << 17
 LONGEST = 1 << 18
@@ -51,9 +51,7 @@ RANK = np.uint64(255)
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 GATES, DEPTHS = 64, 8
 #: Weights before any learning.
-START = (0.12, 0.3, 0.4, 0.25, 0.2)
-#: Every how many chunks the weights are corrected; all chunks are counted.
-LEARN_EVERY = 3
+START = (0.05, 0.1, 0.3, 0.4, 0.25, 0.2)
 #: Steps of the stored log-odds.
 STEPS = 12
 RATE, RATE_SCALE, RATE_OFFSET = 1.0, 0.02, 0.02
@@ -435,7 +433,7 @@ def train(own: DataFrame, code_counts: list[int]) -> tuple[str, list]:
     place = gathered(own, code_counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model, at, bits, weights, chunks = Code(code_counts), None, -1, 0, None, 0
+        code, model, at, bits, weights = Code(code_counts), None, -1, 0, None
         for unit, chunk in in_units(batches):
             if unit != at:
                 model, at = None, unit
@@ -443,10 +441,8 @@ def train(own: DataFrame, code_counts: list[int]) -> tuple[str, list]:
                 weights = model.weights
             for held, real, _, _ in in_parts([as_text(w) for key, w in chunk if not held_out(key)]):
                 step, bit, depth, byte = decisions(held, real, code)
-                if chunks % LEARN_EVERY == 0:
-                    model.learn(pairs(held, real, code), step, bit, depth, byte)
+                model.learn(pairs(held, real, code), step, bit, depth, byte)
                 bits += len(bit)
-            chunks += 1
         if bits:
             yield pa.RecordBatch.from_arrays([pa.array([weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([bits], pa.int64())], ["weights", "bits"])
 

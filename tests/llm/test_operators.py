@@ -356,6 +356,33 @@ def test_lm_pairs_are_exact(spark, docs, rows, monkeypatch):
     assert Counter(got.values()) == want
 
 
+def test_lm_weights_learn_from_every_chunk(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [(i, " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(5000))) for i in range(20)]
+    own = spark.createDataFrame(texts, "k long, t string").coalesce(1)
+    sizes = np.bincount(np.frombuffer(b"".join(lm_scoring.as_text(lm_scoring.tokens(t)) for i, t in texts if not lm_scoring.held_out(i)), np.uint8), minlength=256).tolist()
+    place, weights = lm_scoring.train(own, sizes)
+    held = sorted(spark.read.parquet(place).collect(), key=lambda r: r.bucket)
+    code = lm_scoring.Code(sizes)
+    model = lm_scoring.Model(code, np.frombuffer(b"".join(r["keys"] for r in held), "<u8"), np.frombuffer(b"".join(zlib.decompress(r.others) for r in held), np.int8))
+    chunks, size = [[]], 0
+    for i, t in texts:
+        chunks[-1] += [] if lm_scoring.held_out(i) else [lm_scoring.as_text(lm_scoring.tokens(t))]
+        size += len(t)
+        if size >= lm_scoring.CHUNK:
+            chunks.append([])
+            size = 0
+    chunks = [c for c in chunks if c]
+    for c in chunks:
+        for part, real, _, _ in lm_scoring.in_parts(c):
+            step, bit, depth, byte = lm_scoring.decisions(part, real, code)
+            model.learn(lm_scoring.pairs(part, real, code), step, bit, depth, byte)
+    assert 1 < len(chunks) < 8 and np.abs(model.weights - lm_scoring.START).max() > 0.01
+    assert weights == pytest.approx(model.weights.ravel().tolist(), abs=1e-5)
+
+
 def test_lm_bits_add_up_to_a_distribution():
     import numpy as np
 
