@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 KEEP_DELTA = 0.003
 
 
 def champion_steps(runs: DataFrame, delta: float = KEEP_DELTA) -> DataFrame:
-    """subset, run, val, held, won from (subset, seq, run, val, held): each run against the champion before it. A first
-    run wins; later ones if val gains delta and held loses at most delta. A subset's runs are one ordered fold."""
-    runs_ = runs.groupBy("subset").agg(F.sort_array(F.collect_list(F.struct("seq", "run", "val", "held"))).alias("r"))
-    step_kind = "array<struct<seq:bigint,run:string,val:double,held:double,won:boolean>>"
-    start = F.struct(F.lit(None).cast("double").alias("val"), F.lit(None).cast("double").alias("held"), F.array().cast(step_kind).alias("out"))
-
-    def step(a, x):
-        won = a["val"].isNull() | ((x["val"] - a["val"] >= delta) & (x["held"] - a["held"] >= -delta))
-        made = F.struct(x["seq"].alias("seq"), x["run"].alias("run"), x["val"].alias("val"), x["held"].alias("held"), won.alias("won"))
-        return F.struct(F.when(won, x["val"]).otherwise(a["val"]).alias("val"), F.when(won, x["held"]).otherwise(a["held"]).alias("held"), F.concat(a["out"], F.array(made)).alias("out"))
-
-    return runs_.select("subset", F.explode(F.aggregate("r", start, step, lambda a: a["out"])).alias("x")).select("subset", "x.*")
+    """subset, seq, run, val, held, won from (subset, seq, run, val, held): each run against the champion before it. A
+    first run wins; later ones if val gains delta and held loses at most delta. A subset's runs are one ordered fold: a
+    sorted stream of Arrow batches that carries the champion alone, so a subset may have any number of runs."""
+    kind = StructType([StructField("subset", runs.schema["subset"].dataType), *(StructField(n, t) for n, t in (("seq", LongType()), ("run", StringType()), ("val", DoubleType()), ("held", DoubleType()), ("won", BooleanType())))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subset, begun, best_val, best_held = None, False, None, None
+        for batch in batches:
+            subsets = batch.column("subset").to_pylist()
+            val, held = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("val", "held"))
+            no_val, no_held = (batch.column(n).is_null().to_numpy(zero_copy_only=False) for n in ("val", "held"))
+            won = np.zeros(batch.num_rows, bool)
+            unknown = np.zeros(batch.num_rows, bool)
+            edges = [i for i in range(batch.num_rows) if i == 0 or subsets[i] != subsets[i - 1]]
+            for at, stop in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+                if not begun or subsets[at] != subset:
+                    subset, begun, best_val, best_held = subsets[at], True, None, None
+                while at < stop:  # up to the next winner
+                    if best_val is None:
+                        found = at
+                    else:
+                        gains, keeps = ~(val[at:stop] - best_val < delta), ~(held[at:stop] - (0 if best_held is None else best_held) < -delta)
+                        lost = no_held[at:stop] | (best_held is None)
+                        wins = np.flatnonzero(gains & keeps & ~no_val[at:stop] & ~lost)
+                        found = at + int(wins[0]) if len(wins) else stop
+                        n = found - at
+                        unknown[at:found] = ((no_val[at:stop] & (keeps | lost)) | (lost & (gains | no_val[at:stop])))[:n]
+                    if found < stop:
+                        won[found] = True
+                        best_val = None if no_val[found] else float(val[found])
+                        best_held = None if no_held[found] else float(held[found])
+                    at = found + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kind.names[:5]), pa.array(won, mask=unknown)], kind.names)
+
+    own = runs.select("subset", F.col("seq").cast("long").alias("seq"), F.col("run").cast("string").alias("run"), F.col("val").cast("double").alias("val"), F.col("held").cast("double").alias("held"))
+    return own.repartition("subset").sortWithinPartitions("subset", "seq", "run", "val", "held").mapInArrow(fold, kind)
 
 
 def champions(steps: DataFrame) -> DataFrame:

@@ -93,6 +93,33 @@ def test_splits(spark):
         P.three_way(df, "g", "id", (0.5, 0.1, 0.1))
 
 
+def test_champions_of_the_whole_log(spark, tmp_path):
+    """Against a plain loop: every event is replayed, over many batches and with nulls."""
+    import random
+    from collections import Counter
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(300), rng.choice(["click", "view"]), None if rng.random() < 0.01 else round(rng.random() * 90 * (1 + i / 6000), 2)) for i in range(6000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    e = spark.read.parquet(str(tmp_path / "events.parquet"))
+    kept = e.selectExpr("event_type", "event_id", "round(value / 100, 4) AS val", "round(((value * 7) % 50) / 100, 4) AS held").orderBy("event_id").collect()
+    best, want = {}, []
+    for r in kept:
+        v, h = best.get(r.event_type, (None, None))
+        won = True if v is None else None if r.val is None else r.val - v >= 0.003 and r.held - h >= -0.003
+        if won:
+            best[r.event_type] = (r.val, r.held)
+        want.append((r.event_type, r.event_id, f"r{r.event_id}", won))
+    got = entry.queries()["champion_replay_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == 6000 and Counter(map(tuple, got)) == Counter(want)
+    assert {r.subset: (r.val, r.held) for r in entry.queries()["champions_whole"](spark, str(tmp_path)).collect()} == best
+    n = Counter(r.event_type for r in kept)
+    mixed = entry.queries()["mix_weighted_whole"](spark, str(tmp_path)).first()
+    assert mixed.covered == 2 and mixed.score == pytest.approx(sum(n[k] * best[k][0] for k in n) / 6000, abs=1e-4)
+
+
 def test_champions(spark):
     runs = spark.createDataFrame([("s", 1, "a", 0.5, 0.5), ("s", 2, "b", 0.502, 0.6), ("s", 3, "c", 0.51, 0.49), ("s", 4, "d", 0.52, 0.5)], "subset string, seq long, run string, val double, held double")
     steps = L.champion_steps(runs).orderBy("seq").collect()
