@@ -73,6 +73,18 @@ def bm25_topk(spark, d):
     return R.top_k(scored, 5, ["q"], [F.desc("score"), F.asc("p")]).select("q", "p", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("bm25_topk_whole", f"""WITH t AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({words_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+    l AS (SELECT id, sum(tf) AS len FROM t GROUP BY id), st AS (SELECT count(*) AS n, avg(len) AS avg FROM l), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+    s AS (SELECT q.id AS q, p.id AS p, round(sum(q.tf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score
+      FROM t q JOIN t p ON q.term = p.term AND q.id <> p.id JOIN l ON l.id = p.id JOIN df ON df.term = p.term CROSS JOIN st GROUP BY q.id, p.id)
+    SELECT q, p, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS rank FROM s) WHERE rank <= 5""")
+def bm25_topk_whole(spark, d):
+    """bm25_topk for every item against all others; an item does not match itself."""
+    counts = R.term_counts(table(spark, d, "benchmark").withColumnRenamed("item_id", "id"), ["id"], X.words(F.col("text")))
+    scored = R.bm25(counts.withColumnRenamed("id", "q"), counts.withColumnRenamed("id", "p")).where("q <> p").withColumn("score", F.round("score", 6))
+    return R.top_k(scored, 5, ["q"], [F.desc("score"), F.asc("p")]).select("q", "p", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("bow_neardup", rf"""WITH {QA}, a AS (SELECT min(id) AS id, output, count(*) AS freq FROM qa GROUP BY output),
     t AS (SELECT id, freq, term, count(*)::DOUBLE AS tf FROM (SELECT id, freq, unnest(regexp_extract_all(output, '[^\s?.,!]+')) AS term FROM a) GROUP BY ALL),
     v AS (SELECT id, freq, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS w FROM t),

@@ -126,6 +126,30 @@ def test_champions(spark):
     assert [r.won for r in steps] == [True, False, False, True]
 
 
+def test_bm25_ranks_every_item(spark, tmp_path):
+    import math
+    import random
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 3) for _ in range(rng.randrange(4, 12))) for i in range(25)}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bags = {i: t.split() for i, t in texts.items()}
+    mean = sum(map(len, bags.values())) / len(bags)
+    df = {w: sum(w in b for b in bags.values()) for b in bags.values() for w in b}
+
+    def score(q, p):
+        tf = {w: bags[p].count(w) for w in bags[p]}
+        return round(sum(math.log(1 + (25 - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(bags[p]) / mean)) for w in bags[q] if w in tf), 4)
+
+    got = entry.queries()["bm25_topk_whole"](spark, str(tmp_path)).collect()
+    for q in texts:
+        best = sorted((score(q, p) for p in texts if p != q and set(bags[p]) & set(bags[q])), reverse=True)[:5]
+        own = sorted((r for r in got if r.q == q), key=lambda r: r["rank"])
+        assert [r.score for r in own] == pytest.approx(best, abs=2e-4) and all(r.p != q and r.score == pytest.approx(score(q, r.p), abs=2e-4) for r in own)
+
+
 def test_submission_and_readers(spark, tmp_path):
     answers = spark.createDataFrame([("x1", "one\ntwo"), ("x2", None)], "id string, answer string")
     built = V.build_submission(answers)
