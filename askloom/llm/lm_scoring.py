@@ -54,8 +54,9 @@ GATES, DEPTHS = 64, 8
 START = (0.05, 0.1, 0.3, 0.4, 0.25, 0.2)
 #: Steps of the stored log-odds.
 STEPS = 12
-RATE, RATE_SCALE, RATE_OFFSET = 1.0, 0.02, 0.02
-REFINE = 2048
+RATE, RATE_SCALE, RATE_OFFSET = 1.0, 0.3, 0.3
+#: Bits after which a text's scale and offset are corrected, about 30 bytes.
+REFINE = 128
 PRIOR = 0.25
 END = b"\n"
 

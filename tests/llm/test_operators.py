@@ -383,6 +383,15 @@ def test_lm_weights_learn_from_every_chunk(spark):
     assert weights == pytest.approx(model.weights.ravel().tolist(), abs=1e-5)
 
 
+def test_lm_refines_short_texts():
+    import numpy as np
+
+    bit = np.ones(600, np.uint8)  # a text of about 140 bytes whose odds are too low
+    z = np.full(600, 0.5, np.float32)
+    plain = 600 * np.log(1 / (1 + np.exp(-0.5)))
+    assert lm_scoring.refined(z, bit, np.zeros(600, np.int64), 1)[0][0] > 0.9 * plain
+
+
 def test_lm_bits_add_up_to_a_distribution():
     import numpy as np
 
