@@ -174,7 +174,7 @@ def meetings(sets: DataFrame) -> DataFrame:
 def link(sets: DataFrame) -> DataFrame:
     """a, b: links between the sets (rep, n, s) that connect the same sets as all links do."""
     rows = shared(sets.select("rep", "n", F.explode("s").alias("g")))
-    sets = rows.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("x"))
+    sets = rows.groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("df", "g"))).alias("x"))  # rows that repeat count once
     sets = written(sets.select("rep", "n", F.transform("x", lambda x: x["g"]).alias("s")), "sets")
     met = meetings(sets).join(sets, "rep")
     return met.groupBy("at", "i", "j").applyInPandas(_meet, "a long, b long").distinct()
@@ -183,6 +183,11 @@ def link(sets: DataFrame) -> DataFrame:
 CLASS = ["n", "k1", "k2"]
 
 
+def numbered() -> Column:
+    """The number of a set: an id with several texts has several."""
+    return F.xxhash64(F.lit(8), "id", *CLASS)
+
+
 def classed(own: DataFrame) -> DataFrame:
     """own (key, id, t) with s, its size n, and two hashes of it instead of t."""
     return shingled(own, "t").drop("t").withColumns({"n": F.size("s"), "k1": F.xxhash64("s"), "k2": F.xxhash64(F.lit(7), F.col("s"))})
@@ -196,9 +201,12 @@ def join_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copied = cut(some.groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
     inner = cut(some.join(bounded(copied), CLASS).where("id <> rep").select("id", "rep", *CLASS).distinct())
     others = bounded(inner.select("id", *CLASS))
-    few = cut(candidates(some.join(others, ["id", *CLASS], "left_anti").select(F.col("id").alias("rep"), "n", "p")))
-    again = classed(own.join(bounded(few), F.col("id") == F.col("rep"), "left_semi"))
-    links = link(again.join(others, ["id", *CLASS], "left_anti").select(F.col("id").alias("rep"), "n", "s"))
+    left = some.join(others, ["id", *CLASS], "left_anti").withColumn("rep", numbered())
+    few = cut(candidates(left.select("rep", "n", "p")).join(left.select("rep", "id").distinct(), "rep"))
+    again = classed(own.join(bounded(few.select(F.col("id").alias("few"))), F.col("id") == F.col("few"), "left_semi")).withColumn("rep", numbered())
+    sets = link(again.join(bounded(few.select("rep")), "rep", "left_semi").select("rep", "n", "s"))
+    ids = lambda x, y: bounded(few.select(F.col("rep").alias(x), F.col("id").alias(y)))
+    links = sets.join(ids("a", "x"), "a").join(ids("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     ends = bounded(components(links.unionByName(inner.select(F.col("id").alias("a"), F.col("rep").alias("b")))))
     out = info.select("key", "id", "n").join(ends.select(F.col("a").alias("id"), F.col("b").alias("to")), "id", "left")
     return out.select(F.col("key").alias(key), F.col("n").cast(T.LongType()).alias("n_shingles"), F.coalesce("to", "id").alias("component_id"))

@@ -202,6 +202,16 @@ def test_ngram_join(docs, nothing, rows):
     assert len(left) == len(set(left) - {None}) + 2 and set(left) - {None} == {c for i, _, c in jaccard_components(rows) if i == c and i is not None}
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d = text(60), text(60), text(90), text(45)
+    rows = [(5, a), (5, b), (5, c), (6, a + " more"), (7, b + " words"), (8, c + " here"), (9, d), (9, d), (10, d + " last"), (11, text(60)), (11, text(50))]
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = jaccard_components(rows)
+    assert {i: c for i, _, c in want}[8] == 5 and Counter(map(tuple, got.collect())) == want
+
+
 def test_prefix_tree_against_all_pairs():
     import numpy as np
 
