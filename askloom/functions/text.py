@@ -10,7 +10,7 @@ LANG_CODES = {"Aka": "aka", "Amh": "amh", "Eng": "eng", "Lug": "lug", "Swa": "sw
 COUNTRIES = {"Eth": "Ethiopia", "Gha": "Ghana", "Ken": "Kenya", "Uga": "Uganda"}
 REFUSALS = ("i cannot", "i can't", "as an ai", "i'm sorry", "consult a doctor")
 GEEZ = r"[ሀ-፿]"
-LOOP = r"(\S+)(?:\s+\1){9,}"
+LOOP = 10
 
 
 def words(text: Column) -> Column:
@@ -84,8 +84,22 @@ def is_refusal(text: Column) -> Column:
 
 
 def has_loop(text: Column) -> Column:
-    """The same word ten times or more in a row."""
-    return F.coalesce(text, F.lit("")).rlike(LOOP)
+    """The same word LOOP times or more in a row; of the first a longer word's end counts, of the last one's start.
+
+    A scan over the words: a back-reference in a pattern recurses once a repeat and ends the executor on a long run.
+    """
+
+    def at(a: Column, i: Column) -> Column:
+        inner = [F.get(a, i + k) for k in range(1, LOOP - 1)]
+        same = inner[0] == inner[1]
+        for x in inner[2:]:
+            same = same & (inner[0] == x)
+        return same & F.get(a, i).endswith(inner[0]) & F.get(a, i + (LOOP - 1)).startswith(inner[0])
+
+    def found(a: Column) -> Column:
+        return F.when(F.size(a) >= LOOP, F.exists(F.sequence(F.lit(0), F.size(a) - LOOP), lambda i: at(a, i))).otherwise(False)
+
+    return F.exists(F.array(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")), found)
 
 
 def language(text: Column) -> Column:

@@ -96,7 +96,11 @@ def tokenizer_compare(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(count(X.words(t), "n_blank"), count(X.words_unicode(t), "n_unicode"), count(X.words_ascii(t), "n_ascii"), count(X.words_plain(t), "n_plain"))
 
 
-@query("loop_detector")
+_NEAR = " AND ".join(f"a[i + {k}] = a[i + 1]" for k in range(2, 9))
+
+
+@query("loop_detector", rf"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS a FROM documents)
+    SELECT doc_id, len(list_filter(range(1, len(a) - 8), lambda i: {_NEAR} AND suffix(a[i], a[i + 1]) AND starts_with(a[i + 9], a[i + 1]))) > 0 AS loops FROM w""")
 def loop_detector(spark, d):
     return table(spark, d, "documents").select("doc_id", X.has_loop(F.col("text")).alias("loops"))
 
