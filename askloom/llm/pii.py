@@ -36,7 +36,7 @@ SCRIPTS = {
     "greek": ("βα βε βο δα δε δο γα γε ζα ζε κα κε λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε σο τα τε το φα φε", "ν ρ ς λ", "α ινα", "ης ας"),
 }
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 SECRET = r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)(?=[^\s\"']*\d)[^\s\"'=:][^\s\"']{5,}"
 ACCESS = r"(?<!\w)A[KS]IA[A-Z0-9]{16}(?!\w)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
