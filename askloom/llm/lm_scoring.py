@@ -1,23 +1,31 @@
-"""LM scoring (op 5) by logistic context mixing.
-
-A text is its lower-case words, parted by one blank, and an end byte. Bytes are coded bit by bit in a Huffman code of
-the training bytes. For each bit several predictors look up how often it was zero and one: after the last 1, 2, 3, 5 and
-8 bytes and after the word so far, at that place in the code. Their log-odds are summed with weights that a gate selects
-(depth in the code, and which of the sparse contexts have been seen); a scale and an offset, refined block by block as a
-text goes on, give the final odds. The sum over all bits is the log10 probability of the text.
-
-Training reads all documents whose crc32 of the id is not divisible by 10. What is gathered are exact counts of all pairs
-of a context and its next byte, so it grows with the texts. A pair is known by 64 bits: 56 of the context's hash, which
-tell contexts apart, and the byte's rank in the code. Units of about UNIT bytes of a partition's texts write their
-distinct pairs; the pairs are dealt to buckets by hash, as many as the counted bytes ask for, and added up there; each
-unit gets its own pairs back with the log-odds along the byte's path. A task holds one unit or one bucket at a time. The
-weights are learned from odds that leave the bit's own occurrence out. Every chunk corrects them, from a task's first on;
-they are averaged by bits over the tasks. The unigram base needs exact counts of all words: each partition of the scan
-writes its distinct words, a window over the words adds the counts up, and the scoring task of the same partition reads
-its own part back. A word or a pair missing there would mean another split of the input and raises an error.
+"""LM scoring (op 5) by online logistic context mixing over the bits of words.
+
+A text is its lower-case words and an end token. Each word is coded by decisions, each one bit:
+1. Follower: where the two words before it have been seen in other places of the training texts, is the word the one that
+   follows them most often there? A yes codes the whole word.
+2. Symbol: else the bits of a Huffman code. Symbols are the words that make up 1/TOP of the training tokens or more, for all
+   others the class floor(log2 of their count), and one for words that no other place has. In a class the word has its exact
+   share of the class.
+3. Spelling: of a word that no other place has, the bits of its bytes and a blank, in a Huffman code of bytes.
+Each bit has several predictors. Symbols: hashed contexts of the last symbol, of the last two, and of the last symbol with the
+last frequent word. Spelling: of the last two bytes, of three, and of two with the last frequent word. Followers: how often the
+candidate followed and others did, and how often candidates were right lately in the text. Log-odds are summed with weights
+that a gate selects; a scale and an offset per text, refined as the text goes on, give the final odds. The sum over all bits
+is the log10 probability of the text, and bits_per_byte is the total of bits over the bytes.
+
+Training reads all documents whose crc32 of the id is not divisible by FOLDS. What it gathers grows with the texts: exact
+counts of all words, and exact counts of all pairs of two words and a follower (48 bits of the context's hash, 16 of the
+follower's). Units of about UNIT bytes of a partition write their distinct pairs; the pairs are dealt to buckets by hash, as
+many as the training bytes ask for, and added up there; each unit gets back one byte for each of its pairs. Contexts of
+symbols and bytes come from bounded alphabets, so their hashed tables have a fixed size; tasks write the slots they touch.
+A training text is scored as if its own occurrence of each word, pair and bit had not been counted.
+Weights are learned online: each block of texts is predicted, then corrects them; the first block of a task corrects them
+WARM times before. So scores depend a little on which texts share a partition, but on no threshold of its size.
 
 Null and empty texts have the end token alone. A null id counts as the empty text. An empty table gives no rows; without
-training documents all words are unknown. Repeated rows are scored, and learned from, as often as they occur.
+training documents all words are spelled with even odds. Repeated rows are scored, and learned from, as often as they occur.
+A pair or word missing from what a task's partition has written would mean another split of the input and raises an error.
+Texts of over UNIT bytes are worked through in parts cut at blanks; contexts of words begin anew there.
 """
 
 from __future__ import annotations
@@ -26,11 +34,11 @@ import heapq
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
@@ -40,42 +48,49 @@ from pyspark.sql import functions as F
 from askloom.llm.common import shared_dir, table, written
 
 FOLDS = 10
-#: Contexts: the last so many bytes each, then the word so far.
-REACH = (1, 2, 3, 5, 8)
-PAD = 8
-CHUNK = 1 << 17
-LONGEST = 1 << 18
-#: Bytes of text whose pairs are held at a time, and bytes of training text a bucket.
-UNIT, SHARE = 1 << 21, 1 << 22
-RANK = np.uint64(255)
-MIXER = np.uint64(0x9E3779B97F4A7C15)
-GATES, DEPTHS = 64, 8
+END = "\n"
+#: Words of 1/TOP of the training tokens are symbols of their own; classes follow from 1024 on.
+TOP, UNSEEN, BEGIN, SYMBOLS = 1024, 1024 + 60, 1024 + 61, 1024 + 64
+#: Bytes of text whose pairs are held at a time, bytes of training text a bucket, words a block.
+UNIT, SHARE, BLOCK = 1 << 23, 1 << 24, 1 << 15
+SLOT_BITS, RANGES, PREDICTORS = 21, 8, 3
+NODE_OF_BYTE = 2048
+GATES, WARM, RATE = 76, 4, 0.3
 #: Weights before any learning.
-START = (0.05, 0.1, 0.3, 0.4, 0.25, 0.2)
-#: Steps of the stored log-odds.
-STEPS = 12
-RATE, RATE_SCALE, RATE_OFFSET = 1.0, 0.3, 0.3
-#: Bits after which a text's scale and offset are corrected, about 30 bytes.
+START = (0.3, 0.4, 0.3)
+#: Steps of the stored log-odds; what each count begins with.
+STEPS, PRIOR = 12, 0.4
+RATE_SCALE, RATE_OFFSET = 0.3, 0.3
+#: Bits after which a text's scale and offset are corrected; later as many as a quarter of the bits so far.
 REFINE = 128
-PRIOR = 0.25
-END = b"\n"
-
-
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+LEVELS = np.array([0, 1, 2, 3, 5, 9, 17, 65])
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
+_zstd = pa.Codec("zstd", compression_level=1)
 
 
 def held_out(key: int | None) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % FOLDS == 0
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Bytes of numbers, compressed by planes; sorted ones are best given as differences."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + _zstd.compress(planes, asbytes=True)
+
+
+def restored(held: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(held[:8], "little"), np.dtype(kind).itemsize
+    flat = np.frombuffer(_zstd.decompress(held[8:], n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
+
+
 class Code:
-    """A Huffman code of bytes: for each byte the inner nodes on its path, their depths, and its bits."""
+    """A Huffman code: for each symbol the inner nodes on its path, their depths, and its bits."""
 
     def __init__(self, counts: list[int]) -> None:
         heap = [(c + 1, b, None) for b, c in enumerate(counts)]
         heapq.heapify(heap)
-        number = 256
+        number = len(counts)
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
             heapq.heappush(heap, (a[0] + b[0], number, (a, b)))
@@ -87,176 +102,376 @@ class Code:
             if kids is None:
                 paths[n] = path
             else:
-                stack += [(kid, [*path, (n, len(path), bit)]) for bit, kid in enumerate(kids)]
-        self.sizes = np.array([len(paths[b]) for b in range(256)])
+                stack += [(kid, [*path, (n - len(counts), len(path), bit)]) for bit, kid in enumerate(kids)]
+        self.sizes = np.array([len(paths[b]) for b in range(len(counts))])
         self.begins = np.cumsum(self.sizes) - self.sizes
-        flat = [x for b in range(256) for x in paths[b]]
-        self.depths = np.minimum([x[1] for x in flat], DEPTHS - 1).astype(np.uint8)
+        flat = [x for b in range(len(counts)) for x in paths[b]]
+        self.nodes = np.array([x[0] for x in flat], np.uint64)
+        self.depths = np.minimum([x[1] for x in flat], 7).astype(np.uint8)
         self.bits = np.array([x[2] for x in flat], np.uint8)
-        self.by_rank = np.array(sorted(range(256), key=lambda b: [x[2] for x in paths[b]]))  # bytes below a node lie side by side
-        self.ranks = np.argsort(self.by_rank).astype(np.uint64)
-        self.rank_sizes = self.sizes[self.by_rank]
-        #: By depth: the node there and the bit taken, for each rank.
-        self.levels = []
-        for depth in range(int(self.sizes.max())):
-            at = [paths[b][depth] if depth < len(paths[b]) else (-1, 0, 0) for b in self.by_rank]
-            self.levels.append((np.array([x[0] for x in at]), np.array([x[2] for x in at])))
-
-
-_powers: list[np.ndarray] = []
-
-
-def contexts(held: np.ndarray) -> list[np.ndarray]:
-    """A 56-bit hash of each context at each byte, in the upper bits. held: texts with PAD end bytes before each."""
-    n = len(held)
-    wide = held.astype(np.uint64)
-    out, sums = [], np.zeros(n, np.uint64)
-    for k in range(1, max(REACH) + 1):
-        sums[k:] += wide[: n - k] << np.uint64(8 * (k - 1))
-        if k in REACH:
-            mixed = (sums ^ sums >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0x61C8864680B583EB & (1 << 64) - 1)
-            mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            out.append(mixed & ~RANK)
-    if not _powers or len(_powers[0]) <= n:
-        size = 1 << max(19, n.bit_length())
-        for base in (0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers.insert(0, np.multiply.accumulate(p))
-    inverse, powers = _powers[:2]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((wide + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9) * powers[:n], out=total[1:])
-    index = np.arange(n)
-    start = np.maximum.accumulate(np.where((held == 32) | (held == 10), index + 1, 0))
-    start = np.concatenate([[0], start[:-1]])  # where the word that holds this byte begins
-    word = (total[:n] - total[start]) * inverse[start]
-    word ^= word >> np.uint64(29)
-    word = word * np.uint64(0x94D049BB133111EB) + np.uint64(0x2545F4914F6CDD1D)
-    out.append((word ^ word >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) & ~RANK)
-    return out
 
+    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each bit of the symbols: its place in the flat arrays, and which symbol it belongs to."""
+        sizes = self.sizes[symbols]
+        stops = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(symbols)), sizes)
+        return np.arange(len(owner)) + np.repeat(self.begins[symbols] - (stops - sizes), sizes), owner
+
+
+class Words:
+    """What a task knows of its partition's words: counts, hashes and symbols. known: from settings()."""
+
+    def __init__(self, rows: pa.Table, known: dict) -> None:
+        self.known = known
+        self.words = rows.column("word").to_pylist()
+        self.at = {w: i for i, w in enumerate(self.words)}
+        self.c = rows.column("c").to_numpy()
+        self.h = rows.column("h").to_numpy().view(np.uint64)
+        sym = []
+        for own in (0, 1):  # own: occurrences that don't count
+            c = np.maximum(self.c - own, 0)
+            sym.append(np.where(c > 0, TOP + np.frexp(np.maximum(c, 1).astype(float))[1] - 1, UNSEEN))
+        for k, (word, _) in enumerate(known["top"]):
+            if word in self.at:
+                for s in sym:
+                    s[self.at[word]] = k
+        self.sym = sym
+        total = np.array(known["classes"], float)
+        share = lambda own: np.where((sym[own] >= TOP) & (sym[own] < UNSEEN), np.log((c := np.maximum(self.c - own, 1)) / np.maximum(total[np.clip(sym[own] - TOP, 0, 59)], c)), 0.0)
+        self.leaf = [share(0), share(1)]
+        self.base = np.log10((self.c + 0.1) / (known["n"] + 0.1 * (known["v"] + 1)))
+        self.symbols = Code(known["symbols"])
+        self.bytes = Code(known["bytes"])
+
+
+class Unit:
+    """Texts of a unit as arrays over their tokens. more: the last text goes on, so it has no end token yet."""
+
+    def __init__(self, keys: list, texts: pa.Array, more: bool, words: Words) -> None:
+        codes, names, lens = split(texts)
+        self.keys, n = keys, len(keys)
+        self.sizes = lens + (1 if not more else np.r_[np.ones(n - 1, int), 0])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        try:
+            own = np.array([words.at[w] for w in names], np.int64)
+            end = words.at.get(END, 0)
+        except KeyError as error:
+            raise ValueError("a word that its partition has not written: the input was split anew") from error
+        self.ids = np.full(int(self.sizes.sum()), end, np.int64)
+        inner = np.arange(len(codes)) + np.repeat(self.begins - (np.cumsum(lens) - lens), lens)
+        if len(codes):
+            self.ids[inner] = own[codes]
+        self.text = np.repeat(np.arange(n), self.sizes)
+        self.trains = ~np.array([held_out(k) for k in keys], bool)[self.text] if n else np.zeros(0, bool)
+        self.first = self.begins[self.text] if n else self.begins
+        self.sym = np.where(self.trains, words.sym[1][self.ids], words.sym[0][self.ids])
+        self.words = words
+
+    def before(self, values: np.ndarray, k: int, none) -> np.ndarray:
+        """The value k tokens before, `none` before the text's begin."""
+        out = np.full(len(values), none, values.dtype)
+        out[k:] = values[:-k] if len(values) > k else values[:0]
+        return np.where(np.arange(len(values)) - k >= self.first, out, none)
+
+    def contexts(self) -> list[np.ndarray]:
+        """A 64-bit number for each context of each token's symbol bits, and the last frequent word before it."""
+        one, two = self.before(self.sym, 1, BEGIN).astype(np.uint64), self.before(self.sym, 2, BEGIN).astype(np.uint64)
+        index = np.arange(len(self.sym))
+        last = self.before(np.maximum.accumulate(np.where(self.sym < TOP, index, -1)) if len(index) else index, 1, -1)
+        last = np.where((last >= self.first) & (last >= 0), self.sym.take(np.maximum(last, 0)) if len(index) else 0, BEGIN).astype(np.uint64)
+        eleven = np.uint64(11)
+        return [one, (np.uint64(1) << np.uint64(40)) + (one << eleven) + two, (np.uint64(2) << np.uint64(40)) + (one << eleven) + last, last]
+
+    def pairs(self) -> np.ndarray:
+        """The pair of two words and the follower, for each token."""
+        h = self.words.h[self.ids]
+        mixed = (self.before(h, 2, np.uint64(1)) * M1 + self.before(h, 1, np.uint64(2))) * M2
+        mixed = (mixed ^ mixed >> np.uint64(29)) * M3
+        return mixed & ~np.uint64(0xFFFF) | h >> np.uint64(48)
+
+    def spelled(self, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The bytes of the words at these tokens, a blank after each; the number in `at` of each, and three contexts."""
+        held = np.frombuffer("".join([self.words.words[i] + " " for i in self.ids[at].tolist()]).encode(), np.uint8)
+        ends = np.flatnonzero(held == 32)
+        sizes = np.diff(ends, prepend=-1)
+        owner = np.repeat(np.arange(len(at)), sizes)
+        place = np.arange(len(held)) - np.repeat(ends + 1 - sizes, sizes)
+        b = [np.where(place >= k, np.r_[np.zeros(min(k, len(held)), np.uint8), held[: max(0, len(held) - k)]], 32).astype(np.uint64) for k in (1, 2, 3)]
+        two = b[0] | b[1] << np.uint64(8)
+        return held, owner, [two + (np.uint64(3) << np.uint64(40)), (two | b[2] << np.uint64(16)) + (np.uint64(4) << np.uint64(40)), (two | last[at][owner] << np.uint64(16)) + (np.uint64(5) << np.uint64(40))]
+
+
+def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    mixed = (context * M1 + node) * M2
+    return ((mixed ^ mixed >> np.uint64(31)) * M3 >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of texts, each after PAD end bytes; the places of the real bytes; the text of each."""
-    held = np.frombuffer(b"".join(END * PAD + t for t in texts), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    begins = np.cumsum(sizes + PAD) - sizes
-    return held, np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())), np.repeat(np.arange(len(texts)), sizes)
 
+def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(STEPS * np.log((ones + PRIOR) / (zeros + PRIOR))), -127, 127).astype(np.int8)
 
-def pairs(held: np.ndarray, real: np.ndarray, code: Code) -> list[np.ndarray]:
-    """For each context the pairs of it and the real bytes."""
-    ranks = code.ranks[held[real]]
-    return [h[real] | ranks for h in contexts(held)]
 
+def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words of texts: the number of each, the distinct ones, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, offsets = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()), lists.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(flat), 0)
+    upto = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    coded = flat.filter(real).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.diff(upto[offsets - offsets[0]]).astype(np.int64)
 
-def decisions(held: np.ndarray, real: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of the real bytes: its place on the byte's path, bit, depth, and the real byte it belongs to."""
-    symbols = held[real]
-    sizes = code.sizes[symbols]
-    stops = np.cumsum(sizes)
-    byte = np.repeat(np.arange(len(real)), sizes)
-    step = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - sizes, sizes)
-    at = step + np.repeat(code.begins[symbols], sizes)
-    return step, code.bits.take(at), code.depths.take(at), byte
 
+def in_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array, bool, bool]]:
+    """Keys and texts of about UNIT bytes; if the first text is the rest of one begun before, and if the last goes on."""
+    keys: list = []
+    held: list[pa.Array] = []
+    size = 0
+    for batch in batches:
+        lens = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        begin = 0
+        for i in range(len(lens)):
+            if size + lens[i] > UNIT and size:
+                held.append(batch.column(1).slice(begin, i - begin))
+                keys += batch.column(0).slice(begin, i - begin).to_pylist()
+                yield keys, pa.concat_arrays(held), False, False
+                keys, held, size, begin = [], [], 0, i
+            if lens[i] > UNIT:
+                text, key, at = batch.column(1)[i].as_py().encode(), batch.column(0)[i].as_py(), 0
+                while at < len(text):
+                    stop = len(text)
+                    if stop - at > UNIT:
+                        stop = max(text.rfind(b, at + 1, at + UNIT) for b in (b" ", b"\n", b"\t"))
+                        if stop < 0:
+                            stops = [x for b in (b" ", b"\n", b"\t") if (x := text.find(b, at + UNIT)) >= 0]
+                            stop = min(stops, default=len(text))
+                    yield [key], pa.array([text[at:stop].decode()], pa.string()), at > 0, stop < len(text)
+                    at = stop
+                begin = i + 1
+            else:
+                size += int(lens[i])
+        held.append(batch.column(1).slice(begin))
+        keys += batch.column(0).slice(begin).to_pylist()
+    if keys:
+        yield keys, pa.concat_arrays(held), False, False
 
-def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log-odds in 1/STEPS, which keeps a path in few bytes."""
-    return np.clip(np.rint(STEPS * np.log((ones + PRIOR) / (zeros + PRIOR))), -127, 127).astype(np.int8)
 
+def distinct_words(own: DataFrame) -> DataFrame:
+    """part, word, n: each partition's words and how often its training texts have them; ' <byte>' are counts of bytes."""
 
-def path_odds(keys: np.ndarray, counts: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all pairs of some contexts, sorted and distinct: where each one's path begins, the log-odds along the paths, and
-    those with one occurrence of the pair itself left out."""
-    rank = (keys & RANK).astype(np.int64)
-    sizes = code.rank_sizes[rank]
-    begins = np.cumsum(sizes) - sizes
-    odds, others = np.zeros(int(sizes.sum()), np.int8), np.zeros(int(sizes.sum()), np.int8)
-    context, here = keys >> np.uint64(8), np.arange(len(keys))
-    for depth, (node, bits) in enumerate(code.levels):
-        here = here[sizes[here] > depth]
-        if not len(here):
-            break
-        r, c, own = rank[here], context[here], counts[here]
-        n, bit = node[r], bits[r]
-        first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1])]))
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(here))))
-        ones = np.add.reduceat(own * bit, first)[group]
-        zeros = np.add.reduceat(own, first)[group] - ones
-        at = begins[here] + depth
-        odds[at] = log_odds(zeros, ones)
-        one = own > 0
-        others[at] = log_odds(zeros - (one & (bit == 0)), ones - (one & (bit == 1)))
-    return begins, odds, others
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, known, sizes = TaskContext.get().partitionId(), {}, np.zeros(256, np.int64)
+        for keys, texts, _, more in in_units(batches):
+            codes, names, lens = split(texts)
+            trains = ~np.array([held_out(k) for k in keys], bool)
+            counts = np.bincount(codes[np.repeat(trains, lens)], minlength=len(names)).tolist()
+            for w, n in zip(names, counts, strict=True):
+                known[w] = known.get(w, 0) + n
+            known[END] = known.get(END, 0) + int(trains.sum()) - bool(more and trains[-1])
+        for w, n in known.items():
+            if n == 1:
+                sizes += np.bincount(np.frombuffer(f"{w} ".encode(), np.uint8), minlength=256)
+        rows = [*known.items(), *((f" {b}", int(n)) for b, n in enumerate(sizes) if n)]
+        for a in range(0, len(rows), 50_000):
+            some = rows[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["part", "word", "n"])
+
+    return own.mapInArrow(run, "part int, word string, n long")
+
+
+def settings(counts: DataFrame | None) -> dict:
+    """Totals of the training tokens, the words that are symbols (at most TOP), classes and codes. Few rows each."""
+    known = {"n": 0, "v": 0, "top": [], "classes": [0] * 60, "symbols": [0] * SYMBOLS, "bytes": [0] * 256}
+    if counts is None:
+        return known
+    real, once = ~F.col("word").startswith(" "), counts.where("first")
+    sums = counts.agg(F.sum(F.when(real, F.col("n"))).alias("n"), F.count_if(real & F.col("first") & (F.col("c") > 0)).alias("v")).first()
+    known["n"], known["v"] = sums["n"] or 0, sums["v"]
+    frequent = F.col("c") * TOP >= known["n"]
+    if known["n"]:
+        known["top"] = [(r["word"], r["c"]) for r in once.where(real & frequent).orderBy(F.desc("c"), "word").select("word", "c").collect()][:TOP]
+    for r in once.where(real & ~frequent & (F.col("c") > 0)).groupBy(F.floor(F.log2("c") + 1e-9).alias("k")).agg(F.sum("c").alias("c")).collect():
+        known["classes"][r["k"]] = known["symbols"][TOP + r["k"]] = r["c"]
+    for k, (_, c) in enumerate(known["top"]):
+        known["symbols"][k] = c
+    known["symbols"][UNSEEN] = known["classes"][0]
+    for r in once.where(~real).select("word", "c").collect():
+        known["bytes"][int(r["word"][1:])] = r["c"]
+    return known
+
+
+def partition_words(place: str, known: dict) -> Words:
+    store, at = fs.FileSystem.from_uri(f"{place}/part={TaskContext.get().partitionId()}")
+    return Words(pq.read_table(at, filesystem=store, columns=["word", "c", "h"], partitioning=None), known)
+
+
+def counted_bits(unit: Unit, counts: list[np.ndarray]) -> None:
+    """Adds a unit's training bits to the tables: slot 2i zeros, 2i + 1 ones."""
+    *contexts, last = unit.contexts()
+    for a in range(0, len(unit.ids), 4 * BLOCK):
+        here = a + np.flatnonzero(unit.trains[a : a + 4 * BLOCK])
+        at, owner = unit.words.symbols.decisions(unit.sym[here])
+        node, bit = unit.words.symbols.nodes.take(at), unit.words.symbols.bits.take(at)
+        for k in range(PREDICTORS):
+            np.add.at(counts[k], slots(contexts[k][here].take(owner), node) * 2 + bit, 1)
+        new = here[unit.sym[here] == UNSEEN]
+        if len(new):
+            held, _, spelling = unit.spelled(new, last)
+            at, owner = unit.words.bytes.decisions(held)
+            node, bit = unit.words.bytes.nodes.take(at) + np.uint64(NODE_OF_BYTE), unit.words.bytes.bits.take(at)
+            for k in range(PREDICTORS):
+                np.add.at(counts[k], slots(spelling[k].take(owner), node) * 2 + bit, 1)
+
+
+def followers(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted, distinct pairs with counts: what each tells (0: no candidate; else 1 + 64 if it is the candidate + 8 x the
+    level of the candidate's count + that of all others), then the same with one occurrence of the pair itself left out;
+    and hits and misses of the latter by the two levels, all occurrences."""
+    context = keys >> np.uint64(16)
+    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+    total, most = np.add.reduceat(counts, first)[group], np.maximum.reduceat(counts, first)[group]
+    index = np.arange(len(keys))
+    best = np.minimum.reduceat(np.where(counts == most, index, len(keys)), first)[group]
+    hit = best == index
+    told = lambda hit, top, rest: np.where(top > 0, 1 + 64 * hit + 8 * (np.searchsorted(LEVELS, top, "right") - 1) + np.searchsorted(LEVELS, rest, "right") - 1, 0).astype(np.uint8)
+    whole = told(hit, most, total - most)
+    alone = hit & (most == 1)  # another follower, if there is one, is the candidate then
+    top = np.where(alone, np.minimum(total - 1, 1), np.where(hit, most - 1, most))
+    rest = np.where(alone, np.maximum(total - 2, 0), np.where(hit, total - most, total - most - 1))
+    others = np.where(counts > 0, told(hit & ~alone, top, np.maximum(rest, 0)), 0).astype(np.uint8)
+    seen = others > 0
+    cells = np.bincount(others[seen].astype(int) - 1, counts[seen], 128)
+    return whole, others, cells
+
+
+def gathered(own: DataFrame, known: dict, words_place: str, training_bytes: int) -> str:
+    """Where parts have what their units' pairs tell; part -1 has the tables, part -2 the cells of followers."""
+    kind = "kind int, part int, unit int, bucket int, trains boolean, x binary, y binary"
+    names = [x.split()[0] for x in kind.split(", ")]
+    back = "part int, unit int, bucket int, trains boolean, x binary"
+    back_names = [x.split()[0] for x in back.split(", ")]
+    buckets = max(1, -(-training_bytes // SHARE))
+    width = (2 << SLOT_BITS) // RANGES
+
+    def rows(out: list[tuple], what: list[str]) -> pa.RecordBatch:
+        types = {"trains": pa.bool_(), "x": pa.binary(), "y": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(x, types.get(n, pa.int32())) for x, n in zip(zip(*out, strict=True), what, strict=True)], what)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, words = TaskContext.get().partitionId(), None
+        counts = [np.zeros(2 << SLOT_BITS, np.int64) for _ in range(PREDICTORS)]
+        for number, (keys, texts, _, more) in enumerate(in_units(batches)):
+            words = words or partition_words(words_place, known)
+            unit = Unit(keys, texts, more, words)
+            counted_bits(unit, counts)
+            pairs, out = unit.pairs(), []
+            for trains in (True, False):
+                its, n = np.unique(pairs[unit.trains == trains], return_counts=True)
+                edges = np.searchsorted((its >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(edges)):
+                    cell = slice(edges[b], edges[b + 1])
+                    out.append((1, part, number, b, trains, squeezed(np.diff(its[cell], prepend=np.uint64(0))), squeezed(n[cell].astype("<u4")) if trains else None))
+            if out:
+                yield rows(out, names)
+        for k, one in enumerate(counts):
+            full = np.flatnonzero(one)
+            edges = np.searchsorted(full, np.arange(RANGES + 1) * width)
+            out = [(0, part, 0, k * RANGES + r, True, squeezed(np.diff(full[edges[r] : edges[r + 1]] - r * width, prepend=0).astype("<u4")), squeezed(one[full[edges[r] : edges[r + 1]]])) for r in np.flatnonzero(np.diff(edges))]
+            if out:
+                yield rows(out, names)
+
+    def add(held: pa.Table) -> pa.Table:
+        bucket = held.column("bucket")[0].as_py()
+        x, y = held.column("x").to_pylist(), held.column("y").to_pylist()
+        if held.column("kind")[0].as_py() == 0:
+            counts = np.zeros(width, np.int64)
+            for at, n in zip(x, y, strict=True):
+                counts[np.cumsum(restored(at, "<u4"), dtype=np.int64)] += restored(n, "<i8")
+            zeros, ones = counts[::2], counts[1::2]
+            made = np.stack([log_odds(zeros, ones), log_odds(np.maximum(zeros - 1, 0), ones), log_odds(zeros, np.maximum(ones - 1, 0))], 1)
+            return pa.Table.from_batches([rows([(-1, 0, bucket, True, squeezed(np.pad(made, ((0, 0), (0, 1))).view("<u4").ravel()))], back_names)])
+        trains = held.column("trains").to_pylist()
+        cells = [np.cumsum(restored(b, "<u8"), dtype=np.uint64) for b in x]
+        keys = np.concatenate(cells)
+        counts = np.concatenate([restored(n, "<u4").astype(np.int64) if n is not None else np.zeros(len(c), np.int64) for n, c in zip(y, cells, strict=True)])
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        keys, counts = keys[first], np.add.reduceat(counts, first)
+        whole, others, seen = followers(keys, counts)
+        out = [(p, u, bucket, t, squeezed((others if t else whole)[np.searchsorted(keys, c)])) for p, u, t, c in zip(held.column("part").to_pylist(), held.column("unit").to_pylist(), trains, cells, strict=True)]
+        out.append((-2, 0, bucket, True, squeezed(seen.astype("<i8"))))
+        return pa.Table.from_batches([rows(out, back_names)])
+
+    place = f"{shared_dir(own.sparkSession)}/followers-{uuid.uuid4().hex}"
+    made = own.mapInArrow(run, kind).groupBy("kind", "bucket").applyInArrow(add, back)
+    made.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(place)
+    return place
+
+
+def read_part(place: str, part: int) -> dict[tuple[int, int, bool], bytes]:
+    store, at = fs.FileSystem.from_uri(f"{place}/part={part}")
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        return {}
+    rows = pq.read_table(at, filesystem=store, partitioning=None)
+    return {tuple(r[:3]): r[3] for r in zip(*(rows.column(n).to_pylist() for n in ("unit", "bucket", "trains", "x")), strict=True)}
 
 
 class Model:
-    """Log-odds along the paths of a unit's pairs, and the gated weights. Without pairs all odds are even."""
+    """Tables of log-odds, the cells of followers, and the gated weights, which go on learning."""
 
-    def __init__(self, code: Code | None = None, keys: np.ndarray | None = None, odds: np.ndarray | None = None) -> None:
+    def __init__(self, tables: list[np.ndarray], cells: np.ndarray) -> None:
+        self.tables = tables
+        self.cells = log_odds(cells[:64], cells[64:])
         self.weights = np.tile(np.array(START, np.float32), (GATES, 1))
-        self.odds = odds
-        if keys is not None:
-            sizes = code.rank_sizes[(keys & RANK).astype(np.int64)]
-            begins = np.cumsum(sizes) - sizes
-            if int(sizes.sum()) != len(odds):
-                raise ValueError("odds do not fit their pairs")
-            mixed = keys * MIXER
-            order = np.argsort(mixed)
-            self.mixed = np.append(mixed[order], ~np.uint64(0))
-            self.begins = np.append(begins[order], 0)
-            bits = max(1, len(keys).bit_length())
-            self.shift = np.uint64(64 - bits)
-            self.first = np.searchsorted(self.mixed, np.arange(1 << bits, dtype=np.uint64) << self.shift)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Where the paths of pairs begin."""
-        mixed = keys * MIXER
-        at = self.first.take((mixed >> self.shift).astype(np.int64))
-        later = np.flatnonzero(self.mixed.take(at) < mixed)
-        while len(later):
-            at[later] += 1
-            later = later[self.mixed.take(at[later]) < mixed[later]]
-        if (self.mixed.take(at) != mixed).any():
-            raise ValueError("a pair that its unit has not written: the input was split anew")
-        return self.begins.take(at)
-
-    def mix(self, found: list[np.ndarray], step: np.ndarray, depth: np.ndarray, byte: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Odds by context, the gate of each bit, and the mixed log-odds."""
-        odds = [self.odds.take(self.find(keys).take(byte) + step) if self.odds is not None else np.zeros(len(step), np.int8) for keys in found]
-        gate = depth * np.uint8(8) + (odds[-3] != 0) * np.uint8(4) + (odds[-2] != 0) * np.uint8(2) + (odds[-1] != 0)
+        self.fresh = True
+
+    @classmethod
+    def load(cls, place: str) -> Model:
+        tables = [np.zeros(4 << SLOT_BITS, np.int8) for _ in range(PREDICTORS)]
+        width = (4 << SLOT_BITS) // RANGES
+        for (_, bucket, _), x in read_part(place, -1).items():
+            k, r = divmod(bucket, RANGES)
+            tables[k][r * width : (r + 1) * width] = restored(x, "<u4").view(np.int8)
+        cells = sum((restored(x, "<i8") for x in read_part(place, -2).values()), np.zeros(128, np.int64))
+        return cls(tables, cells)
+
+    def look_up(self, contexts: list[np.ndarray], owner: np.ndarray, node: np.ndarray, bit: np.ndarray, trains: np.ndarray) -> list[np.ndarray]:
+        """Log-odds by predictor; of training texts without the bit itself."""
+        own = np.where(trains, bit.astype(np.int64) + 1, 0)
+        return [t.take(slots(c.take(owner), node) * 4 + own) for t, c in zip(self.tables, contexts, strict=True)]
+
+    def mix(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         row = gate.astype(np.uint16) << 8
         steps = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float32) / STEPS
         z = np.zeros(len(gate), np.float32)
         for k, o in enumerate(odds):
-            z += np.outer(self.weights[:, k], steps).ravel().astype(np.float32).take(row | o.view(np.uint8))
-        return odds, gate, np.clip(z, -12, 12, out=z)
-
-    def learn(self, found: list[np.ndarray], step: np.ndarray, bit: np.ndarray, depth: np.ndarray, byte: np.ndarray) -> None:
-        """Predicts, then corrects the weights."""
-        odds, gate, z = self.mix(found, step, depth, byte)
-        error = (bit - 1 / (1 + np.exp(-z))) / np.float32(STEPS)
-        seen = np.maximum(np.bincount(gate, minlength=GATES), 64)
+            z += np.outer(self.weights[:, k], steps).ravel().take(row | o.view(np.uint8))
+        return np.clip(z, -12, 12, out=z)
+
+    def correct(self, odds: list[np.ndarray], gate: np.ndarray, z: np.ndarray, bit: np.ndarray, trains: np.ndarray) -> None:
+        """One step of each gate's weights against the errors of z, by the curvature along each input."""
+        p = 1 / (1 + np.exp(-z))
+        error, bend = (bit - p) * trains, p * (1 - p) * trains
         for k, o in enumerate(odds):
-            self.weights[:, k] += RATE * np.bincount(gate, error * o, GATES).astype(np.float32) / seen
+            x = o.astype(np.float32) / STEPS
+            self.weights[:, k] += RATE * np.bincount(gate, error * x, GATES) / (np.bincount(gate, bend * x * x, GATES) + 8)
 
 
-def refined(z: np.ndarray, bit: np.ndarray, text: np.ndarray, n: int, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probability of each of n texts' bits, with a scale and offset that learn block by block. text rises."""
-    state = np.tile(np.array([[1.0, 0.0]], np.float32), (n, 1)) if state is None else state
+def refined(z: np.ndarray, bit: np.ndarray, text: np.ndarray, n: int, state: np.ndarray) -> np.ndarray:
+    """Natural log probability of each of n texts' bits, with a scale and offset that learn as a text goes on. text rises."""
     sizes = np.bincount(text, minlength=n)
     begins = np.cumsum(sizes) - sizes
     out = np.zeros(n)
     sign = np.float32(1) - 2 * bit.astype(np.float32)  # -1 for a one
-    for k in range(int(-(-sizes.max() // REFINE)) if len(z) else 0):
-        here = np.flatnonzero(sizes > k * REFINE)
-        lens = np.minimum(sizes[here] - k * REFINE, REFINE)
+    at, span, most = 0, REFINE, int(sizes.max()) if len(z) else 0
+    while at < most:
+        here = np.flatnonzero(sizes > at)
+        lens = np.minimum(sizes[here] - at, span)
         edges = np.cumsum(lens) - lens
         if len(here) == 1:
-            own = slice(begins[here[0]] + k * REFINE, begins[here[0]] + k * REFINE + lens[0])
+            own = slice(begins[here[0]] + at, begins[here[0]] + at + lens[0])
         else:
-            own = np.repeat(begins[here] + k * REFINE - edges, lens) + np.arange(int(lens.sum()))
+            own = np.repeat(begins[here] + at - edges, lens) + np.arange(int(lens.sum()))
         x, y = z[own], sign[own]
         e = np.exp((np.repeat(state[here, 0], lens) * x + np.repeat(state[here, 1], lens)) * y)  # odds against the bit
         e += 1
@@ -264,192 +479,88 @@ def refined(z: np.ndarray, bit: np.ndarray, text: np.ndarray, n: int, state: np.
         error = y / e - y  # e is now 1 + the odds
         state[here, 0] = np.clip(state[here, 0] + RATE_SCALE * np.add.reduceat(error * x, edges) / lens, 0.5, 2)
         state[here, 1] = np.clip(state[here, 1] + RATE_OFFSET * np.add.reduceat(error, edges) / lens, -1, 1)
-    return out, state
-
-
-def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    """Ids and words of texts of about CHUNK bytes together."""
-    held, size = [], 0
-    for batch in batches:
-        for a in range(0, batch.num_rows, 200):
-            for key, text in zip(*(c.to_pylist() for c in batch.slice(a, 200).columns[:2]), strict=True):
-                held.append((key, tokens(text)))
-                size += len(text or "")
-                if size >= CHUNK:
-                    yield held
-                    held, size = [], 0
-    if held:
-        yield held
-
-
-def segments(text: bytes) -> list[tuple[bytes, bytes]]:
-    """A long text cut before blanks, each part with the bytes before it that its contexts reach."""
-    out, at = [], 0
-    while at < len(text):
-        stop = len(text)
-        if stop - at > LONGEST:
-            stop = text.rfind(b" ", at + PAD, at + LONGEST)
-            stop = stop if stop > at else at + LONGEST
-        out.append((text[max(0, at - PAD) : at].rjust(PAD, END), text[at:stop]))
-        at = stop
+        at += span
+        span = max(REFINE, at // 4)
     return out
 
 
-def in_parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """Bytes with what their contexts reach, the places of the real ones, the text of each, and if the last text goes on."""
-    short = [i for i, t in enumerate(texts) if len(t) <= LONGEST]
-    if short:
-        held, real, text = laid_out([texts[i] for i in short])
-        yield held, real, np.array(short)[text], False
-    for i, t in enumerate(texts):
-        if len(t) > LONGEST:
-            for k, (before, part) in enumerate(segments(t)):
-                held = np.frombuffer(before + part, np.uint8)
-                yield held, np.arange(PAD, len(held)), np.full(len(part), i), k > 0
-
-
-def score_texts(texts: list[bytes], model: Model, code: Code) -> np.ndarray:
-    """Log10 probability of each text."""
-    out, state = np.zeros(len(texts)), None
-    for held, real, text, on in in_parts(texts):
-        own, text = np.unique(text, return_inverse=True)
-        step, bit, depth, byte = decisions(held, real, code)
-        made, state = refined(model.mix(pairs(held, real, code), step, depth, byte)[2], bit, text[byte], len(own), state if on else None)
-        out[own] += made
-    return out / math.log(10)
-
-
-def as_text(words: list[bytes]) -> bytes:
-    return b" ".join(words) + END
-
-
-def distinct_words(own: DataFrame) -> DataFrame:
-    """part, word, n: each partition's words, how often they occur in its training texts; ' b<byte>' are counts of bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, known, other = TaskContext.get().partitionId(), Counter(), set()
-        sizes = np.zeros(256, np.int64)
-        for chunk in in_chunks(batches):
-            for key, words in chunk:
-                if held_out(key):
-                    other.update(words)
-                else:
-                    known.update(words)
-                    known[END] += 1
-                    sizes += np.bincount(np.frombuffer(as_text(words), np.uint8), minlength=256)
-        known.update({b" b%d" % b: int(n) for b, n in enumerate(sizes) if n})
-        rows = [*known.items(), *((w, 0) for w in other if w not in known)]
-        for a in range(0, len(rows), 50_000):
-            some = rows[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ["part", "word", "n"])
-
-    return own.mapInArrow(run, "part int, word binary, n long")
-
-
-def in_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int | None, list[bytes]]]]]:
-    """The chunks of a partition, each with the number of the unit it belongs to."""
-    size = 0
-    for chunk in in_chunks(batches):
-        yield size // UNIT, chunk
-        size += sum(len(as_text(words)) for _, words in chunk)
-
-
-def gathered(own: DataFrame, code_counts: list[int]) -> str:
-    """Where each unit's pairs are, with the log-odds along their paths: part, unit, bucket, keys, odds, others."""
-    kind = "part int, unit int, bucket int, keys binary, counts binary"
-    back = "part int, unit int, bucket int, keys binary, odds binary, others binary"
-    buckets = max(1, -(-sum(code_counts) // SHARE))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, code = TaskContext.get().partitionId(), Code(code_counts)
-        at, size, kept = 0, 0, {True: [], False: []}
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for trains, some in kept.items():
-                if not some:
-                    continue
-                keys, counts = np.unique(np.concatenate(some), return_counts=True)
-                some.clear()
-                counts = counts.astype("<u4") if trains else np.zeros(len(keys), "<u4")
-                edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(edges))
-                cells = [slice(edges[b], edges[b + 1]) for b in full]
-                packed = [pa.array([keys[c].tobytes() for c in cells], pa.binary()), pa.array([zlib.compress(counts[c].tobytes(), 1) for c in cells], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(full), pa.int32()), pa.array([at] * len(full), pa.int32()), pa.array(full, pa.int32()), *packed], [x.split()[0] for x in kind.split(", ")])
-
-        for unit, chunk in in_units(batches):
-            if unit != at:
-                yield from flushed()
-                at, size = unit, 0
-            for trains in (True, False):
-                for held, real, _, _ in in_parts([as_text(w) for key, w in chunk if held_out(key) != trains]):
-                    kept[trains] += pairs(held, real, code)
-                    size += len(real)
-                    if size >= 2 * UNIT:  # texts of many megabytes
-                        yield from flushed()
-                        size = 0
-        yield from flushed()
-
-    def add(rows: pa.Table) -> pa.Table:
-        code = Code(code_counts)
-        held = [np.frombuffer(x, "<u8") for x in rows.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in rows.column("counts").to_pylist()]).astype(np.int64)
-        keys = np.concatenate(held)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        begins, odds, others = path_odds(keys, counts, code)
-        units: dict[tuple[int, int], list[np.ndarray]] = {}
-        for x, *unit in zip(held, rows.column("part").to_pylist(), rows.column("unit").to_pylist(), strict=True):
-            units.setdefault(tuple(unit), []).append(x)
-        out, bucket = [], rows.column("bucket")[0].as_py()
-        for (part, unit), some in units.items():
-            its = np.unique(np.concatenate(some)) if len(some) > 1 else some[0]
-            sizes = code.rank_sizes[(its & RANK).astype(np.int64)]
-            flat = np.repeat(begins[np.searchsorted(keys, its)] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            out.append((part, unit, bucket, its.tobytes(), zlib.compress(odds[flat].tobytes(), 1), zlib.compress(others[flat].tobytes(), 1)))
-        types = [pa.int32()] * 3 + [pa.binary()] * 3
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in back.split(", ")])
-
-    place = f"{shared_dir(own.sparkSession)}/pairs-{uuid.uuid4().hex}"
-    made = own.mapInArrow(run, kind).groupBy("bucket").applyInArrow(add, back)
-    made.repartition("part").sortWithinPartitions("part", "unit").write.partitionBy("part", "unit").parquet(place)
-    return place
-
-
-def load(place: str, unit: int, name: str, code: Code, weights: np.ndarray | None) -> Model:
-    """The model of a unit of this task's partition; name: odds, or others for learning."""
-    store, at = fs.FileSystem.from_uri(f"{place}/part={TaskContext.get().partitionId()}/unit={unit}")
-    rows = pq.read_table(at, filesystem=store, columns=["bucket", "keys", name], partitioning=None).sort_by("bucket")
-    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u8")
-    model = Model(code, keys, np.frombuffer(b"".join(map(zlib.decompress, rows.column(name).to_pylist())), np.int8))
-    if weights is not None:
-        model.weights = weights
-    return model
-
+def even(n: int) -> list[np.ndarray]:
+    """States of n texts before any refinement: followers, symbols, spelling."""
+    return [np.tile(np.array([[1.0, 0.0]], np.float32), (n, 1)) for _ in range(3)]
+
+
+def streams(unit: Unit, a: int, b: int, told: np.ndarray, contexts: list[np.ndarray], model: Model) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """The bits of tokens a to b by kind: kind, log-odds by predictor, gate, bit, and the token of each."""
+    words, last = unit.words, contexts[-1]
+    asked = a + np.flatnonzero(told[a:b])
+    cell = told[asked].astype(np.int64) - 1
+    hit = cell >> 6
+    upto = np.r_[0, np.cumsum(hit)]
+    text = unit.text[asked]
+    index = np.arange(len(asked))
+    begin = np.searchsorted(text, text)  # the first question of the text
+    since = np.maximum(index - 8, begin)
+    right = upto[index] - upto[since]
+    recent = log_odds(index - since - right, right)
+    before = np.where(index > begin, 1 + np.r_[0, hit[:-1]] if len(hit) else hit, 0)
+    yield 0, [model.cells[cell & 63], recent, np.zeros(len(asked), np.int8)], (64 + np.minimum(cell >> 3 & 7, 3) * 3 + before).astype(np.uint8), hit.astype(np.uint8), asked
+    coded = np.ones(b - a, bool)
+    coded[asked[hit == 1] - a] = False
+    here = a + np.flatnonzero(coded)
+    at, owner = words.symbols.decisions(unit.sym[here])
+    bit, token = words.symbols.bits.take(at), here.take(owner)
+    odds = model.look_up(contexts[:3], token, words.symbols.nodes.take(at), bit, unit.trains.take(token))
+    yield 1, odds, words.symbols.depths.take(at) | (odds[1] != 0) * np.uint8(8) | (odds[2] != 0) * np.uint8(16), bit, token
+    new = here[unit.sym[here] == UNSEEN]
+    held, whose, spelling = unit.spelled(new, last)
+    at, owner = words.bytes.decisions(held)
+    bit, token = words.bytes.bits.take(at), new[whose.take(owner)] if len(new) else np.zeros(0, np.int64)
+    odds = model.look_up(spelling, owner, words.bytes.nodes.take(at) + np.uint64(NODE_OF_BYTE), bit, unit.trains.take(token))
+    yield 2, odds, words.bytes.depths.take(at) | (odds[1] != 0) * np.uint8(8) | (odds[2] != 0) * np.uint8(16) | np.uint8(32), bit, token
+
+
+def score_unit(unit: Unit, told: np.ndarray, model: Model, states: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of each text of a unit. states: of its texts, corrected."""
+    out = np.zeros(len(unit.keys))
+    contexts = unit.contexts()
+    edges = [0]
+    for begin, size in zip(unit.begins.tolist(), unit.sizes.tolist(), strict=True):
+        if begin + size - edges[-1] > BLOCK:
+            edges += [x for x in (begin, *range(begin + BLOCK, begin + size, BLOCK)) if x > edges[-1]]
+    for a, b in zip(edges, [*edges[1:], len(unit.ids)], strict=True):
+        if a == b:
+            continue
+        low, n = unit.text[a], unit.text[b - 1] - unit.text[a] + 1
+        hits = np.zeros(b - a, bool)
+        for kind, odds, gate, bit, token in streams(unit, a, b, told, contexts, model):
+            trains = unit.trains.take(token)
+            if model.fresh:
+                for _ in range(WARM):
+                    model.correct(odds, gate, model.mix(odds, gate), bit, trains)
+            z = model.mix(odds, gate)
+            state = states[kind][low : low + n]
+            out[low : low + n] += refined(z, bit, unit.text.take(token) - low, n, state)
+            model.correct(odds, gate, z, bit, trains)
+            if kind == 0:
+                hits[token[bit == 1] - a] = True
+        model.fresh = False
+        leaf = np.where(unit.trains[a:b], unit.words.leaf[1][unit.ids[a:b]], unit.words.leaf[0][unit.ids[a:b]])
+        out[low : low + n] += np.bincount(unit.text[a:b] - low, np.where(hits, 0, leaf), n)
+    return out
 
-def train(own: DataFrame, code_counts: list[int]) -> tuple[str, list]:
-    """Where the units' pairs are, and the weights."""
-    place = gathered(own, code_counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model, at, bits, weights = Code(code_counts), None, -1, 0, None
-        for unit, chunk in in_units(batches):
-            if unit != at:
-                model, at = None, unit
-                model = load(place, unit, "others", code, weights)
-                weights = model.weights
-            for held, real, _, _ in in_parts([as_text(w) for key, w in chunk if not held_out(key)]):
-                step, bit, depth, byte = decisions(held, real, code)
-                model.learn(pairs(held, real, code), step, bit, depth, byte)
-                bits += len(bit)
-        if bits:
-            yield pa.RecordBatch.from_arrays([pa.array([weights.ravel().tolist()], pa.list_(pa.float64())), pa.array([bits], pa.int64())], ["weights", "bits"])
-
-    made = written(own.mapInArrow(run, "weights array<double>, bits long"), "weights")
-    weights = made.select(F.posexplode("weights").alias("i", "w"), "bits").groupBy("i").agg((F.sum(F.col("w") * F.col("bits")) / F.sum("bits")).alias("w"))
-    return place, [r["w"] for r in weights.orderBy("i").collect()]  # one row per gate and context
+def told_of(unit: Unit, number: int, held: dict) -> np.ndarray:
+    """What the pair of each token tells, from the bytes that came back for the unit's sorted pairs."""
+    pairs, out = unit.pairs(), np.zeros(len(unit.ids), np.uint8)
+    for trains in (True, False):
+        own = unit.trains == trains
+        its, inverse = np.unique(pairs[own], return_inverse=True)
+        came = [held[k] for k in sorted(k for k in held if k[0] == number and k[2] == trains)]
+        values = np.concatenate([restored(x, "u1") for x in came]) if came else np.zeros(0, np.uint8)
+        if len(values) != len(its):
+            raise ValueError("pairs that the unit has not written: the input was split anew")
+        out[own] = values[inverse]
+    return out
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -458,42 +569,37 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     vocabulary = written(distinct_words(own), "words")
     by = Window.partitionBy("word")
-    counted = vocabulary.withColumns({"c": F.sum("n").over(by), "first": F.min("part").over(by) == F.col("part")})
-    place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
-    counted.repartition("part").write.partitionBy("part").parquet(place)
-    counts = spark.read.parquet(place) if not vocabulary.isEmpty() else None
-    real = F.substring("word", 1, 1) != F.lit(b" ")
-    sums = counts.agg(F.sum(F.when(real, F.col("n"))).alias("n"), F.count_if(real & F.col("first") & (F.col("c") > 0)).alias("v")).first() if counts is not None else None
-    n, v = (sums["n"] or 0, sums["v"]) if sums else (0, 0)
-    sizes = [0] * 256
-    for r in counts.where(~real & F.col("first")).select("word", "c").collect() if counts is not None else []:  # at most 256 rows
-        sizes[int(bytes(r["word"])[2:])] = r["c"]
-    pairs_place, learned = train(own, sizes)
-    weights = np.array(learned, np.float32).reshape(GATES, -1) if learned else None
+    counted = vocabulary.withColumns({"c": F.sum("n").over(by), "first": F.min("part").over(by) == F.col("part"), "h": F.xxhash64("word")})
+    words_place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    counted.repartition("part").write.partitionBy("part").parquet(words_place)
+    counts = spark.read.parquet(words_place) if not vocabulary.isEmpty() else None
+    known = settings(counts)
+    size = counts.agg(F.sum(F.col("n") * (F.octet_length("word") + 1))).first()[0] if counts is not None else 0
+    place = gathered(own, known, words_place, size or 0)
     kind = "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     names = [x.split()[0] for x in kind.split(", ")]
-    below = n + 0.1 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model, at_unit, count = Code(sizes), None, -1, None
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        for unit, chunk in in_units(batches):
-            if unit != at_unit:
-                model, at_unit = None, unit
-                model = load(pairs_place, unit, "odds", code, weights)
-            if count is None:
-                store, at = fs.FileSystem.from_uri(f"{place}/part={TaskContext.get().partitionId()}")
-                rows = pq.read_table(at, filesystem=store, columns=["word", "c"], partitioning=None)
-                count = dict(zip(rows.column("word").to_pylist(), rows.column("c").to_pylist(), strict=True))
-            scores = score_texts([as_text(w) for _, w in chunk], model, code).tolist()
-            out = []
-            for (key_, words), score in zip(chunk, scores, strict=True):
-                c = [count[w] for w in words]
-                c.append(count.get(END, 0))
-                base = math.log10(0.1 / below) * c.count(0) + sum(math.log10((x + 0.1) / below) for x in c if x)
-                size = sum(map(len, words)) + len(words) + (not words)
-                out.append((key_, held_out(key_), len(c), len(c) - c.count(0), n, base, score, -score * math.log2(10) / size))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+        words = model = None
+        sums = states = None  # of a text that goes on
+        for number, (keys, texts, on, more) in enumerate(in_units(batches)):
+            if words is None:
+                words, model = partition_words(words_place, known), Model.load(place)
+                held = read_part(place, TaskContext.get().partitionId())
+                lens = np.array([len(w.encode()) for w in words.words], np.int64) + 1
+            unit = Unit(keys, texts, more, words)
+            states = states if on else even(len(keys))
+            score = score_unit(unit, told_of(unit, number, held), model, states)
+            n, per = len(keys), lambda x: np.bincount(unit.text, x, n)  # noqa: B023
+            made = np.stack([unit.sizes, per(words.c[unit.ids] > 0), per(words.base[unit.ids]), score, per(lens[unit.ids])])
+            sums = made if not on else sums + made
+            if more:
+                continue
+            tokens, seen, base, score, size = sums
+            score = score / math.log(10)
+            bits = -score * math.log2(10) / np.maximum(size - (tokens > 1), 1)
+            columns = [pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys], pa.bool_()), *(pa.array(np.rint(x).astype(np.int64)) for x in (tokens, seen, np.full(n, known["n"]))), *(pa.array(x, pa.float64()) for x in (base, score, bits))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return own.mapInArrow(run, kind).withColumnRenamed("k", key)
 
