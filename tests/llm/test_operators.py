@@ -330,87 +330,166 @@ def test_lm_scores(docs, nothing, rows):
     assert lm_scoring.score_documents(nothing).count() == 0
 
 
-def test_lm_pairs_are_exact(spark, docs, rows, monkeypatch):
-    """Each context has counts of its own, whatever the number of buckets."""
+def test_lm_counts_are_exact(spark, docs, rows, monkeypatch):
+    """Tables and followers as counted one by one, whatever the number of buckets and units."""
+    import math
+
     import numpy as np
 
-    monkeypatch.setattr(lm_scoring, "SHARE", 4000)
-    known, every = Counter(), set()
-    for i, t in rows:
-        text = b"\n" * 8 + " ".join(words(t)).encode() + b"\n"
-        for k in range(8, len(text)):
-            word = re.split(rb"[ \n]", text[:k])[-1]
-            for c in (*((n, text[k - n : k]) for n in lm_scoring.REACH), ("word", word)):
-                every.add((c, text[k]))
-                known[(c, text[k])] += not lm_scoring.held_out(i)
-    sizes = [sum(n for (c, b), n in known.items() if c[0] == "word" and b == byte) for byte in range(256)]
-    code = lm_scoring.Code(sizes)
-    below = defaultdict(lambda: [0, 0])
-    path = {b: [(node[r], bit[r]) for node, bit in code.levels[: code.sizes[b]]] for b, r in enumerate(code.ranks.astype(int))}
-    for (c, b), n in known.items():
-        for node, bit in path[b]:
-            below[(c, node)][bit] += n
-    want = Counter()
-    for c, b in every:
-        counts = [below[(c, node)] for node, _ in path[b]]
-        want[lm_scoring.log_odds(*(np.array([x[k] for x in counts]) for k in (0, 1))).tobytes()] += 1
-    own = docs.selectExpr("doc_id as k", "text as t")
-    got = {}
-    made = spark.read.parquet(lm_scoring.gathered(own, sizes))
-    assert made.select("bucket").distinct().count() > 3
-    for r in made.collect():
-        keys, odds = np.frombuffer(r["keys"], "<u8"), zlib.decompress(r["odds"])
-        ends = np.cumsum(code.rank_sizes[(keys & lm_scoring.RANK).astype(int)])
-        for key, a, b in zip(keys.tolist(), [0, *ends], ends, strict=False):
-            assert got.setdefault(key, odds[a:b]) == odds[a:b]
-    assert Counter(got.values()) == want
-
-
-def test_lm_weights_learn_from_every_chunk(spark):
+    L = lm_scoring
+    monkeypatch.setattr(L, "SHARE", 400)
+    monkeypatch.setattr(L, "UNIT", 3000)
+    held = [(i, [*words(t), "\n"]) for i, t in rows if len((t or "").encode()) <= 3000]
+    c = Counter(w for i, ws in held if not L.held_out(i) for w in ws)
+    n = sum(c.values())
+    F = L.F
+    own = docs.selectExpr("doc_id as k", "text as t").where("t is null or octet_length(t) <= 3000")
+    vocabulary = L.written(L.distinct_words(own), "words")
+    by = L.Window.partitionBy("kind", "h")
+    place = f"{shared_dir(spark)}/counts-test"
+    vocabulary.withColumns({"c": F.sum("n").over(by), "first": F.min("part").over(by) == F.col("part")}).repartition("part").write.mode("overwrite").partitionBy("part").parquet(place)
+    known = L.settings(spark.read.parquet(place))
+
+    def hashed(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        return L.END_HASH if w == "\n" else L.hashes(b, np.array([0]), np.array([len(b)]))[0]
+
+    top = {w: [int(h) for h, _ in known["top"]].index(int(hashed(w))) for w in c if c[w] * L.TOP >= n}
+    assert known["n"] == n and known["v"] == len(c) and len(top) == len(known["top"])
+    frequent = lambda w: top.get(w, L.TOP + int(math.log2(c[w] - 1)) if c[w] > 1 else L.UNSEEN)
+    symbols, spelling, want = known["symbol_code"], known["byte_code"], [Counter() for _ in range(3)]
+    path = lambda code, x, lift: zip((code.nodes[code.begins[x] :][: code.sizes[x]] + lift).tolist(), code.bits[code.begins[x] :][: code.sizes[x]].tolist(), strict=True)
+
+    def add(contexts, code, x, lift):
+        for node, bit in path(code, x, lift):
+            for k, context in enumerate(contexts):
+                slot = int(L.slots(np.array([context]))[0] + L.steps(np.array([node]))[0] & L.MASK) // 4
+                want[k][slot * 2 + bit] += 1
+
+    for i, ws in held:
+        if L.held_out(i):
+            continue
+        seen, last = [L.BEGIN, L.BEGIN], L.BEGIN
+        for w in ws:
+            s = frequent(w)
+            add((seen[-1], (1 << 40) + (seen[-1] << 11) + seen[-2], (2 << 40) + (seen[-1] << 11) + last), symbols, s, 0)
+            if s == L.UNSEEN:
+                b = [32] * 3 + list((w + " ").encode())
+                for k in range(3, len(b)):
+                    two = b[k - 1] | b[k - 2] << 8
+                    add((two + (3 << 40), (two | b[k - 3] << 16) + (4 << 40), (two | last << 16) + (5 << 40)), spelling, b[k - 1] << 8 | b[k], L.NODE_OF_BYTE)
+            seen.append(s)
+            last = s if s < L.TOP else last
+    model = L.Model.load(L.gathered(own, known, place))
+    for table, counted in zip(model.tables, want, strict=True):
+        zeros, ones = (np.array([counted[2 * x + b] for x in range(1 << L.SLOT_BITS)]) for b in (0, 1))
+        got = table.reshape(-1, 4)
+        assert sum(counted.values()) > 1000 and (got[:, 0] == L.log_odds(zeros, ones)).all()
+        assert (got[:, 1] == L.log_odds(np.maximum(zeros - 1, 0), ones)).all() and (got[:, 2] == L.log_odds(zeros, np.maximum(ones - 1, 0))).all()
+
+
+def test_lm_followers():
+    """What each pair tells, against counting with and without the occurrence itself."""
     import numpy as np
 
-    rng = random.Random(6)
-    texts = [(i, " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(5000))) for i in range(20)]
-    own = spark.createDataFrame(texts, "k long, t string").coalesce(1)
-    sizes = np.bincount(np.frombuffer(b"".join(lm_scoring.as_text(lm_scoring.tokens(t)) for i, t in texts if not lm_scoring.held_out(i)), np.uint8), minlength=256).tolist()
-    place, weights = lm_scoring.train(own, sizes)
-    held = sorted(spark.read.parquet(place).collect(), key=lambda r: r.bucket)
-    code = lm_scoring.Code(sizes)
-    model = lm_scoring.Model(code, np.frombuffer(b"".join(r["keys"] for r in held), "<u8"), np.frombuffer(b"".join(zlib.decompress(r.others) for r in held), np.int8))
-    chunks, size = [[]], 0
-    for i, t in texts:
-        chunks[-1] += [] if lm_scoring.held_out(i) else [lm_scoring.as_text(lm_scoring.tokens(t))]
-        size += len(t)
-        if size >= lm_scoring.CHUNK:
-            chunks.append([])
-            size = 0
-    chunks = [c for c in chunks if c]
-    for c in chunks:
-        for part, real, _, _ in lm_scoring.in_parts(c):
-            step, bit, depth, byte = lm_scoring.decisions(part, real, code)
-            model.learn(lm_scoring.pairs(part, real, code), step, bit, depth, byte)
-    assert 1 < len(chunks) < 8 and np.abs(model.weights - lm_scoring.START).max() > 0.01
-    assert weights == pytest.approx(model.weights.ravel().tolist(), abs=1e-5)
-
-
-def test_lm_refines_short_texts():
+    rng = random.Random(2)
+    for _ in range(200):
+        counted = Counter((rng.randrange(3), rng.randrange(4)) for _ in range(rng.randrange(1, 14)))
+        for _ in range(3):
+            counted.setdefault((rng.randrange(4), rng.randrange(5)), 0)
+        keys = sorted(counted)
+        whole, others, cells = lm_scoring.followers(np.array([a << 16 | b for a, b in keys], np.uint64), np.array([counted[k] for k in keys]))
+        level = lambda n: max(i for i, x in enumerate(lm_scoring.LEVELS) if x <= n)
+        hits = 0
+        for k, w, o in zip(keys, whole.tolist(), others.tolist(), strict=True):
+            for told, less in ((w, 0), (o, 1)):
+                if less > counted[k]:
+                    assert told == 0
+                    continue
+                counts = {b: counted[(a, b)] - less * ((a, b) == k) for a, b in keys if a == k[0]}
+                most = max(counts.values())
+                if not most:
+                    assert told == 0
+                    continue
+                assert told and (told - 1) >> 3 & 7 == level(most) and told - 1 & 7 == level(sum(counts.values()) - most)
+                if told > 64:
+                    assert counts[k[1]] == most
+                elif less == 0:
+                    assert k[1] != min(b for b in counts if counts[b] == most)
+                hits += counted[k] * (less and told > 64)
+        assert cells[64:].sum() == hits
+
+
+def test_lm_mixing_against_loops():
+    """Mixed odds, corrections and refined probabilities, one bit at a time."""
+    import math
+
     import numpy as np
 
-    bit = np.ones(600, np.uint8)  # a text of about 140 bytes whose odds are too low
-    z = np.full(600, 0.5, np.float32)
-    plain = 600 * np.log(1 / (1 + np.exp(-0.5)))
-    assert lm_scoring.refined(z, bit, np.zeros(600, np.int64), 1)[0][0] > 0.9 * plain
+    rng = np.random.default_rng(4)
+    n = 900
+    odds = [rng.integers(-60, 60, n).astype(np.int8) for _ in range(3)]
+    gate, bit, trains = rng.integers(0, 76, n).astype(np.uint8), rng.integers(0, 2, n).astype(np.uint8), rng.random(n) < 0.8
+    model = lm_scoring.Model([], np.zeros(128))
+    z = model.mix(odds, gate)
+    dot = [sum(model.weights[g, k] * odds[k][i] / lm_scoring.STEPS for k in range(3)) for i, g in enumerate(gate)]
+    assert z == pytest.approx(np.clip(dot, -12, 12), abs=1e-4)
+    before = model.weights.copy()
+    model.correct(odds, gate, lm_scoring.errors(z, bit), trains)
+    for g in range(76):
+        for k in range(3):
+            up = down = 0.0
+            for i in np.flatnonzero((gate == g) & trains):
+                p, x = 1 / (1 + math.exp(-z[i])), odds[k][i] / lm_scoring.STEPS
+                up, down = up + (bit[i] - p) * x, down + lm_scoring.SQUARE * p * (1 - p)
+            assert model.weights[g, k] == pytest.approx(before[g, k] + lm_scoring.RATE * up / (down + 8), abs=1e-4)
+    text = np.sort(rng.integers(0, 3, n))
+    got, error = lm_scoring.refined(z, bit, np.bincount(text, minlength=3), lm_scoring.even(3)[0])
+    for t in range(3):
+        own, total, scale, offset, at, span = np.flatnonzero(text == t), 0.0, 1.0, 0.0, 0, lm_scoring.REFINE
+        while at < len(own):
+            some = own[at : at + span]
+            p = 1 / (1 + np.exp(-(scale * z[some] + offset)))
+            total += np.log(np.where(bit[some] == 1, p, 1 - p)).sum()
+            assert error[some] == pytest.approx(bit[some] - p, abs=1e-4)
+            scale = np.clip(scale + lm_scoring.RATE_SCALE * ((bit[some] - p) * z[some]).mean(), 0.5, 2)
+            offset = np.clip(offset + lm_scoring.RATE_OFFSET * (bit[some] - p).mean(), -1, 1)
+            at += span
+            span = max(lm_scoring.REFINE, at // 2)
+        assert got[t] == pytest.approx(total, rel=1e-3)
 
 
 def test_lm_bits_add_up_to_a_distribution():
     import numpy as np
 
-    code, model = lm_scoring.Code([1] * 256), lm_scoring.Model()
-    total = sum(10 ** lm_scoring.score_texts([bytes([b])], model, code)[0] for b in range(256))
+    rng = np.random.default_rng(1)
+    model = lm_scoring.Model([rng.integers(-50, 50, 4 << lm_scoring.SLOT_BITS).astype(np.int8) for _ in range(3)], np.zeros(128))
+    code = lm_scoring.Code([rng.integers(0, 90, 300).tolist()])
+    total = 0.0
+    for x in range(300):
+        at, owner = code.decisions(np.array([x]))
+        odds, gate, bit = model.look_up([lm_scoring.slots(np.array([k])) for k in (5, 6, 7)], owner, code.packed(0).take(at), np.zeros(len(at), bool), 0)
+        z = model.mix(odds, gate)
+        total += np.exp(-np.log1p(np.exp(np.where(bit == 1, -z, z))).sum())
     assert total == pytest.approx(1, abs=1e-4)
-    text = b"a b c " * 60_000
-    whole, parts = lm_scoring.score_texts([text[:1000]], model, code), lm_scoring.segments(text)
-    assert np.isfinite(whole).all() and b"".join(p for _, p in parts) == text
+
+
+def test_lm_score_gains_and_long_texts(spark, monkeypatch):
+    """A held-out copy of a training text costs far less than a new text; a text in parts scores about as in one."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    rows = [(i, text(400)) for i in range(60)]
+    key = next(i for i in range(100, 200) if lm_scoring.held_out(i))
+    other = next(i for i in range(200, 400) if lm_scoring.held_out(i))
+    trained = next(t for i, t in rows if not lm_scoring.held_out(i))
+    rows += [(key, trained), (other, text(400))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in lm_scoring.score_documents(frame).collect()}
+    assert got[key].score > 0.3 * got[other].score and got[other].score > got[other].base_score
+    monkeypatch.setattr(lm_scoring, "UNIT", 1000)
+    parts = {r.doc_id: r for r in lm_scoring.score_documents(frame).collect()}
+    assert {i: (r.n_tokens, round(r.base_score, 6)) for i, r in parts.items()} == {i: (r.n_tokens, round(r.base_score, 6)) for i, r in got.items()}
+    assert parts[other].score == pytest.approx(got[other].score, rel=0.05)
 
 
 @pytest.mark.parametrize(
