@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askloom.functions import metrics
+from askloom.operators.blocks import DENSE_ROWS, SPARSE_ROWS, dense_scores, in_blocks, sparse_scores
 
 
 def term_counts(docs: DataFrame, keys: list[str], grams: Column) -> DataFrame:
@@ -27,12 +27,6 @@ def tfidf(counts: DataFrame, idfs: DataFrame, keys: list[str], by: list[str] = (
     return raw.select(*keys, *[c for c in by if c not in keys], "term", (F.col("raw") / norm).alias("w"))
 
 
-def sparse_cosine(queries: DataFrame, pool: DataFrame, on: list[str]) -> DataFrame:
-    """q, p and what they share, sim: inverted-index join of (q, term, w) and (p, term, w)."""
-    pairs = queries.withColumnRenamed("w", "wq").join(pool.withColumnRenamed("w", "wp"), [*on, "term"])
-    return pairs.groupBy(*on, "q", "p").agg(F.sum(F.col("wq") * F.col("wp")).alias("sim"))
-
-
 def bm25(queries: DataFrame, pool: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """q, p, score from (q, term, tf) and (p, term, tf); repeated query terms add up."""
     size = pool.groupBy("p").agg(F.sum("tf").alias("len"))
@@ -50,13 +44,39 @@ def top_k(pairs: DataFrame, k: int, by: list[str], order: list[Column]) -> DataF
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool = False) -> DataFrame:
-    """q, p, sim, rank: the k nearest of (p, vec) for each (q, vec) with the same value of `within`."""
-    pairs = queries.select(within, F.col("id").alias("q"), F.col("vec").alias("qv")).join(pool.select(within, F.col("id").alias("p"), F.col("vec").alias("pv")), within)
-    if drop_self:
-        pairs = pairs.where("q <> p")
-    scored = pairs.select(within, "q", "p", F.round(metrics.cosine(F.col("qv"), F.col("pv")), 6).alias("sim"))
-    return top_k(scored, k, ["q"], [F.desc("sim"), F.asc("p")])
+def dense_top_k(queries: DataFrame, pool: DataFrame, k: int | None, within: str, drop_self: bool = False, whole_pool: bool = False, differ: str | None = None) -> DataFrame:
+    """within, q, p, sim, rank: the k nearest (all, without a rank, if k is None) of the pool's (id, vec) for each query's
+    with the same value of `within`. whole_pool: a query whose value no pool row has is matched against all rows.
+    differ: a column in which a query and its neighbours must differ."""
+    differ = "id" if drop_self else differ
+    own = lambda x: x.select(*{within: 0, "id": 0, "vec": 0, differ or "id": 0})
+    found = in_blocks(own(queries), own(pool), within, dense_scores, DENSE_ROWS, k, None, differ, whole_pool)
+    return found if k is None else top_k(found, k, ["q"], [F.desc("sim"), F.asc("p")])
+
+
+def as_vectors(weights: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, terms, w from (keys, term, w): a term is known by 64 bits of its hash."""
+    return weights.groupBy(*keys).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("x")).select(*keys, F.col("x.t").alias("terms"), F.col("x.w").alias("w"))
+
+
+def sparse_top_k(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool = False) -> DataFrame:
+    """within, q, p, sim, rank: the k nearest with any shared term of (id, within, term, w), in blocks."""
+    own = lambda x: as_vectors(x, ["id", within])
+    found = in_blocks(own(queries), own(pool), within, sparse_scores, SPARSE_ROWS, k, 0.0, "id" if drop_self else None)
+    return top_k(found, k, ["q"], [F.desc("sim"), F.asc("p")])
+
+
+def sparse_at_least(vectors: DataFrame, least: float, digits: int = 9) -> DataFrame:
+    """q, p, sim of all pairs of unit vectors (id, term, w) with a cosine of at least `least`, each with itself too. Terms
+    are ordered from rare to common; of a pair that reaches the bound the first shared term lies, on both sides, before
+    what is left has a norm below it. Such beginnings meet; then the whole vectors decide."""
+    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = vectors.join(df, "term").withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("rest") >= least - 1e-9)
+    begun = ahead.select("id", "term")
+    met = begun.withColumnRenamed("id", "q").join(begun.withColumnRenamed("id", "p"), "term").select("q", "p").distinct()
+    both = met.join(vectors.select(F.col("id").alias("q"), "term", F.col("w").alias("wq")), "q").join(vectors.select(F.col("id").alias("p"), "term", F.col("w").alias("wp")), ["p", "term"])
+    return both.groupBy("q", "p").agg(F.sum(F.col("wq") * F.col("wp")).alias("sim")).where(F.round("sim", digits) >= least)
 
 
 def blend(dense: DataFrame, lexical: DataFrame, alpha: float) -> DataFrame:

@@ -29,8 +29,7 @@ def lexical(spark, d, grams, min_df=1):
     pool = qa_pool(spark, d).select("id", "subset", "input")
     counts = R.term_counts(pool, ["id", "subset"], grams(F.col("input")))
     weights = R.tfidf(counts, R.idf(counts, pool.agg(F.count("*").alias("n")), min_df), ["id", "subset"])
-    pairs = R.sparse_cosine(weights.withColumnRenamed("id", "q"), weights.withColumnRenamed("id", "p"), ["subset"]).where("q <> p")
-    return R.top_k(pairs.withColumn("sim", F.round("sim", 6)), 3, ["q"], [F.desc("sim"), F.asc("p")]).select("q", "p", "sim", F.col("rank").cast("long").alias("rank"))
+    return R.sparse_top_k(weights, weights, 3, "subset", drop_self=True).select("q", "p", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 def lexical_sql(grams: str, min_df: int) -> str:
@@ -59,27 +58,13 @@ def char_tfidf(spark, d):
     return lexical(spark, d, X.char_ngrams, 2)
 
 
-@query("bm25_topk", f"""WITH q AS (SELECT item_id AS q, term, count(*) AS qtf FROM (SELECT item_id, unnest({words_sql('text')}) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
-    p AS (SELECT item_id AS p, term, count(*) AS tf FROM (SELECT item_id, unnest({words_sql('text')}) AS term FROM benchmark WHERE item_id >= 10) GROUP BY ALL),
-    l AS (SELECT p, sum(tf) AS len FROM p GROUP BY p), st AS (SELECT count(*) AS n, avg(len) AS avg FROM l), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-    s AS (SELECT q.q, p.p, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score
-      FROM q JOIN p ON q.term = p.term JOIN l ON l.p = p.p JOIN df ON df.term = p.term CROSS JOIN st GROUP BY q.q, p.p)
-    SELECT q, p, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS rank FROM s) WHERE rank <= 5""")
-def bm25_topk(spark, d):
-    b = table(spark, d, "benchmark")
-    q = R.term_counts(b.where("item_id < 10").withColumnRenamed("item_id", "q"), ["q"], X.words(F.col("text")))
-    p = R.term_counts(b.where("item_id >= 10").withColumnRenamed("item_id", "p"), ["p"], X.words(F.col("text")))
-    scored = R.bm25(q, p).withColumn("score", F.round("score", 6))
-    return R.top_k(scored, 5, ["q"], [F.desc("score"), F.asc("p")]).select("q", "p", "score", F.col("rank").cast("long").alias("rank"))
-
-
-@query("bm25_topk_whole", f"""WITH t AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({words_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+@query("bm25_topk", f"""WITH t AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({words_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
     l AS (SELECT id, sum(tf) AS len FROM t GROUP BY id), st AS (SELECT count(*) AS n, avg(len) AS avg FROM l), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
     s AS (SELECT q.id AS q, p.id AS p, round(sum(q.tf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score
       FROM t q JOIN t p ON q.term = p.term AND q.id <> p.id JOIN l ON l.id = p.id JOIN df ON df.term = p.term CROSS JOIN st GROUP BY q.id, p.id)
     SELECT q, p, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS rank FROM s) WHERE rank <= 5""")
-def bm25_topk_whole(spark, d):
-    """bm25_topk for every item against all others; an item does not match itself."""
+def bm25_topk(spark, d):
+    """For every item against all others; an item does not match itself."""
     counts = R.term_counts(table(spark, d, "benchmark").withColumnRenamed("item_id", "id"), ["id"], X.words(F.col("text")))
     scored = R.bm25(counts.withColumnRenamed("id", "q"), counts.withColumnRenamed("id", "p")).where("q <> p").withColumn("score", F.round("score", 6))
     return R.top_k(scored, 5, ["q"], [F.desc("score"), F.asc("p")]).select("q", "p", "score", F.col("rank").cast("long").alias("rank"))
@@ -96,8 +81,7 @@ def bow_neardup(spark, d):
     counts = R.term_counts(answers, ["id", "freq"], X.words_plain(F.col("output")))
     norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
     v = counts.select("id", "freq", "term", (F.col("tf") / norm).alias("w"))
-    pairs = R.sparse_cosine(v.select(F.col("id").alias("q"), "term", "w"), v.select(F.col("id").alias("p"), "term", "w"), [])
-    near = pairs.where(F.round("sim", 9) >= 0.8).join(answers.select(F.col("id").alias("p"), "freq"), "p")
+    near = R.sparse_at_least(v.select("id", "term", "w"), 0.8).join(answers.select(F.col("id").alias("p"), "freq"), "p")
     return near.groupBy(F.col("q").alias("id")).agg(F.sum("freq").alias("mass"))
 
 
@@ -128,6 +112,14 @@ def dense_topk(spark, d):
     return R.dense_top_k(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 3, "label").select("q", "p", "sim")
 
 
+@query("dense_topk_fallback", f"""WITH pool AS (SELECT * FROM embeddings WHERE vec_id % 5 <> 0 AND label <> 3), s AS (SELECT a.vec_id AS q, b.vec_id AS p, {COS} AS sim FROM embeddings a JOIN pool b ON a.vec_id % 5 = 0 AND (a.label = b.label OR a.label NOT IN (SELECT label FROM pool)))
+    SELECT q, p, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rank FROM s) WHERE rank <= 3""")
+def dense_topk_fallback(spark, d):
+    """A label that the pool lacks is matched against the whole pool, so no question stays without an answer."""
+    v = vectors(spark, d)
+    return R.dense_top_k(v.where("id % 5 = 0"), v.where("id % 5 <> 0 AND label <> 3"), 3, "label", whole_pool=True).select("q", "p", "sim")
+
+
 @query("margin", f"WITH {SELF} SELECT q, max(p) FILTER (rank = 1) AS p, max(sim) FILTER (rank = 1) AS sim, round(max(sim) FILTER (rank = 1) - coalesce(max(sim) FILTER (rank = 2), 0), 6) AS margin FROM self GROUP BY q")
 def margin(spark, d):
     return R.margin(neighbours(spark, d)).withColumn("margin", F.round("margin", 6))
@@ -166,7 +158,7 @@ def hybrid_topk(spark, d):
 @query("one_to_one")
 def one_to_one(spark, d):
     v = vectors(spark, d)
-    pairs = R.dense_top_k(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 1_000_000, "label")
+    pairs = R.dense_top_k(v.where("id % 2 = 0"), v.where("id % 2 = 1"), None, "label")
     return R.one_to_one(pairs, "label")
 
 

@@ -130,13 +130,12 @@ def id_diff(spark, d):
     return docs.join(labels, "doc_id", "left_anti").withColumn("side", F.lit("missing")).unionByName(labels.join(docs, "doc_id", "left_anti").withColumn("side", F.lit("extra")))
 
 
-RUNS = "runs AS (SELECT event_type AS subset, event_id AS seq, 'r' || event_id AS run, round(value / 100, 4) AS val, round(((value * 7) % 50) / 100, 4) AS held FROM events WHERE user_id < 30)"
+RUNS = "runs AS (SELECT event_type AS subset, event_id AS seq, 'r' || event_id AS run, round(value / 100, 4) AS val, round(((value * 7) % 50) / 100, 4) AS held FROM events)"
 
 
-def runs(spark, d, whole=False):
-    """The run log; only the whole one has the rows that the recursive SQL leaves out."""
+def runs(spark, d):
+    """The run log: every event is a run of its type."""
     e = table(spark, d, "events")
-    e = e if whole else e.where("user_id < 30")
     return e.select(F.col("event_type").alias("subset"), F.col("event_id").alias("seq"), F.concat(F.lit("r"), F.col("event_id")).alias("run"), F.round(F.col("value") / 100, 4).alias("val"), F.round(((F.col("value") * 7) % 50) / 100, 4).alias("held"))
 
 
@@ -163,23 +162,6 @@ def mix_weighted(spark, d):
     return L.weighted_mean(L.champions(L.champion_steps(runs(spark, d))), mix, "subset", "val")
 
 
-@query("champion_replay_whole")
-def champion_replay_whole(spark, d):
-    """champion_replay over all events; the recursive SQL is too slow there."""
-    return L.champion_steps(runs(spark, d, whole=True)).select("subset", "seq", "run", "won")
-
-
-@query("champions_whole")
-def champions_whole(spark, d):
-    return L.champions(L.champion_steps(runs(spark, d, whole=True)))
-
-
-@query("mix_weighted_whole")
-def mix_weighted_whole(spark, d):
-    mix = L.shares(table(spark, d, "events").select(F.col("event_type").alias("subset")), "subset")
-    return L.weighted_mean(L.champions(L.champion_steps(runs(spark, d, whole=True))), mix, "subset", "val")
-
-
 @query("queue_pending", "WITH done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), claimed AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY user_id), q AS (SELECT user_id, min(ts) AS created FROM events WHERE event_type = 'signup' GROUP BY user_id), now AS (SELECT max(ts) AS now FROM events) SELECT user_id FROM q WHERE user_id NOT IN (SELECT user_id FROM done) AND user_id NOT IN (SELECT user_id FROM claimed, now WHERE epoch_us(now) - epoch_us(ts) < 900000000)")
 def queue_pending(spark, d):
     """Queued work without a result and without a claim of the last 900 seconds."""

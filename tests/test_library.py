@@ -112,11 +112,11 @@ def test_champions_of_the_whole_log(spark, tmp_path):
         if won:
             best[r.event_type] = (r.val, r.held)
         want.append((r.event_type, r.event_id, f"r{r.event_id}", won))
-    got = entry.queries()["champion_replay_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["champion_replay"](spark, str(tmp_path)).collect()
     assert len(got) == 6000 and Counter(map(tuple, got)) == Counter(want)
-    assert {r.subset: (r.val, r.held) for r in entry.queries()["champions_whole"](spark, str(tmp_path)).collect()} == best
+    assert {r.subset: (r.val, r.held) for r in entry.queries()["champions"](spark, str(tmp_path)).collect()} == best
     n = Counter(r.event_type for r in kept)
-    mixed = entry.queries()["mix_weighted_whole"](spark, str(tmp_path)).first()
+    mixed = entry.queries()["mix_weighted"](spark, str(tmp_path)).first()
     assert mixed.covered == 2 and mixed.score == pytest.approx(sum(n[k] * best[k][0] for k in n) / 6000, abs=1e-4)
 
 
@@ -143,7 +143,7 @@ def test_bm25_ranks_every_item(spark, tmp_path):
         tf = {w: bags[p].count(w) for w in bags[p]}
         return round(sum(math.log(1 + (25 - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(bags[p]) / mean)) for w in bags[q] if w in tf), 4)
 
-    got = entry.queries()["bm25_topk_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["bm25_topk"](spark, str(tmp_path)).collect()
     for q in texts:
         best = sorted((score(q, p) for p in texts if p != q and set(bags[p]) & set(bags[q])), reverse=True)[:5]
         own = sorted((r for r in got if r.q == q), key=lambda r: r["rank"])
