@@ -479,9 +479,10 @@ def test_lm_score_gains_and_long_texts(spark, monkeypatch):
     rng = random.Random(6)
     text = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7))) for _ in range(n))
     rows = [(i, text(400)) for i in range(60)]
+    rows += [(i + 1000, t) for i, t in rows[:20]]
     key = next(i for i in range(100, 200) if lm_scoring.held_out(i))
     other = next(i for i in range(200, 400) if lm_scoring.held_out(i))
-    trained = next(t for i, t in rows if not lm_scoring.held_out(i))
+    trained = next(t for i, t in rows[30:] if not lm_scoring.held_out(i))
     rows += [(key, trained), (other, text(400))]
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r for r in lm_scoring.score_documents(frame).collect()}
