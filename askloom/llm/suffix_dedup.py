@@ -14,6 +14,10 @@
    neighbour, or if its piece has copies.
 4. Repeated starts go back to all documents with that piece; the union of their strings is removed.
 
+Passages of many short words may be shorter than LENGTH bytes. They lose nothing, but are counted: of every PASSAGE + 1
+runs of PASSAGE words in a row the one with the least 64-bit hash is an anchor, the leftmost of equals, and passage_words are the words that
+anchors cover whose hash other anchors have too. So any 2 * PASSAGE words that stand elsewhere too count at least PASSAGE.
+
 Null texts are empty. Texts under LENGTH bytes lose nothing. Repeated rows are documents that repeat each other. A
 document is known by its id and a hash of its text. Texts are joined with what is found in them by a shuffle at every
 size.
@@ -36,6 +40,7 @@ from askloom.llm.common import table, written
 
 LENGTH = 400
 GRAM = 200
+PASSAGE = 25
 SYMBOL = 8
 BATCH_BYTES = 1 << 20
 SEGMENT = 4 << 20
@@ -316,6 +321,71 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str =
     return written(some.unionByName(whole).groupBy(*DOC).agg(F.collect_set(F.struct("a", "b")).alias("x")), "removals")
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text, in order."""
+    held = np.frombuffer(text, np.uint8)
+    real = np.ones(len(held) + 2, bool)
+    real[0] = real[-1] = False
+    real[1:-1] = ~((held == 32) | (held >= 9) & (held <= 13))
+    edges = np.flatnonzero(real[1:] != real[:-1])
+    a, b = edges[::2], edges[1::2]
+    values, powers, inverse = _powers(0, len(held) + 1)
+    sums = np.zeros(len(held) + 1, np.uint64)
+    np.cumsum(values[held] * powers[: len(held)], out=sums[1:])
+    return mixed((sums[b] - sums[a]) * inverse[a])
+
+
+def passage_anchors(words: np.ndarray, texts: np.ndarray, size: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Where anchors begin in the words of several texts (numbers in `texts`, rising), and their hashes."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, powers, inverse = _powers(1, len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers[: len(words)], out=sums[1:])
+    h = mixed((sums[size:] - sums[:n]) * inverse[:n])
+    inside = texts[size - 1 :] == texts[:n]
+    keys = np.where(inside, h >> np.uint64(1), ~np.uint64(0))  # a run over two texts is the least of no window
+    span = size + 1
+    padded = np.full(n + span, ~np.uint64(0), np.uint64)
+    padded[:n] = keys
+    # a text with fewer runs than a window has one window
+    begins = np.searchsorted(texts, texts[:n])
+    ends = np.searchsorted(texts, texts[:n], side="right") - size + 1  # runs of the text end here
+    first = (np.arange(n) + span <= ends) | (np.arange(n) == begins)
+    at = np.flatnonzero(first & inside)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, span)
+    least = np.concatenate([np.argmin(windows[at[k : k + 65_536]], axis=1) for k in range(0, len(at), 65_536)]) if len(at) else np.zeros(0, np.int64)
+    chosen = np.unique(np.where(at + least < ends[at], at + least, at))  # a single run's window reaches into the next text
+    return chosen, h[chosen].view(np.int64)
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = PASSAGE) -> DataFrame:
+    """id, h, passage_words: for documents with repeated anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, held = 0, 0
+            for i in range(batch.num_rows + 1):
+                n = len(batch.column(2)[i].as_buffer() or b"") if i < batch.num_rows else 0
+                if i == batch.num_rows or held and held + n > BATCH_BYTES:
+                    words = [word_hashes(x) for x in batch.column(2).slice(begin, i - begin).to_pylist()]
+                    sizes = np.array([len(x) for x in words], np.int64)
+                    at, fp = passage_anchors(np.concatenate(words), np.repeat(np.arange(begin, i), sizes), size) if len(words) else (np.zeros(0, np.int64),) * 2
+                    if len(at):
+                        row = np.repeat(np.arange(begin, i), sizes)[at]
+                        place = at - (np.cumsum(sizes) - sizes)[row - begin]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place), pa.array(fp)], ["id", "h", "place", "fp"])
+                    begin, held = i, 0
+                held += n
+
+    anchors = keyed(docs, key, text).select("id", "h", "t").mapInArrow(run, "id long, h long, place long, fp long")
+    repeated = anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    found = anchors.join(repeated, "fp", "left_semi").groupBy(*DOC).agg(F.sort_array(F.collect_set("place")).alias("p"))
+    covered = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")), lambda s, p: F.struct((p + size).alias("upto"), (s["n"] + F.least(F.lit(size), p + size - s["upto"])).alias("n")), lambda s: s["n"])
+    return found.select(*DOC, covered.alias("passage_words"))
+
+
 def spans(starts: list[dict], length: int) -> list[tuple[int, int]]:
     """The bytes that the strings at these starts cover, as maximal [from, to)."""
     out: list[list[int]] = []
@@ -336,23 +406,23 @@ def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def dedup_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """One row per row of docs: the key, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes)."""
-    kind = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    """One row per row of docs: the key, n_bytes, n_removed, n_spans, kept_sha256, passage_words, and kept (the remaining bytes)."""
+    kind = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, kept binary"
     names = [x.split()[0] for x in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 rows = []
                 for x in batch.slice(i, 500).to_pylist():
                     gone = spans(x["x"] or [], length)
                     kept = without(x["t"], gone)
-                    rows.append((x["key"], len(x["t"]), len(x["t"]) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+                    rows.append((x["key"], len(x["t"]), len(x["t"]) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), x["passage_words"] or 0, kept))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-    gone = removals(docs, length, gram, key, text, segment)
-    out = keyed(docs, key, text).join(gone, DOC, "left").select(F.col("key").cast("long").alias("key"), "t", "x")
+    gone = removals(docs, length, gram, key, text, segment).join(passages(docs, key, text), DOC, "full")
+    out = keyed(docs, key, text).join(gone, DOC, "left").select(F.col("key").cast("long").alias("key"), "t", "x", "passage_words")
     return out.mapInArrow(run, kind).withColumnRenamed("k", key)
 
 
