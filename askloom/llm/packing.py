@@ -20,6 +20,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,18 +71,15 @@ class Encoder:
     def clear(self) -> None:
         self.parts: dict[str, int] = {}
         self.words: dict[str, list[int]] = {}
-        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.flat, self.starts, self.sizes = array("H"), array("q"), array("q")
 
     def word(self, word: str) -> list[int]:
         """Ids of a run of one kind."""
         if word in self.words:
             return self.words[word]
-        if word.isascii():
-            low = spelled = word.lower()
-        else:
-            low = "".join(c.lower() for c in word)
-            spelled = "".join(map(self.letters.__getitem__, low.encode()))
+        low = "".join(c.lower() for c in word)
         if low.isalpha():  # some letters become a letter and a mark, which the library parts
+            spelled = "".join(map(self.letters.__getitem__, low.encode()))
             ids = [t.id for t in self.library.model.tokenize(spelled)]
         else:
             ids = self.library.encode(word, add_special_tokens=False).ids
@@ -91,9 +89,7 @@ class Encoder:
 
     def part(self, part: str) -> int:
         """The number of a part; its ids go into the flat array if it is new."""
-        if part.isascii() and part.isalpha():
-            ids = self.word(part)
-        elif "'" in part or "<|" in part or not unicodedata.is_normalized("NFC", part):
+        if "'" in part or "<|" in part or not unicodedata.is_normalized("NFC", part):
             ids = self.library.encode(part, add_special_tokens=False).ids
         else:
             ids = [i for w in RUN.findall(part) for i in self.word(w)]
@@ -104,34 +100,39 @@ class Encoder:
         self.parts[part] = k
         return k
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, END_ID after each, and the number of ids of each."""
         if len(self.parts) > PARTS_MAX or len(self.words) > WORDS_MAX or len(self.flat) > 16 * PARTS_MAX:
             self.clear()
-        if not self.sizes:  # the first number stands for the end id
-            self.starts.append(0)
+        numbers: list[int] = []
+        counts = []
+        end = self.parts.get("\n")
+        if end is None:  # a line end alone is no part: it stands for the end id
+            self.parts["\n"] = end = len(self.sizes)
+            self.starts.append(len(self.flat))
             self.sizes.append(1)
             self.flat.append(END_ID)
-        texts = pc.fill_null(texts, "")
-        plain = pc.ascii_lower(texts)
-        marked = pc.match_substring(texts, "<|")  # the library looks for special tokens before it lowers
-        lists = pc.split_pattern(pc.replace_substring(pc.if_else(marked, texts, plain), "\n", " "), " ")
-        offsets = lists.offsets.to_numpy()
-        coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
         get = self.parts.get
-        numbers = np.array([self.part(x) if (n := get(x)) is None else n for x in coded.dictionary.to_pylist()], np.int64)
-        counts = np.diff(offsets)
-        stops = np.cumsum(counts + 1)
-        which = np.zeros(int(stops[-1]) if len(stops) else 0, np.int64)
-        inner = np.ones(len(which), bool)
-        inner[stops - 1] = False
-        which[inner] = numbers[coded.indices.to_numpy()]
+        for text in texts:
+            before = len(numbers)
+            if text:
+                if "<|" not in text:
+                    text = text.encode(errors="surrogatepass").lower().decode(errors="surrogatepass")
+                own = text.replace("\n", " ").split(" ")
+                found = list(map(get, own))
+                if None in found:
+                    found = [self.part(x) if (n := get(x)) is None else n for x in own]
+                numbers += found
+            numbers.append(end)
+            counts.append(len(numbers) - before)
+        which = np.array(numbers, np.int64)
         sizes = np.frombuffer(self.sizes, np.int64)[which]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat((np.frombuffer(self.starts, np.int64)[which] - (ends - sizes)).astype(np.int32), sizes)  # a batch has far less than 2 ** 31 ids
-        at += np.arange(total, dtype=np.int32)
-        return np.frombuffer(self.flat, np.uint32)[at], np.diff(ends[stops - 1], prepend=0)
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        at = np.repeat(np.frombuffer(self.starts, np.int64)[which] - (stops - sizes), sizes) + np.arange(total)
+        ids = np.frombuffer(self.flat, np.uint16)[at]
+        ends = stops[np.cumsum(counts) - 1] if counts else np.zeros(0, np.int64)
+        return ids, np.diff(ends, prepend=0)
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,38 +155,30 @@ def choose(places: list[int], cost: list[int], limit: int = LIMIT) -> list[int]:
     """The cheapest cuts among `places` (rising; the last is always one), from 0 on."""
     if not places:
         return []
-    place = np.array([0, *places])
-    powers = [p for p in (1 << k for k in range(limit.bit_length())) if LEAST_POWER <= p < limit]
-    jumps: dict[int, list[int]] = {}  # by end: the starts of windows that are a power of two long
-    for p in powers:
-        start = np.searchsorted(place, place - p)
-        for j in np.flatnonzero((place >= p) & (place[start] == place - p)).tolist():
-            jumps.setdefault(j, []).append(int(start[j]))
-    where = place.tolist()
+    at = {0: 0}
     best, back = [0], [-1]
-    queue, head = [0], [0]  # a monotone queue of starts, and what orders it: best + place
-    first, last, jump = 0, len(where) - 1, jumps.get
+    where = [0, *places]
+    queue: deque[int] = deque([0])  # indexes of starts, by rising best + place
+    powers = [p for p in (1 << k for k in range(limit.bit_length())) if LEAST_POWER <= p < limit]
     for j in range(1, len(where)):
         here = where[j]
-        least = here - limit
-        while where[queue[first]] < least:
-            first += 1
-        i = queue[first]
-        value = head[first] + limit - here
-        for k in jump(j, ()):
-            if best[k] < value:
+        while where[queue[0]] < here - limit:
+            queue.popleft()
+        i = queue[0]
+        value = best[i] + limit - (here - where[i])
+        for p in powers:
+            k = at.get(here - p)
+            if k is not None and best[k] < value:
                 value, i = best[k], k
-        value += PER_WINDOW
-        if j < last:
+        if j < len(where) - 1:
             value += cost[j - 1]
+        value += PER_WINDOW
         best.append(value)
         back.append(i)
-        rank = value + here
-        while len(head) > first and head[-1] >= rank:
-            head.pop()
+        at[here] = j
+        while queue and best[queue[-1]] + where[queue[-1]] >= value + here:
             queue.pop()
         queue.append(j)
-        head.append(rank)
     cuts, j = [], len(where) - 1
     while j > 0:
         cuts.append(where[j])
@@ -198,7 +191,7 @@ class Packer:
 
     def __init__(self, ends: np.ndarray, limit: int, base: int) -> None:
         self.ends, self.limit, self.next = ends, limit, base
-        self.ids = np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, np.uint16)
         self.docs: list[list] = []  # key, place of its first id (may lie before the held ids), number of ids
 
     def add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -249,7 +242,7 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", limit: int = LIMIT, k
             for i, n in enumerate([*pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), None]):
                 if n is None or held and held + n > BATCH_BYTES:
                     part = batch.slice(begin, i - begin)
-                    packer.add(part.column(0).to_pylist(), *encoder.encode(part.column(1)))
+                    packer.add(part.column(0).to_pylist(), *encoder.encode(part.column(1).to_pylist()))
                     begin, held = i, 0
                     if len(packer.ids) >= STRETCH and (out := packer.settle(False)):
                         yield rows(out)
