@@ -271,7 +271,7 @@ def test_surrogates(spark, nothing):
         "no entities", None, "",
     ]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(3, "no entities", "x"), (None, "x@y.org", "x")], "doc_id long, text string, made string")
-    out = {(r.doc_id, r.made): r.text for r in pii.replace_documents(df).collect()}
+    out = {(r.doc_id, r.made): r.text for r in pii.replace_documents(df, "k").collect()}
     a, b, c = (out[(k, "clash")] for k in range(3))
     for old in ("Smith", "JONES", "555-3192", "4111", "example.com", "10.0.0.1", "3704", "123-45", "hunter22x", "0641917", "MD62HKU6"):
         assert old not in a + b + c
@@ -283,17 +283,41 @@ def test_surrogates(spark, nothing):
     card = re.sub(r"\D", "", re.search(r"card ([\d ]+)", a)[1])
     assert sum(sum(divmod(2 * int(x), 10)) if k % 2 else int(x) for k, x in enumerate(reversed(card))) % 10 == 0
     mails = re.findall(r"\S+@[\w.]+\w", b)
-    assert mails[0] == mails[1] != mails[2] and mails[0].split("@")[1] == mails[2].split("@")[1]
+    assert mails[0].lower() == mails[1].lower() != mails[2] and mails[1].split("@")[0].isupper() and mails[0].split("@")[1] == mails[2].split("@")[1]
     assert re.search(r"password: \w{9} token = \"[0-9a-f]{40}\" AKIA[A-Z0-9]{16}$", c)
-    assert pii.replace_documents(nothing).count() == 0
+    assert pii.replace_documents(nothing, "k").count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
     df = spark.createDataFrame([(i, f"m {c}@{c}.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
-    out = [r.text for r in pii.replace_documents(df).collect()]
+    out = [r.text for r in pii.replace_documents(df, "k").collect()]
     assert len(set(out)) == 26 and not {f"m {c}@{c}.org" for c in "abcdefghijklmnopqrstuvwxyz"} & set(out)
 
 
+def test_surrogates_of_names_phones_and_marks(spark, monkeypatch):
+    texts = [
+        "Mr John Paul Smith came. Mr John Peter Smith left.", "Dr John Smith said: John Smith agrees, says Mr John Smith. Smith", "+33 1 23 45 67 89 or 01 23 45 67 89 or +33123456789",
+        "Write to John.Doe@Example.COM", "\u0413-\u043d \u0418\u0432\u0430\u043d \u041f\u0435\u0442\u0440\u043e\u0432", "a@b" + ".c" * 2000, "John Smith is not named here with a title",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.replace_documents(df, "k").orderBy("doc_id").collect()]
+    one, other = re.fullmatch(r"Mr (\w+ \w+ \w+) came\. Mr (\w+ \w+ \w+) left\.", out[0]).groups()
+    assert one != other and [x == y for x, y in zip(one.split(), other.split(), strict=True)] == [True, False, True]
+    names = re.fullmatch(r"Dr (\w+ \w+) said: (\w+ \w+) agrees, says Mr (\w+ \w+)\. Smith", out[1]).groups()
+    assert len(set(names)) == 1 and names[0].split() == [one.split()[0], one.split()[2]]
+    phones = [re.sub(r"\D", "", x) for x in out[2].split(" or ")]
+    assert phones[0][:2] == "33" and phones[1][0] == "0" and phones[0][2:] == phones[1][1:] == phones[2][2:] != "123456789"
+    local, domain = out[3].split()[-1].split("@")
+    assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}", local) and re.fullmatch(r"[A-Z][a-z]{6}\.COM", domain) and "Doe" not in local
+    assert "\u0418\u0432\u0430\u043d" not in out[4] and out[5].count(".") == 2000 and out[5] != texts[5] and out[6] == texts[6]
+    with pytest.raises(ValueError):
+        pii.replace_documents(df)
+    monkeypatch.setattr(pii, "ROUNDS_MAX", 1)
+    many = spark.createDataFrame([(i, f"m {a}@{b}.org") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "xyz")], "doc_id long, text string")
+    left = [r.text for r in pii.replace_documents(many, "k").collect()]
+    assert len(set(left)) == len(left) and any(x.startswith("m [email-") for x in left)
+
+
 def test_suffix_dedup(docs, nothing, rows):
     texts = [(t or "").encode() for _, t in rows]
     seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
