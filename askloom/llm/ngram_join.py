@@ -33,6 +33,8 @@ SHINGLE = 5
 DEEPER = 16
 MEETING = 6000
 BROADCAST_ROWS = 500_000
+#: Heavy shingles that are counted apart, the sketch's counters, and the least rows of a heavy one.
+HOT, TRACKED, HOT_ROWS = 2000, 20_000, 1000
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -142,9 +144,24 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[out.a != out.b]
 
 
+def heavy(rows: DataFrame) -> DataFrame | None:
+    """The numbers g that most rows have, as far as HOT_ROWS or more seem to have them: at most HOT, found by a sketch of
+    TRACKED counters with partial aggregates. What it misses has under 1/HOT of all rows."""
+    found = rows.agg(F.expr(f"approx_top_k(g, {HOT}, {TRACKED})").alias("x")).first()["x"] or []
+    held_by = [(r["item"],) for r in found if r["count"] >= HOT_ROWS]
+    return F.broadcast(rows.sparkSession.createDataFrame(held_by, "g long")) if held_by else None
+
+
 def shared(rows: DataFrame) -> DataFrame:
-    """rows with df, the number of rows with the same g, where that is over one. One shuffle; groups may spill."""
-    return rows.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
+    """rows with df, the number of rows with the same g, where that is over one. Heavy numbers are counted by partial
+    aggregates and never meet in one task; all others take one shuffle. rows are read several times: they come from a file."""
+    hot = heavy(rows)
+    cold = rows if hot is None else rows.join(hot, "g", "left_anti")
+    out = cold.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
+    if hot is None:
+        return out
+    counts = rows.join(hot, "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
+    return out.unionByName(rows.join(F.broadcast(counts), "g").where("df > 1").select(*out.columns))  # at most HOT rows
 
 
 def prefix(s: Column) -> Column:
@@ -164,7 +181,8 @@ def meetings(sets: DataFrame) -> DataFrame:
     """at, i, j, rep: which sets (rep, n, s) meet where, by step 3. s has the shingles that any other has, rarest first."""
     p = F.col("n") - need(F.col("n")) + 1 - (F.col("n") - F.size("s"))
     rows = shared(sets.where(p > 0).select("rep", F.explode(F.slice("s", 1, F.least(p, F.size("s")))).alias("g")))
-    pairs = cut(rows.select(F.min("rep").over(Window.partitionBy("g")).alias("at"), "rep").distinct())
+    rows = cut(rows.select("g", "rep"))
+    pairs = cut(rows.join(rows.groupBy("g").agg(F.min("rep").alias("at")), "g").select("at", "rep").distinct())
     size = pairs.groupBy("at").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("blocks"))
     placed = pairs.join(size, "at").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -173,6 +191,7 @@ def meetings(sets: DataFrame) -> DataFrame:
 
 def link(sets: DataFrame) -> DataFrame:
     """a, b: links between the sets (rep, n, s) that connect the same sets as all links do."""
+    sets = written(sets, "few")
     rows = shared(sets.select("rep", "n", F.explode("s").alias("g")))
     sets = rows.groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("df", "g"))).alias("x"))  # rows that repeat count once
     sets = written(sets.select("rep", "n", F.transform("x", lambda x: x["g"]).alias("s")), "sets")
