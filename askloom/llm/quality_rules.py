@@ -124,11 +124,10 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with the columns they had."""
-    narrow = measures(count_words(keyed(docs, lang, source).select("lang_", "source_", F.col(text).alias("t")), "t"))
-    limits = thresholds(narrow)
     packed = docs.select(F.struct("*").alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    wide = measures(count_words(keyed(packed, "lang", "source"), "text"))
-    return judged(wide, limits).where("kept").select("row.*")
+    measured = measures(count_words(keyed(packed, "lang", "source"), "text")).select("row", "lang_", "source_", "base_failed", *MEASURES)
+    measured = written(measured, "measured")  # words are counted once, for thresholds and verdicts
+    return judged(measured, thresholds(measured)).where("kept").select("row.*")
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
