@@ -1,51 +1,9 @@
-"""The corpus pipeline: STAGES applied in turn to `documents`, each written as Parquet and read by the next.
-
-Quality rules drop the documents they reject; of each group of near copies the one with the smallest id stays;
-documents with a benchmark window go; personal data is replaced in the text (n_chars follows); the rest is packed.
-Nulls, empty texts and repeated rows are treated as the operators' docstrings say.
-"""
+"""The corpus pipeline: STAGES applied in turn to `documents`, as askloom.llm.pipeline has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from askloom.llm import decontamination, ngram_join, packing, pii, quality_rules
-from askloom.llm.common import table, written
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.filter_documents(docs)
-
-
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
-
-
-def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+from askloom.llm.pipeline import STAGES, run
 
-
-def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace_documents(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality_rules", keep_good),
-    ("ngram_jaccard_join", keep_one_of_each),
-    ("decontamination", keep_clean),
-    ("pii", replace_personal),
-    ("packing", pack),
-]
 #: The packing stage counts tokens of a library, which SQL can't; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
