@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from askloom.llm.common import table, written
+from askloom.llm.common import cut, table, written
 
 LENGTH = 400
 GRAM = 200
@@ -380,7 +380,8 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
                 held += n
 
     anchors = keyed(docs, key, text).select("id", "h", "t").mapInArrow(run, "id long, h long, place long, fp long")
-    repeated = anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    anchors = written(anchors, "anchors")
+    repeated = cut(anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))  # so that Spark can split a hot hash below
     found = anchors.join(repeated, "fp", "left_semi").groupBy(*DOC).agg(F.sort_array(F.collect_set("place")).alias("p"))
     covered = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")), lambda s, p: F.struct((p + size).alias("upto"), (s["n"] + F.least(F.lit(size), p + size - s["upto"])).alias("n")), lambda s: s["n"])
     return found.select(*DOC, covered.alias("passage_words"))
