@@ -89,7 +89,7 @@ def write_package(folder: str, records: Iterator[tuple[bytes, dict]]) -> Iterato
                 while record is not None and size < PACKAGE_BYTES:
                     packed = gzip.compress(record[0], 6, mtime=0)
                     member.write(packed)
-                    index.append(f"{record[1]['url']} {DATE} {json.dumps(record[1] | {'offset': size, 'length': len(packed)})}\n")
+                    index.append(f"{record[1]['url']} {DATE} {json.dumps(record[1] | {'filename': 'data.warc.gz', 'offset': size, 'length': len(packed)})}\n")
                     size += len(packed)
                     record = next(records, None)
             with package.open("indexes/index.cdxj", "w", force_zip64=True) as member:
@@ -145,27 +145,41 @@ def member_start(file, local: int) -> int:
 
 
 def ranges(address: str) -> Iterator[tuple[str, int, list[int]]]:
-    """Runs of records of a package: address, first byte, lengths of the records, about RANGE_BYTES together."""
+    """Runs of records of a package: address, first byte, lengths of the records, about RANGE_BYTES together. Every index
+    entry names its archive member by its file name; it may leave that out where the package has a single one."""
     store, at = fs.FileSystem.from_uri(address)
     with store.open_input_file(at) as file:
         members = directory(file, file.size())
-        for name in (x for x in members if x.endswith(".warc.gz")):
-            base = member_start(file, members[name][1])
-            method, local, size = members["indexes/index.cdxj"]
-            if method or members[name][0]:
+        archives = {x.rsplit("/", 1)[-1]: x for x in members if x.endswith(".warc.gz")}
+        bases: dict[str, int] = {}
+        for index in (x for x in members if x.endswith(".cdxj")):
+            method, local, size = members[index]
+            if method:
                 raise ValueError("only stored members can be read by range")
             file.seek(member_start(file, local))
-            start, run = 0, []
+            name, start, run, held = "", 0, [], 0
             for line in file.read(size).splitlines():
                 entry = json.loads(line.split(b" ", 2)[2])
-                if run and sum(run) + entry["length"] > RANGE_BYTES or run and entry["offset"] != start + sum(run):
-                    yield address, base + start, run
-                    run = []
+                own = entry.get("filename", "").rsplit("/", 1)[-1]
+                if own not in archives:
+                    if own or len(archives) != 1:
+                        raise ValueError(f"no archive member for an index entry of {index}")
+                    own = next(iter(archives))
+                if own not in bases:
+                    if members[archives[own]][0]:
+                        raise ValueError("only stored members can be read by range")
+                    place = file.tell()
+                    bases[own] = member_start(file, members[archives[own]][1])
+                    file.seek(place)
+                if run and (own != name or held + entry["length"] > RANGE_BYTES or entry["offset"] != start + held):
+                    yield address, bases[name] + start, run
+                    run, held = [], 0
                 if not run:
-                    start = entry["offset"]
+                    name, start = own, entry["offset"]
                 run.append(entry["length"])
+                held += entry["length"]
             if run:
-                yield address, base + start, run
+                yield address, bases[name] + start, run
 
 
 def read_run(address: str, start: int, lengths: list[int]) -> Iterator[dict]:

@@ -137,6 +137,26 @@ def test_archives(spark, docs, tmp_path):
     assert warc_zip.read_archives(warc_zip.write_archives(pages.where("false"), folder + "-none")).count() == 0
 
 
+def test_packages_with_several_archives(tmp_path):
+    import gzip
+    import json
+
+    members, lines = {"a.warc.gz": b"", "b.warc.gz": b""}, []
+    for k in range(12):
+        name = "ab"[k % 2] + ".warc.gz"
+        raw, entry = warc_zip.to_record(k, f"http://x/{k}", f"page {k}".encode(), None)
+        packed = gzip.compress(raw)
+        lines.append(f"u 2020 {json.dumps(entry | {'filename': name, 'offset': len(members[name]), 'length': len(packed)})}")
+        members[name] += packed
+    path = tmp_path / "two.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as package:
+        for name, held in members.items():
+            package.writestr(f"archive/{name}", held)
+        package.writestr("indexes/index.cdxj", "\n".join(lines))
+    got = [r for run in warc_zip.ranges(f"file://{path}") for r in warc_zip.read_run(*run)]
+    assert {(r["page_id"], r["payload"]) for r in got} == {(k, f"page {k}".encode()) for k in range(12)}
+
+
 def test_zip64_directory():
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as package:
@@ -558,6 +578,60 @@ def test_main_text(html, text):
     assert html_extraction.main_text(html) == text
 
 
+def test_density_decides_and_time_is_linear():
+    import time
+
+    text = "A long paragraph with many plain words of the article. " * 8
+    page = f"<body><div><a href=x>one</a> <a href=y>two</a></div><section><h1>Title</h1><p>{text}</p><p>{text}</p></section><div><a href=z>a list of links and more</a><a href=w>links again</a></div></body>"
+    assert html_extraction.main_text(page) == " ".join(f"Title {text} {text}".split())
+    tree = html_extraction.Tree(page)
+    best = html_extraction.content(tree)
+    assert {tree.tags[i] for i in best} == {"section", "h1", "p"}
+    for broken in ('<a "' * 250_000, "<b>" * 60_000 + "</u>" * 60_000, "<p><td>" + "<b>" * 60_000 + "<h1></h1>" * 40_000, "<svg/>" * 150_000, "<" * 500_000, '<a x="' * 150_000):
+        begun = time.process_time()
+        html_extraction.main_text(broken)
+        assert time.process_time() - begun < 20
+
+
+def test_densities_against_a_recursive_sum():
+    """The leading node is the one with the greatest sum of its children's densities, counted node by node."""
+    import math
+
+    rng = random.Random(5)
+
+    def made(depth):
+        if depth == 0:
+            return " ".join("word" for _ in range(rng.randrange(1, 30)))
+        kids = "".join(made(depth - 1) for _ in range(rng.randrange(1, 4)))
+        tag = rng.choice(["div", "section", "div", "a"])
+        return f"<{tag}>{kids}</{tag}>"
+
+    for _ in range(30):
+        page = made(4)
+        tree = html_extraction.Tree(page)
+        kids = {i: [j for j in range(1, len(tree.tags)) if tree.parents[j] == i] for i in range(len(tree.tags))}
+        own = {i: sum(len(" ".join(t.split())) for k, t in tree.texts if k == i and t) for i in kids}
+        is_link = lambda i: i > 0 and (tree.tags[i] == "a" or is_link(tree.parents[i]))
+        under = lambda i: [i] + [x for j in kids[i] for x in under(j)]
+
+        def numbers(i):
+            nodes = under(i)
+            return sum(own[j] for j in nodes), len(nodes), sum(own[j] for j in nodes if is_link(j)), sum(is_link(j) for j in nodes)
+
+        c0, _, l0, _ = numbers(0)
+
+        def density(c, t, lc, lt):
+            if not c:
+                return 0.0
+            base = math.log(c / (c - lc or 1) * lc + l0 / (c0 or 1) * c + math.e)
+            ratio = c / t * math.log(max(c / (lc or 1) * t / (lt or 1), 1 + 1e-9))
+            return ratio / math.log(base) if base > 1 + 1e-9 else ratio
+
+        total = {i: density(own[i], 1, own[i] * is_link(i), int(is_link(i))) + sum(density(*numbers(j)) for j in kids[i]) for i in kids}
+        best = max(total, key=lambda i: (round(total[i], 9), -i))
+        assert best in html_extraction.content(tree)
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "c"), (1, "u", "<p>a</p>", "c"), (2, None, None, "c"), (None, "u", "", "c")], "page_id long, url string, html string, text string")
     assert Counter(map(tuple, html_extraction.extract_pages(pages).collect())) == Counter({(1, "u", "a", 1): 2, (2, None, "", 0): 1, (None, "u", "", 0): 1})
