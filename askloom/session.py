@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship(spark: SparkSession) -> str:
+    """Sends this package to all executors as a zip file, for clusters on which it isn't installed; gives the file's path.
+    Python functions of the operators are pickled by reference, so workers must be able to import it."""
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="askloom-ship-"), "askloom"), "zip", os.path.dirname(PACKAGE), os.path.basename(PACKAGE))
+    spark.sparkContext.addPyFile(made)
+    return made
+
 
 def local_session(cores: int | str = 8, partitions: int = 8, **extra: str) -> SparkSession:
     """A local session with adaptive execution on; a cluster brings its own settings."""
