@@ -57,26 +57,26 @@ def sparse_scores(left: pa.Table, right: pa.Table) -> np.ndarray:
 
 
 def dealt(queries: DataFrame, pool: DataFrame, within: str, rows: int, whole_pool: bool) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the cell (whole, group, qb, pb) in which a query and a pool row meet; rows are copied once per block
+    """Both sides with the cell (_whole, _g, _qb, _pb) in which a query and a pool row meet; rows are copied once per block
     of the other side. whole_pool: queries of a group without pool rows meet the whole pool."""
     pool = pool.select(*[F.col(c).alias(c) for c in pool.columns])  # both sides may be one table
     group = F.col(within)
-    has = pool.groupBy(group.alias("g")).agg(F.count("*").alias("np"))
-    q = queries.join(has, group.eqNullSafe(F.col("g")) if whole_pool else group == F.col("g"), "left").withColumn("whole", F.col("np").isNull())
-    q = q.drop("np") if whole_pool else q.where("np IS NOT NULL").drop("np")
-    q = q.withColumn("g", F.when(~F.col("whole"), group))
-    p = pool.withColumns({"g": group, "whole": F.lit(False)})
+    has = pool.groupBy(group.alias("_g")).agg(F.count("*").alias("_np"))
+    q = queries.join(has, group.eqNullSafe(F.col("_g")) if whole_pool else group == F.col("_g"), "left").withColumn("_whole", F.col("_np").isNull())
+    q = q.drop("_np") if whole_pool else q.where("_np IS NOT NULL").drop("_np")
+    q = q.withColumn("_g", F.when(~F.col("_whole"), group))
+    p = pool.withColumns({"_g": group, "_whole": F.lit(False)})
     if whole_pool:
-        p = p.unionByName(pool.withColumns({"g": F.lit(None).cast(pool.schema[within].dataType), "whole": F.lit(True)}))
+        p = p.unionByName(pool.withColumns({"_g": F.lit(None).cast(pool.schema[within].dataType), "_whole": F.lit(True)}))
     sizes = []
-    for side, name in ((q, "nq"), (p, "np")):
-        sizes.append(side.groupBy("whole", "g").agg(F.ceil(F.count("*") / rows).cast("int").alias(name)).withColumnsRenamed({"whole": "w_", "g": "g_"}))
-    both = sizes[0].join(sizes[1].withColumnsRenamed({"w_": "w2", "g_": "g2"}), (F.col("w_") == F.col("w2")) & F.col("g_").eqNullSafe(F.col("g2"))).select("w_", "g_", "nq", "np")
-    meets = (F.col("whole") == F.col("w_")) & F.col("g").eqNullSafe(F.col("g_"))
+    for side, name in ((q, "_nq"), (p, "_np")):
+        sizes.append(side.groupBy("_whole", "_g").agg(F.ceil(F.count("*") / rows).cast("int").alias(name)).withColumnsRenamed({"_whole": "_w_", "_g": "_g_"}))
+    both = sizes[0].join(sizes[1].withColumnsRenamed({"_w_": "_w2", "_g_": "_g2"}), (F.col("_w_") == F.col("_w2")) & F.col("_g_").eqNullSafe(F.col("_g2"))).select("_w_", "_g_", "_nq", "_np")
+    meets = (F.col("_whole") == F.col("_w_")) & F.col("_g").eqNullSafe(F.col("_g_"))
     block = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    own = ["nq", "np", "w_", "g_"]
-    return q.join(both, meets).withColumns({"qb": block("nq"), "pb": every("np")}).drop(*own), p.join(both, meets).withColumns({"pb": block("np"), "qb": every("nq")}).drop(*own)
+    own = ["_nq", "_np", "_w_", "_g_"]
+    return q.join(both, meets).withColumns({"_qb": block("_nq"), "_pb": every("_np")}).drop(*own), p.join(both, meets).withColumns({"_pb": block("_np"), "_qb": every("_nq")}).drop(*own)
 
 
 def in_blocks(queries: DataFrame, pool: DataFrame, within: str, score: Scores, rows: int, k: int | None = None, least: float | None = None, differ: str | None = None, whole_pool: bool = False, digits: int = 6) -> DataFrame:
@@ -111,5 +111,5 @@ def in_blocks(queries: DataFrame, pool: DataFrame, within: str, score: Scores, r
         return pa.concat_tables(out)
 
     kind = f"grp {kinds[within].dataType.simpleString()}, q {kinds['id'].dataType.simpleString()}, p {pool.schema['id'].dataType.simpleString()}, sim double"
-    keys = ["whole", "g", "qb", "pb"]
+    keys = ["_whole", "_g", "_qb", "_pb"]
     return cells[0].groupBy(*keys).cogroup(cells[1].groupBy(*keys)).applyInArrow(run, kind).withColumnRenamed("grp", within)
