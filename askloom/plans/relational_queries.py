@@ -32,9 +32,11 @@ def revenue_by_nation(spark, d):
     return full.groupBy("n_name", "r_name").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def customers_without_orders(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+@query("customers_without_low", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')")
+def customers_without_low(spark, d):
+    """Customers without an order of low priority; every customer of the tables has some order."""
+    low = table(spark, d, "orders").where("o_orderpriority = '5-LOW'")
+    return table(spark, d, "customer").join(low, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("customers_with_urgent", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")

@@ -55,10 +55,12 @@ def overlap_audit(spark, d):
     return t.where("side = 0").select("x").intersect(t.where("side = 1").select("x")).agg(F.count("*").alias("shared"))
 
 
-@query("disjoint_check", f"WITH {ranked_sql(42)} SELECT count(*) AS broken FROM (SELECT doc_id FROM r GROUP BY doc_id HAVING count(*) > 1)")
+@query("disjoint_check", "SELECT doc_id, 2::BIGINT AS splits FROM documents WHERE doc_id % 3 = 2 AND doc_id % 4 < 2")
 def disjoint_check(spark, d):
-    s = P.three_way(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", (0.8, 0.1, 0.1))
-    return P.disjoint(s, "doc_id").agg(F.count("*").alias("broken"))
+    """Keys that stand in two of three splits that were not made disjoint."""
+    docs = table(spark, d, "documents").select("doc_id")
+    part = lambda c, n: docs.where(c).withColumn("split", F.lit(n))
+    return P.disjoint(part("doc_id % 3 = 2", "a").unionByName(part("doc_id % 4 < 2", "b")).unionByName(part("doc_id % 3 = 2", "a")), "doc_id")
 
 
 @query("length_stats", f"""WITH w AS (SELECT lang, len({words_sql('text')}) AS n FROM documents)
@@ -162,14 +164,17 @@ def mix_weighted(spark, d):
     return L.weighted_mean(L.champions(L.champion_steps(runs(spark, d))), mix, "subset", "val")
 
 
-@query("queue_pending", "WITH done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), claimed AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY user_id), q AS (SELECT user_id, min(ts) AS created FROM events WHERE event_type = 'signup' GROUP BY user_id), now AS (SELECT max(ts) AS now FROM events) SELECT user_id FROM q WHERE user_id NOT IN (SELECT user_id FROM done) AND user_id NOT IN (SELECT user_id FROM claimed, now WHERE epoch_us(now) - epoch_us(ts) < 900000000)")
+@query("queue_pending", """WITH done AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'purchase' GROUP BY user_id), claimed AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY user_id), now AS (SELECT max(ts) AS now FROM events)
+    SELECT e.event_id FROM events e LEFT JOIN done d ON d.user_id = e.user_id LEFT JOIN claimed c ON c.user_id = e.user_id, now
+    WHERE e.event_type = 'signup' AND coalesce(d.last, -1) < e.event_id AND (c.ts IS NULL OR epoch_us(now) - epoch_us(c.ts) >= 900000000)""")
 def queue_pending(spark, d):
-    """Queued work without a result and without a claim of the last 900 seconds."""
+    """Queued specs (signups) without a later result (purchase) and without a claim (click) of the last 900 seconds."""
     e = table(spark, d, "events")
     of = lambda k: e.where(F.col("event_type") == k)
     now = e.agg(F.max("ts").alias("now"))
-    fresh = of("click").groupBy("user_id").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(now)).where(F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) < 900_000_000)
-    return of("signup").select("user_id").distinct().join(of("purchase").select("user_id"), "user_id", "left_anti").join(fresh, "user_id", "left_anti")
+    done = of("purchase").groupBy("user_id").agg(F.max("event_id").alias("last"))
+    fresh = of("click").groupBy("user_id").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(now)).where(F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) < 900_000_000)  # now is one row
+    return of("signup").join(done, "user_id", "left").where("last IS NULL OR last < event_id").join(fresh, "user_id", "left_anti").select("event_id")
 
 
 @query("group_complete", "SELECT user_id, count(DISTINCT event_type) AS parts, max(event_id) AS last_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = 5")
@@ -187,8 +192,9 @@ def lease_expired(spark, d):
 
 @query("length_batches", "SELECT doc_id, ((row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1) // 32)::BIGINT AS batch FROM documents")
 def length_batches(spark, d):
-    rn = F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.floor((rn - 1) / 32).cast("long").alias("batch"))
+    """Batches of 32 texts of like length inside a language."""
+    rows = P.ordinal(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "lang", F.col("n_chars"), [F.col("doc_id")])
+    return rows.select("doc_id", F.floor((F.col("rn") - 1) / 32).cast("long").alias("batch"))
 
 
 @query("file_manifest")
