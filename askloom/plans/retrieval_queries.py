@@ -24,11 +24,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def lexical(spark, d, grams, min_df=1):
-    """Similarities of questions (q) to all others (p) of the same subset, fitted on the whole pool."""
+def weighted(spark, d, grams, min_df=1):
+    """Vectors (id, subset, term, w) of the questions, fitted on the whole pool."""
     pool = qa_pool(spark, d).select("id", "subset", "input")
     counts = R.term_counts(pool, ["id", "subset"], grams(F.col("input")))
-    weights = R.tfidf(counts, R.idf(counts, pool.agg(F.count("*").alias("n")), min_df), ["id", "subset"])
+    return R.tfidf(counts, R.idf(counts, pool.agg(F.count("*").alias("n")), min_df), ["id", "subset"])
+
+
+def lexical(spark, d, grams, min_df=1):
+    """Similarities of questions (q) to all others (p) of the same subset."""
+    weights = weighted(spark, d, grams, min_df)
     return R.sparse_top_k(weights, weights, 3, "subset", drop_self=True).select("q", "p", "sim", F.col("rank").cast("long").alias("rank"))
 
 
@@ -329,3 +334,26 @@ def ltr_predict(spark, d):
         part = model.transform(rows.where(F.col("fold") == fold)).select("q", "answer", "prediction")
         made = part if made is None else made.unionByName(part)
     return R.top_k(made, 1, ["q"], [F.desc("prediction"), F.asc("answer")]).drop("rank")
+
+
+@query("candidate_features", f"""WITH {QA}, wl AS ({lexical_sql(_PLAIN, 1)}), cl AS ({lexical_sql(_CHARS, 2)}), l AS (SELECT q, p, rank, 0 AS k FROM wl UNION ALL SELECT q, p, rank, 1 FROM cl),
+    f AS (SELECT l.q, o.subset, b.output AS answer, o.output AS own, coalesce(min(rank) FILTER (k = 0) - 1, 50) AS r0, coalesce(min(rank) FILTER (k = 1) - 1, 50) AS r1 FROM l JOIN qa b ON b.id = l.p JOIN qa o ON o.id = l.q GROUP BY ALL),
+    fr AS (SELECT subset, output AS answer, count(*) AS freq, min(id) AS aid FROM qa GROUP BY ALL), med AS (SELECT subset, quantile_cont(len({words_sql('output')}), 0.5) AS m FROM qa GROUP BY subset),
+    dt AS (SELECT subset, 'q' || id AS id, input AS t FROM qa UNION ALL SELECT subset, 'a' || id, output FROM qa), dn AS (SELECT subset, count(*) AS n FROM dt GROUP BY subset),
+    dtf AS (SELECT subset, id, term, count(*) AS tf FROM (SELECT subset, id, unnest(regexp_extract_all(lower(t), '[^\\s?.,!]+')) AS term FROM dt) GROUP BY ALL),
+    ddf AS (SELECT dtf.subset, term, ln((1 + any_value(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM dtf JOIN dn ON dn.subset = dtf.subset GROUP BY ALL),
+    dv AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, dtf.term, (1 + ln(tf)) * idf AS w FROM dtf JOIN ddf ON ddf.subset = dtf.subset AND ddf.term = dtf.term)),
+    qs AS (SELECT f.q, fr.aid, sum(x.w * y.w) AS s FROM f JOIN fr ON fr.subset = f.subset AND fr.answer = f.answer JOIN dv x ON x.id = 'q' || f.q JOIN dv y ON y.id = 'a' || fr.aid AND y.term = x.term GROUP BY ALL),
+    ctf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_CHARS}) AS term FROM qa) GROUP BY ALL), cdf AS (SELECT term, ln((1 + (SELECT count(*) FROM qa)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM ctf GROUP BY term HAVING count(*) >= 2),
+    cv AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, ctf.term, (1 + ln(tf)) * idf AS w FROM ctf JOIN cdf ON cdf.term = ctf.term)),
+    sp AS (SELECT f.q, f.answer, b.id AS p FROM f JOIN qa b ON b.subset = f.subset AND b.output = f.answer), sd AS (SELECT sp.q, sp.p, sum(x.w * y.w) AS s FROM (SELECT DISTINCT q, p FROM sp WHERE q <> p) sp JOIN cv x ON x.id = sp.q JOIN cv y ON y.id = sp.p AND y.term = x.term GROUP BY ALL),
+    sb AS (SELECT sp.q, sp.answer, max(CASE WHEN sp.q = sp.p THEN -1 ELSE coalesce(sd.s, 0) END) AS s FROM sp LEFT JOIN sd ON sd.q = sp.q AND sd.p = sp.p GROUP BY ALL)
+    SELECT f.q, f.answer, round(-ln(1 + r0), 6) + 0 AS logrank_0, round(-ln(1 + r1), 6) + 0 AS logrank_1, (r0 = 0)::INT + (r1 = 0)::INT AS n_top1, round(coalesce(qs.s, 0), 6) AS q_ans, round(sb.s, 6) AS sib_char,
+      round(ln(greatest(1, freq - (f.answer = own)::INT)), 6) AS lfreq, round(len({words_sql('f.answer')}) / m, 6) AS len_ratio
+    FROM f JOIN fr ON fr.subset = f.subset AND fr.answer = f.answer JOIN med ON med.subset = f.subset LEFT JOIN qs ON qs.q = f.q AND qs.aid = fr.aid JOIN sb ON sb.q = f.q AND sb.answer = f.answer""")
+def candidate_features(spark, d):
+    """Candidates of a word and a character ranker over the real pool, with their features."""
+    from askloom.operators import ranking as K
+
+    lists = [lexical(spark, d, lambda c: X.words_plain(F.lower(c))), lexical(spark, d, X.char_ngrams, 2)]
+    return K.candidate_features(lists, qa_pool(spark, d), X.words_plain(F.lower(F.col("t"))), weighted(spark, d, X.char_ngrams, 2))
