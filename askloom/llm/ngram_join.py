@@ -34,7 +34,7 @@ DEEPER = 16
 MEETING = 6000
 BROADCAST_ROWS = 500_000
 #: Heavy shingles that are counted apart, the sketch's counters, and the least rows of a heavy one.
-HOT, TRACKED, HOT_ROWS = 2000, 20_000, 1000
+HOT, TRACKED, HOT_ROWS = 500, 10_000, 1000
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -144,24 +144,30 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[out.a != out.b]
 
 
-def heavy(rows: DataFrame) -> DataFrame | None:
+def heavy(rows: DataFrame) -> list[int]:
     """The numbers g that most rows have, as far as HOT_ROWS or more seem to have them: at most HOT, found by a sketch of
     TRACKED counters with partial aggregates. What it misses has under 1/HOT of all rows."""
     found = rows.agg(F.expr(f"approx_top_k(g, {HOT}, {TRACKED})").alias("x")).first()["x"] or []
-    held_by = [(r["item"],) for r in found if r["count"] >= HOT_ROWS]
-    return F.broadcast(rows.sparkSession.createDataFrame(held_by, "g long")) if held_by else None
+    return [r["item"] for r in found if r["count"] >= HOT_ROWS]
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """rows with df, the number of rows with the same g, where that is over one. Heavy numbers are counted by partial
-    aggregates and never meet in one task; all others take one shuffle. rows are read several times: they come from a file."""
+def by_number(rows: DataFrame, name: str, total: Column) -> DataFrame:
+    """rows with `name`: the aggregate `total` over all rows with the same g. Heavy numbers are aggregated by parts, into at
+    most HOT values that go into the plan, so their rows never meet in one task; all others take one shuffle. rows are read
+    several times: they come from a file."""
     hot = heavy(rows)
-    cold = rows if hot is None else rows.join(hot, "g", "left_anti")
-    out = cold.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
-    if hot is None:
+    out = (rows.where(~F.col("g").isin(hot)) if hot else rows).withColumn(name, total.over(Window.partitionBy("g")))
+    if not hot:
         return out
-    counts = rows.join(hot, "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
-    return out.unionByName(rows.join(F.broadcast(counts), "g").where("df > 1").select(*out.columns))  # at most HOT rows
+    warm = rows.where(F.col("g").isin(hot))
+    held_by = warm.groupBy("g").agg(total.alias("v")).collect()
+    values = F.map_from_arrays(F.array(*[F.lit(r["g"]) for r in held_by]), F.array(*[F.lit(r["v"]) for r in held_by]))
+    return out.unionByName(warm.withColumn(name, F.element_at(values, F.col("g"))))
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """rows with df, the number of rows with the same g, where that is over one."""
+    return by_number(rows, "df", F.count("*")).where("df > 1")
 
 
 def prefix(s: Column) -> Column:
@@ -182,7 +188,7 @@ def meetings(sets: DataFrame) -> DataFrame:
     p = F.col("n") - need(F.col("n")) + 1 - (F.col("n") - F.size("s"))
     rows = shared(sets.where(p > 0).select("rep", F.explode(F.slice("s", 1, F.least(p, F.size("s")))).alias("g")))
     rows = cut(rows.select("g", "rep"))
-    pairs = cut(rows.join(rows.groupBy("g").agg(F.min("rep").alias("at")), "g").select("at", "rep").distinct())
+    pairs = cut(by_number(rows, "at", F.min("rep")).select("at", "rep").distinct())
     size = pairs.groupBy("at").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("blocks"))
     placed = pairs.join(size, "at").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

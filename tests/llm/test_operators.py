@@ -222,6 +222,22 @@ def test_ngram_join(docs, nothing, rows):
     assert len(left) == len(set(left) - {None}) + 2 and set(left) - {None} == {c for i, _, c in jaccard_components(rows) if i == c and i is not None}
 
 
+def test_heavy_shingles_are_counted_apart(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
+    held = spark.createDataFrame([(k % 7 if k % 3 else k, k) for k in range(200)], "g long, rep long").repartition(5)
+    assert len(ngram_join.heavy(held)) == 7
+    want = Counter(r.g for r in held.collect())
+    assert Counter((r.g, r.rep, r.df) for r in ngram_join.shared(held).collect()) == Counter((r.g, r.rep, want[r.g]) for r in held.collect() if want[r.g] > 1)
+    least = {}
+    for r in held.collect():
+        least[r.g] = min(r.rep, least.get(r.g, r.rep))
+    assert all(r["at"] == least[r.g] for r in ngram_join.by_number(held, "at", ngram_join.F.min("rep")).collect())
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 10**9)
+    plain = Counter(map(tuple, ngram_join.join_documents(docs).collect()))
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 2)
+    assert Counter(map(tuple, ngram_join.join_documents(docs).collect())) == plain
+
+
 def test_ngram_join_of_ids_with_several_texts(spark):
     rng = random.Random(12)
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
