@@ -8,6 +8,9 @@ every measure lies within [q1 - reach * spread, q3 + reach * spread], where spre
 least spread that keeps a group of equal documents from rejecting small differences. Documents that fail the base
 rules are in no sketch: they would move the thresholds of the others.
 
+Words and windows are told apart by 64 bits of a hash: in a text of a million words two different windows count as one with
+odds of about 1 to 37 million.
+
 A null text has no words and fails the base rules. Null languages and sources are groups like any other. Repeated
 rows count as often as they occur. Columns with other names than the three read are passed over.
 """
