@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # fixed values: subsets, languages and markers of the data model
 LANG_CODES = {"Aka": "aka", "Amh": "amh", "Eng": "eng", "Lug": "lug", "Swa": "swa"}
-COUNTRIES = {"Eth": "Ethiopia", "Gha": "Ghana", "Ken": "Kenya", "Uga": "Uganda"}
 REFUSALS = ("i cannot", "i can't", "as an ai", "i'm sorry", "consult a doctor")
 GEEZ = r"[ሀ-፿]"
 LOOP = 10
