@@ -28,7 +28,7 @@ MEASURES = ("word_len", "symbols", "dup_lines", "repeats")
 LEAST = 200
 REACH = 4
 SPREAD = {"word_len": 400, "symbols": 50, "dup_lines": 90, "repeats": 60}
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS, REJECTED_ROWS = 20_000, 500_000
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -127,10 +127,16 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with the columns they had."""
-    packed = docs.select(F.struct("*").alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    measured = measures(count_words(keyed(packed, "lang", "source"), "text")).select("row", "lang_", "source_", "base_failed", *MEASURES)
-    measured = written(measured, "measured")  # words are counted once, for thresholds and verdicts
-    return judged(measured, thresholds(measured)).where("kept").select("row.*")
+    own = docs.select(F.struct("*").alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).cast("string").alias("t"))
+    keys = lambda x: [F.xxhash64(F.lit(k), "lang_", "source_", F.coalesce(x, F.lit(""))).alias(f"k{k}") for k in (1, 2)]
+    keyed_rows = keyed(own, "lang", "source")
+    # words are counted once, for thresholds and verdicts; rows find their verdict by two hashes of what it depends on
+    narrow = measures(count_words(keyed_rows.select("lang_", "source_", "t", *keys(F.col("t"))), "t")).select("k1", "k2", "lang_", "source_", "base_failed", *MEASURES)
+    narrow = written(narrow, "measured")
+    rejected = cut(judged(narrow, thresholds(narrow)).where("not kept").select("k1", "k2").distinct())
+    if rejected.limit(REJECTED_ROWS + 1).count() <= REJECTED_ROWS:  # two numbers a row
+        rejected = F.broadcast(rejected)
+    return keyed_rows.select("row", *keys(F.col("t"))).join(rejected, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
