@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askloom.llm import decontamination, html_extraction, lm_scoring, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, warc_zip
+from askloom.llm import decontamination, filter_audit, html_extraction, lm_scoring, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -17,8 +17,15 @@ def queries() -> dict:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_html_extraction": html_extraction.op9_html_extraction,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_zip": warc_zip.ORACLE, "op4_quality_rules": quality_rules.oracle(), "op8_ngram_join": ngram_join.ORACLE, "op10_decontamination": decontamination.ORACLE}
+    return {
+        "op3_warc_zip": warc_zip.ORACLE,
+        "op4_quality_rules": quality_rules.oracle(),
+        "op8_ngram_join": ngram_join.ORACLE,
+        "op10_decontamination": decontamination.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+    }
