@@ -59,3 +59,9 @@ def lower_ascii(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Runs of anything but blank, tab and the four line characters, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
