@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askloom.llm import decontamination, filter_audit, html_extraction, line_dedup, lm_scoring, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, warc_zip
+from askloom.llm import decontamination, filter_audit, html_extraction, line_dedup, lm_scoring, ngram_join, packing, pii, quality_rules, resampling, suffix_dedup, token_counts, warc_zip
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_html_extraction": html_extraction.op9_html_extraction,
         "op10_decontamination": decontamination.op10_decontamination,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_resampling": resampling.op12_resampling,
         "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_ngram_join": ngram_join.ORACLE,
         "op10_decontamination": decontamination.ORACLE,
         "op11_filter_audit": filter_audit.ORACLE,
+        "op12_resampling": resampling.oracle(),
         "op13_line_dedup": line_dedup.ORACLE,
     }
