@@ -55,8 +55,8 @@ def normal_judge(score: Column) -> Column:
 
 
 def legacy_judge(text: Column) -> Column:
-    """An older form: three criteria from the first { to the last }, their sum over 15; 0.5 where that fails."""
+    """An older form: accuracy, completeness and language from the first { to the last }, their sum over 15; 0.5 where that fails."""
     at, end = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
     blob = F.when((at > 0) & (end > at), F.substring(text, at, end - at + 1))
     field = lambda k: F.get_json_object(blob, f"$.{k}").try_cast("double")
-    return F.coalesce((field("accuracy") + field("fluency") + field("completeness")) / 15, F.lit(0.5))
+    return F.coalesce((field("accuracy") + field("completeness") + field("language")) / 15, F.lit(0.5))

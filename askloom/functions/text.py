@@ -119,17 +119,27 @@ def subset_of(row_id: Column) -> Column:
 
 
 def judge_score(text: Column) -> Column:
-    """1 to 5 from a judge's completion; null if there is none or it is out of range."""
+    """1 to 5 from a judge's completion, or null: the overall value or the mean of the three criteria of the first JSON
+    object that has them, a labelled number, a number out of five, or one lone digit. Values out of range don't count."""
+    # fixed values: criteria and patterns of the judge's answer
+    criteria = ("accuracy", "completeness", "language")
+    labelled = r"(?iU)(?:overall|score|rating)\W{0,5}([1-5](?:\.\d+)?)(?![\d.])"
+    out_of = r"\b([1-5](?:\.\d+)?)\s*/\s*5\b"
+    bare = r"(?<![\d.])[1-5](?![\d.])"
     valid = lambda x: F.when(x.between(1, 5), x)
     number = lambda x: valid(x.try_cast("double"))
-    blob = F.regexp_extract(text, r"\{[^{}]*\}", 0)
-    field = lambda k: number(F.get_json_object(blob, f"$.{k}"))
-    criteria = [field(k) for k in ("accuracy", "completeness", "fluency")]
-    mean = (criteria[0] + criteria[1] + criteria[2]) / 3
-    labelled = F.regexp_extract(text, r"(?i)(?:overall|score|rating)\D{0,12}?(\d+(?:\.\d+)?)", 1)
-    out_of = F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*/\s*5", 1)
-    bare = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\d.])[1-5](?![\d.])"), F.lit(0)))
-    return F.coalesce(field("overall"), mean, F.when(labelled != "", number(labelled)).when(out_of != "", number(out_of)).when(F.size(bare) == 1, F.get(bare, F.lit(0)).try_cast("double")))
+    kind = ", ".join(f"{k} string" for k in ("overall", *criteria, "_corrupt_record"))
+
+    def of(blob: Column) -> Column:
+        made = F.from_json(blob, kind, {"columnNameOfCorruptRecord": "_corrupt_record"})
+        mean = sum((number(made[k]) for k in criteria[1:]), number(made[criteria[0]])) / len(criteria)
+        return F.when(made["_corrupt_record"].isNull(), F.coalesce(number(made["overall"]), mean))
+
+    blobs = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\{.*?\}"), F.lit(0)), of)
+    digits = F.array_distinct(F.regexp_extract_all(text, F.lit(bare), F.lit(0)))
+    named, share = F.regexp_extract(text, labelled, 1), F.regexp_extract(text, out_of, 1)
+    loose = F.when(named != "", number(named)).when(share != "", number(share)).when(F.size(digits) == 1, F.get(digits, F.lit(0)).try_cast("double"))
+    return F.coalesce(F.get(F.filter(blobs, lambda x: x.isNotNull()), F.lit(0)), loose)
 
 
 def links(markdown: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloom.functions.text import LANG_CODES
+from askloom.operators.validation import fingerprint
 from askloom.sources.readers import RENAMES
 
 # fixed values: names that columns of a role may have, and names of languages
@@ -145,11 +146,8 @@ def named_sets(frames: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFram
 
 def same_hash(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     """One row: fingerprints of two tables that don't depend on the order of rows, and whether they are equal."""
-    def mark(df: DataFrame, name: str) -> DataFrame:
-        row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-        return df.agg(F.concat_ws("-", F.count("*"), F.coalesce(F.bit_xor(row), F.lit(0)), F.coalesce(F.sum(F.pmod(row, F.lit(1_000_003))), F.lit(0))).alias(name))
-
-    return mark(left, "left").crossJoin(F.broadcast(mark(right, "right"))).withColumn("equal", F.col("left") == F.col("right"))  # one row each
+    one = lambda df, name: df.agg(fingerprint(columns).alias(name))
+    return one(left, "left").crossJoin(F.broadcast(one(right, "right"))).withColumn("equal", F.col("left") == F.col("right"))  # one row each
 
 
 def pinned(df: DataFrame, columns: list[str], mark: str) -> DataFrame:

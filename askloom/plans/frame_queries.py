@@ -269,9 +269,9 @@ def candidate_union(spark, d):
     return both.groupBy("q").agg(F.sort_array(F.collect_set("p")).alias("candidates"))
 
 
-@query("legacy_judge", f"""WITH {QA}, j AS (SELECT id, CASE WHEN turn % 4 = 0 THEN 'so {{"accuracy": ' || (conv_id % 5 + 1) || ', "fluency": 3, "completeness": 2}} end' ELSE 'none' END AS t FROM qa) SELECT id, CASE WHEN t = 'none' THEN 0.5::DOUBLE ELSE round((regexp_extract(t, 'accuracy": (\\d+)', 1)::DOUBLE + 5) / 15, 6) END AS score FROM j""")
+@query("legacy_judge", f"""WITH {QA}, j AS (SELECT id, CASE WHEN turn % 4 = 0 THEN 'so {{"accuracy": ' || (conv_id % 5 + 1) || ', "language": 3, "completeness": 2}} end' ELSE 'none' END AS t FROM qa) SELECT id, CASE WHEN t = 'none' THEN 0.5::DOUBLE ELSE round((regexp_extract(t, 'accuracy": (\\d+)', 1)::DOUBLE + 5) / 15, 6) END AS score FROM j""")
 def legacy_judge(spark, d):
-    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit('so {"accuracy": '), F.col("conv_id") % 5 + 1, F.lit(', "fluency": 3, "completeness": 2} end'))).otherwise("none")
+    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit('so {"accuracy": '), F.col("conv_id") % 5 + 1, F.lit(', "language": 3, "completeness": 2} end'))).otherwise("none")
     return qa_pool(spark, d).select("id", F.round(P.legacy_judge(said), 6).alias("score"))
 
 
@@ -297,11 +297,14 @@ def sentence_map(spark, d):
     return qa_pool(spark, d).select("id", T.by_sentence(F.col("output"), F.upper).alias("text"))
 
 
-@query("same_hash", "SELECT true AS equal")
+@query("same_hash", "SELECT true AS reordered, (SELECT count(*) = 0 FROM documents WHERE lang = 'en') AS one_more, (SELECT count(*) = 0 FROM labels WHERE quality = 1) AS changed")
 def same_hash(spark, d):
-    """Two runs in different orders have equal fingerprints."""
-    rows = table(spark, d, "labels")
-    return D.same_hash(rows, rows.orderBy(F.desc("doc_id")), rows.columns).select("equal")
+    """Fingerprints of the same rows in another order, of rows of which some occur twice, and of rows with a column emptied."""
+    rows, docs = table(spark, d, "labels"), table(spark, d, "documents").select("doc_id", "lang")
+    made = D.same_hash(rows, rows.orderBy(F.desc("doc_id")), rows.columns).select(F.col("equal").alias("reordered"))
+    more = D.same_hash(docs, docs.unionByName(docs.where("lang = 'en'")), docs.columns).select(F.col("equal").alias("one_more"))
+    other = D.same_hash(rows, rows.withColumn("quality", F.when(F.col("quality") != 1, F.col("quality"))), rows.columns).select(F.col("equal").alias("changed"))
+    return made.crossJoin(more).crossJoin(other)  # one row each
 
 
 @query("proxy_total", "SELECT doc_id, round(0.3125::DOUBLE * (doc_id % 5) / 5 + 0.3125::DOUBLE * (doc_id % 3) / 3 + 0.375::DOUBLE * (doc_id % 2), 6) AS total FROM documents")

@@ -141,7 +141,7 @@ def lang_heuristic(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", X.language(F.col("text")).alias("guess"))
 
 
-JUDGED = "CASE doc_id % 6 WHEN 0 THEN '{\"overall\": ' || (quality + 3) || '}' WHEN 1 THEN '{\"accuracy\": 4, \"completeness\": 3, \"fluency\": 4}' WHEN 2 THEN 'Score: ' || (quality + 1) WHEN 3 THEN (quality + 4) || '/5' WHEN 4 THEN 'I would say 3' ELSE 'between 2 and 4' END"
+JUDGED = "CASE doc_id % 6 WHEN 0 THEN '{\"overall\": ' || (quality + 3) || '}' WHEN 1 THEN '{\"accuracy\": 4, \"completeness\": 3, \"language\": 4}' WHEN 2 THEN 'Score: ' || (quality + 1) WHEN 3 THEN (quality + 4) || '/5' WHEN 4 THEN 'I would say 3' ELSE 'between 2 and 4' END"
 
 
 @query("judge_parse", f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN quality + 3.0 WHEN 1 THEN round(11.0 / 3, 6) WHEN 2 THEN quality + 1.0 WHEN 3 THEN quality + 4.0 WHEN 4 THEN 3.0 END::DOUBLE AS score FROM labels")

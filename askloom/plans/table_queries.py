@@ -204,9 +204,24 @@ def file_manifest(spark, d):
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
 
 
-@query("table_fingerprint")
+_ROW = "concat_ws(',', length(doc_id::VARCHAR) || ':' || doc_id, CASE WHEN text IS NULL THEN '-' ELSE length(text) || ':' || text END)"
+_NODE = "sha256(string_agg(pos || ':' || h || ':' || n, ';' ORDER BY pos, h, n))"
+
+
+@query("table_fingerprint", f"""WITH r AS (SELECT doc_id AS pos, sha256({_ROW}) AS h, count(*) AS n FROM documents GROUP BY ALL), a AS (SELECT pos // 64 AS pos, {_NODE} AS h, 1 AS n FROM r GROUP BY pos // 64),
+    b AS (SELECT pos // 64 AS pos, {_NODE} AS h, 1 AS n FROM a GROUP BY pos // 64), c AS (SELECT {_NODE} AS h FROM b)
+    SELECT 1 AS level, pos AS node, h AS digest FROM a UNION ALL SELECT 2, pos, h FROM b UNION ALL SELECT 0, 0, h FROM c""")
 def table_fingerprint(spark, d):
-    return table(spark, d, "documents").agg(V.fingerprint(spark.createDataFrame([], "doc_id long, text string"), ["doc_id", "text"]).alias("mark"), F.count("*").alias("n"))
+    """A digest tree of the texts in the order of their ids."""
+    return V.digest_tree(table(spark, d, "documents"), "doc_id", ["doc_id", "text"], 64, 2)
+
+
+@query("drifted_ranges", "SELECT DISTINCT 1 AS level, doc_id // 64 AS node FROM labels WHERE toxic = 1 UNION SELECT 2, doc_id // 4096 FROM labels WHERE toxic = 1 UNION SELECT 0, 0 FROM labels WHERE toxic = 1")
+def drifted_ranges(spark, d):
+    """Where a table and its copy with one label turned round differ: only the ranges on the way to changed rows."""
+    rows = table(spark, d, "labels")
+    tree = lambda x: V.digest_tree(x, "doc_id", ["doc_id", "quality", "toxic"], 64, 2)
+    return V.differing_ranges(tree(rows), tree(rows.withColumn("toxic", F.lit(0))))
 
 
 @query("json_props", "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k, count(*) AS n FROM events GROUP BY event_type")

@@ -54,7 +54,7 @@ def test_text_functions(spark):
     assert one(spark, X.links(t), t="see [[a]] not `[[b]]` and [[c|d]]") == ["a", "c"]
 
 
-@pytest.mark.parametrize(("text", "score"), [('{"overall": 4}', 4), ('{"accuracy": 4, "completeness": 3, "fluency": 4}', 11 / 3), ("Score: 2", 2), ("5/5", 5), ("about 3", 3), ("2 or 4", None), ("Score: 9", None), ("none", None)])
+@pytest.mark.parametrize(("text", "score"), [('{"overall": 4}', 4), ('Sure! {"accuracy": 4, "completeness": 3, "language": 4}', 11 / 3), ('{"accuracy": 5, "completeness": 4, "language": 3}', 4), ('{"accuracy": 5, "completeness": 4, "fluency": 3}', None), ('{bad} {"overall": 9} {"overall": "2"}', 2), ('{"overall": 4 x} 3', 4), ('{"accuracy": 4 x} 3', None), ("**Overall**: 5", 5), ("I'd rate it 3/5.", 3), ("score 4.5", 4.5), ("", None), (None, None), ("Score: 2", 2), ("5/5", 5), ("about 3", 3), ("2 or 4", None), ("Score: 9", None), ("none", None)])
 def test_judge_score(spark, text, score):
     got = one(spark, X.judge_score(F.col("t")), t=text)
     assert got == pytest.approx(score) if score is not None else got is None
