@@ -96,46 +96,3 @@ def mutual_best(there: DataFrame, back: DataFrame, least: float = 0.0) -> DataFr
     b = back.where("rank = 1").select(F.col("q").alias("p"), F.col("p").alias("q"))
     return there.where("rank = 1").where(F.col("sim") >= least).select("q", "p", "sim").join(b, ["q", "p"])
 
-
-def one_to_one(pairs: DataFrame, group: str) -> DataFrame:
-    """Per group, pairs (q, p) of greatest total similarity with each q and p used once: the assignment problem, by
-    shortest augmenting paths in a pandas function. A group's pairs form one task, as the dense matrix must."""
-    import numpy as np
-    import pandas as pd
-
-    def assign(cost: np.ndarray) -> list[int]:
-        n, m = cost.shape
-        u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-        for i in range(1, n + 1):
-            match[0], j = i, 0
-            least, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
-            while match[j]:
-                used[j] = True
-                free = np.flatnonzero(~used[1:]) + 1
-                slack = cost[match[j] - 1, free - 1] - u[match[j]] - v[free]
-                better = slack < least[free]
-                least[free[better]], way[free[better]] = slack[better], j
-                k = free[np.argmin(least[free])]
-                delta = least[k]
-                u[match[used]] += delta
-                v[used] -= delta
-                least[~used] -= delta
-                j = k
-            while j:
-                match[j] = match[way[j]]
-                j = way[j]
-        out = [-1] * n
-        for j in range(1, m + 1):
-            if match[j]:
-                out[match[j] - 1] = j - 1
-        return out
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="q", columns="p", values="sim", fill_value=-1.0, aggfunc="max").sort_index()
-        turned = wide.shape[0] > wide.shape[1]
-        w = wide.T if turned else wide
-        rows = [(w.index[i], w.columns[j], w.iat[i, j]) for i, j in enumerate(assign(-w.to_numpy())) if j >= 0 and w.iat[i, j] > -1.0]
-        out = pd.DataFrame(rows, columns=["p", "q", "sim"] if turned else ["q", "p", "sim"])
-        return out[["q", "p", "sim"]]
-
-    return pairs.groupBy(group).applyInPandas(solve, "q long, p long, sim double")

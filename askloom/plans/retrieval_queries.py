@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import metrics as M
 from askloom.functions import text as X
+from askloom.operators import matching as A
 from askloom.operators import retrieval as R
 from askloom.operators import selection as S
 from askloom.plans.common import QA, qa_pool, table, words_sql
@@ -164,7 +165,7 @@ def hybrid_topk(spark, d):
 def one_to_one(spark, d):
     v = vectors(spark, d)
     pairs = R.dense_top_k(v.where("id % 2 = 0"), v.where("id % 2 = 1"), None, "label")
-    return R.one_to_one(pairs, "label")
+    return A.one_to_one(pairs, "label")
 
 
 ANS = f"{SELF}, nb AS (SELECT q, p, sim, rank, 'a' || (p % 7) AS answer FROM self)"
@@ -319,23 +320,6 @@ def ltr_features(spark, d):
     return f.join(freq, ["answer", "label"]).select("q", "answer", F.round("logrank", 6).alias("logrank"), "n_top1", "sib_sim", "n_in_list", F.round(F.log(F.greatest(F.lit(1), F.col("freq") - own)), 6).alias("lfreq"))
 
 
-@query("ltr_predict")
-def ltr_predict(spark, d):
-    """Gradient-boosted trees over the features, out of fold by question; the best answer of each question."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    columns = ["logrank", "n_top1", "sib_sim", "n_in_list", "lfreq"]
-    rows = ltr_features(spark, d).withColumn("label_", (F.col("answer") == F.concat(F.lit("a"), F.col("q") % 7)).cast("double"))
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows.withColumn("fold", F.pmod(F.conv(F.substring(F.md5(F.col("q").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(2))))
-    made = None
-    for fold in (0, 1):
-        model = GBTRegressor(featuresCol="features", labelCol="label_", maxIter=5, maxDepth=3, seed=1).fit(rows.where(F.col("fold") != fold))
-        part = model.transform(rows.where(F.col("fold") == fold)).select("q", "answer", "prediction")
-        made = part if made is None else made.unionByName(part)
-    return R.top_k(made, 1, ["q"], [F.desc("prediction"), F.asc("answer")]).drop("rank")
-
-
 @query("candidate_features", f"""WITH {QA}, wl AS ({lexical_sql(_PLAIN, 1)}), cl AS ({lexical_sql(_CHARS, 2)}), l AS (SELECT q, p, rank, 0 AS k FROM wl UNION ALL SELECT q, p, rank, 1 FROM cl),
     f AS (SELECT l.q, o.subset, b.output AS answer, o.output AS own, coalesce(min(rank) FILTER (k = 0) - 1, 50) AS r0, coalesce(min(rank) FILTER (k = 1) - 1, 50) AS r1 FROM l JOIN qa b ON b.id = l.p JOIN qa o ON o.id = l.q GROUP BY ALL),
     fr AS (SELECT subset, output AS answer, count(*) AS freq, min(id) AS aid FROM qa GROUP BY ALL), med AS (SELECT subset, quantile_cont(len({words_sql('output')}), 0.5) AS m FROM qa GROUP BY subset),
@@ -357,3 +341,22 @@ def candidate_features(spark, d):
 
     lists = [lexical(spark, d, lambda c: X.words_plain(F.lower(c))), lexical(spark, d, X.char_ngrams, 2)]
     return K.candidate_features(lists, qa_pool(spark, d), X.words_plain(F.lower(F.col("t"))), weighted(spark, d, X.char_ngrams, 2))
+
+
+LTR_FEATURES = ["logrank_0", "logrank_1", "n_top1", "q_ans", "sib_char", "lfreq", "len_ratio"]
+
+
+@query("ltr_predict")
+def ltr_predict(spark, d):
+    """LambdaRank over the candidates' features, out of fold by question: the best answer of each question, its agreement
+    with the question's own answer, and the question's NDCG. Boosting is iterative, so there is no SQL."""
+    from askloom.operators import boosting as G
+    from askloom.operators import ranking as K
+    from askloom.storage import Rounds
+
+    rows = K.graded(candidate_features(spark, d), qa_pool(spark, d)).withColumn("fold", K.question_fold(F.col("q"), 2))
+    rows = Rounds(spark).put("candidates", rows)
+    models = G.boost(rows, LTR_FEATURES, "q", "answer", "label", "fold", 2, trees=6, rate=0.2, least=10)
+    scored = G.predict(rows, models, "fold")
+    best = R.top_k(scored, 1, ["q"], [F.desc("score"), F.asc("answer")])
+    return best.select("q", "answer", "score", "overlap").join(G.ndcg(scored, "q", "answer"), "q")

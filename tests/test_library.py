@@ -72,18 +72,6 @@ def test_fusion_order(spark):
     assert [r.p for r in out] == ["b", "a", "c"]
 
 
-def test_assignment_is_best(spark):
-    from itertools import permutations
-
-    import numpy as np
-
-    sims = np.random.default_rng(3).random((4, 4)).round(3)
-    pairs = spark.createDataFrame([(0, i, 10 + j, float(sims[i, j])) for i in range(4) for j in range(4)], "g int, q long, p long, sim double")
-    got = R.one_to_one(pairs, "g").collect()
-    assert sum(r.sim for r in got) == pytest.approx(max(sum(sims[i, p[i]] for i in range(4)) for p in permutations(range(4))))
-    assert len({r.q for r in got}) == len({r.p for r in got}) == 4
-
-
 def test_splits(spark):
     df = spark.range(200).select(F.col("id"), (F.col("id") % 3).alias("g"))
     counts = {r.split: r["count"] for r in P.three_way(df, "g", "id", (0.8, 0.1, 0.1)).groupBy("split").count().collect()}
