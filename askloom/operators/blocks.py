@@ -1,17 +1,22 @@
-"""Exact similarity joins in blocks: both sides of a group are dealt to blocks, every two blocks meet in one task as a
-matrix product, and only the best of each row, or those above a bound, leave it. Pairs never become rows of a shuffle,
-and a group of any size is spread over as many tasks as it has pairs of blocks."""
+"""Exact similarity joins in blocks: both sides of a group are dealt to blocks, every two blocks meet in one task, and only
+the best of each row, or those above a bound, leave it. Pairs never become rows of a shuffle, and a group of any size is
+spread over as many tasks as it has pairs of blocks. Dense vectors meet as a matrix product; sparse ones by an inverted
+index ordered by impact, with upper bounds that rule out most pairs before their common terms are read."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DENSE_ROWS, SPARSE_ROWS, STRIPE, COLUMNS = 4096, 1024, 512, 4096
+DENSE_ROWS, SPARSE_ROWS, STRIPE = 4096, 16_384, 512
+#: Cells of a stripe of sparse scores, products added at once, bands of terms, what looking up a weight costs beside a
+#: product, and the shares of all products after which bounds are looked at.
+CELLS, PRODUCTS, BANDS, LOOK_UP, PARTS = 1 << 22, 1 << 21, 64, 8, (0.1, 0.3, 0.5, 0.7, 1.0)
 Scores = Callable[[pa.Table, pa.Table], np.ndarray]
 
 
@@ -29,33 +34,146 @@ def dense_scores(left: pa.Table, right: pa.Table) -> np.ndarray:
     return unit_rows(left["vec"]) @ unit_rows(right["vec"]).T
 
 
-def sparse_scores(left: pa.Table, right: pa.Table) -> np.ndarray:
-    """Dot products of (terms, w) lists; terms are numbers. Columns are taken COLUMNS at a time."""
-    sides = []
-    for side in (left, right):
-        terms = side["terms"].combine_chunks()
-        sides.append((np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy())), np.asarray(terms.flatten()), np.asarray(side["w"].combine_chunks().flatten(), float)))
-    shared = np.intersect1d(sides[0][1], sides[1][1])
-    out = np.zeros((left.num_rows, right.num_rows))
-    if not len(shared):
+@dataclass
+class Postings:
+    """The postings of a block in the order of the terms: rare terms first, as they rule out most pairs at least cost."""
+
+    rows: np.ndarray
+    terms: np.ndarray
+    w: np.ndarray
+    begin: np.ndarray  # of each term's postings
+    n_rows: int
+
+    @classmethod
+    def of(cls, rows: np.ndarray, terms: np.ndarray, w: np.ndarray, n_rows: int, n_terms: int) -> Postings:
+        order = np.lexsort((rows, terms))
+        return cls(rows[order], terms[order], w[order], np.searchsorted(terms[order], np.arange(n_terms + 1)), n_rows)
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """A row and a column for each band of terms edges[b]..edges[b + 1]: the norm of the row's weights there."""
+        cut, bands = self.begin[edges[0]], len(edges) - 1
+        band = np.searchsorted(edges, self.terms[cut:], side="right") - 1
+        return np.sqrt(np.bincount(self.rows[cut:] * bands + band, self.w[cut:] ** 2, self.n_rows * bands)).reshape(self.n_rows, bands)
+
+
+def flat(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    terms = side["terms"].combine_chunks()
+    return np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy())), np.asarray(terms.flatten()), np.asarray(side["w"].combine_chunks().flatten(), float)
+
+
+def add_products(out: np.ndarray, left: Postings, right: Postings, low: int, high: int) -> None:
+    """Adds the products of all postings of the terms low..high to the flat matrix of scores, PRODUCTS at a time."""
+    a, b = left.begin[low], left.begin[high]
+    term = left.terms[a:b]
+    first, size = right.begin[term], right.begin[term + 1] - right.begin[term]
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(term):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + PRODUCTS, side="right")))
+        n = size[at:stop]
+        p = np.repeat(first[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(left.rows[a + at : a + stop] * right.n_rows, n) + right.rows[p]
+        np.add(out, np.bincount(cell, np.repeat(left.w[a + at : a + stop], n) * right.w[p], len(out)), out=out)
+        at = stop
+
+
+def complete(pairs: np.ndarray, left: Postings, right: Postings, at: int) -> np.ndarray:
+    """What the terms from `at` on add to the flat pairs."""
+    n_terms = len(left.begin) - 1
+    ca, cb = left.begin[at], right.begin[at]
+    order = np.argsort(left.rows[ca:], kind="stable")
+    rows, terms, w = left.rows[ca:][order], left.terms[ca:][order], left.w[ca:][order]
+    begin = np.searchsorted(rows, np.arange(left.n_rows + 1))
+    key = right.rows[cb:] * n_terms + right.terms[cb:]
+    order = np.argsort(key)
+    key, value = key[order], right.w[cb:][order]
+    out = np.zeros(len(pairs))
+    if not len(key):
         return out
-    placed = []
-    for row, term, w in sides:
-        at = np.minimum(np.searchsorted(shared, term), len(shared) - 1)
-        here = np.flatnonzero(shared[at] == term)
-        here = here[np.argsort(at[here], kind="stable")]
-        placed.append((row[here], at[here], w[here]))
-    for a in range(0, len(shared), COLUMNS):
-        width, dense = min(COLUMNS, len(shared) - a), []
-        for (row, at, w), n in zip(placed, (left.num_rows, right.num_rows), strict=True):
-            cut = slice(*np.searchsorted(at, [a, a + width]))
-            held = np.zeros((n, width))
-            held[row[cut], at[cut] - a] = w[cut]
-            dense.append(held)
-        out += dense[0] @ dense[1].T
+    i, j = pairs // right.n_rows, pairs % right.n_rows
+    size = begin[i + 1] - begin[i]
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(pairs):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + PRODUCTS, side="right")))
+        n = size[a:b]
+        p = np.repeat(begin[i[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        asked = np.repeat(j[a:b] * n_terms, n) + terms[p]
+        hit = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        got = np.where(key[hit] == asked, w[p] * value[hit], 0.0)
+        out[a:b] = np.bincount(np.repeat(np.arange(b - a), n), got, b - a)
+        a = b
     return out
 
 
+def sparse_best(left: pa.Table, right: pa.Table, k: int, differ: str | None, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of each left row the right rows that can be among its k best by the dot product of (terms, w >= 0) lists, with their
+    exact scores, and the number of pairs whose scores were completed.
+
+    Terms are taken from rare to common, by the products they cost. After a part of them a pair's score is at most what it
+    has plus, for each band of the terms left, the product of both sides' norms there; the least of k completed scores of a
+    row is a lower bound of its k-th best. Pairs that can't reach it are never looked at again: the costly common terms
+    are read for the others alone. Weights below 0 are no tf-idf weights and raise an error."""
+    (lr, lt, lw), (rr, rt, rw) = flat(left), flat(right)
+    if (len(lw) and lw.min() < 0) or (len(rw) and rw.min() < 0):
+        raise ValueError("weights below 0")
+    shared = np.intersect1d(lt, rt)
+    sides = []
+    for rows, term, w in ((lr, lt, lw), (rr, rt, rw)):
+        at = np.minimum(np.searchsorted(shared, term), max(len(shared) - 1, 0))
+        here = np.flatnonzero(shared[at] == term) if len(shared) else np.empty(0, int)
+        sides.append((rows[here], at[here], w[here]))
+    n_terms = len(shared)
+    cost = np.bincount(sides[0][1], minlength=n_terms) * np.bincount(sides[1][1], minlength=n_terms)
+    rank = np.empty(n_terms, int)
+    rank[np.argsort(cost, kind="stable")] = np.arange(n_terms)
+    spent = np.concatenate(([0], np.cumsum(np.sort(cost, kind="stable"))))
+    held = Postings.of(sides[1][0], rank[sides[1][1]], sides[1][2], right.num_rows, n_terms)
+    own_rows, own_terms, own_w = sides[0][0], rank[sides[0][1]], sides[0][2]
+    stripe = max(1, CELLS // max(right.num_rows, 1))
+    found, scored = [], 0
+    for a in range(0, left.num_rows, stripe):
+        n = min(stripe, left.num_rows - a)
+        mine = (own_rows >= a) & (own_rows < a + n)
+        part = Postings.of(own_rows[mine] - a, own_terms[mine], own_w[mine], n, n_terms)
+        out = np.zeros(n * right.num_rows)
+        barred = None
+        if differ:
+            barred = (left[differ].slice(a, n).to_numpy()[:, None] == right[differ].to_numpy()[None, :]).ravel()
+        begun, open_ = 0, np.arange(len(out))
+        for share in PARTS:
+            stop = max(begun, int(np.searchsorted(spent, share * spent[-1], side="right")) - 1) if share < 1 else n_terms
+            add_products(out, part, held, begun, stop)
+            begun = stop
+            if barred is not None:
+                out[barred] = 0.0
+            if begun == n_terms:
+                break
+            wide = out.reshape(n, -1)
+            least = np.zeros(n)
+            if right.num_rows > k:
+                seeds = (np.argpartition(wide, right.num_rows - k, axis=1)[:, right.num_rows - k :] + np.arange(n)[:, None] * right.num_rows).ravel()
+                least = (out[seeds] + (complete(seeds, part, held, begun) if barred is None else np.where(barred[seeds], 0.0, complete(seeds, part, held, begun)))).reshape(n, k).min(axis=1)
+            edges = np.unique(np.linspace(begun, n_terms, BANDS + 1).astype(int))
+            bound = wide + part.rest(edges) @ held.rest(edges).T
+            open_ = np.flatnonzero(((bound >= least[:, None] - 2 * 10.0**-digits) & (bound > 0)).ravel() & (True if barred is None else ~barred))
+            if len(open_) * (len(part.w) - part.begin[begun]) / n * LOOK_UP < spent[-1] * n / left.num_rows * (1 - share):
+                break
+        scored += len(open_) if begun < n_terms else int(np.count_nonzero(out))  # without a bound in time all were added up
+        if begun == n_terms:
+            open_ = np.flatnonzero(out)
+        out[open_] += complete(open_, part, held, begun)
+        open_ = open_[out[open_] > 0]
+        found.append((a + open_ // right.num_rows, open_ % right.num_rows, np.round(out[open_], digits)))
+    i, j, sims = (np.concatenate([x[c] for x in found]) if found else np.empty(0, int) for c in range(3))
+    best = np.lexsort((j, -sims, i))
+    i, j, sims = i[best], j[best], sims[best]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], sims[keep], scored
+
+
 def dealt(queries: DataFrame, pool: DataFrame, within: str, rows: int, whole_pool: bool) -> tuple[DataFrame, DataFrame]:
     """Both sides with the cell (_whole, _g, _qb, _pb) in which a query and a pool row meet; rows are copied once per block
     of the other side. whole_pool: queries of a group without pool rows meet the whole pool."""
@@ -113,3 +231,21 @@ def in_blocks(queries: DataFrame, pool: DataFrame, within: str, score: Scores, r
     kind = f"grp {kinds[within].dataType.simpleString()}, q {kinds['id'].dataType.simpleString()}, p {pool.schema['id'].dataType.simpleString()}, sim double"
     keys = ["_whole", "_g", "_qb", "_pb"]
     return cells[0].groupBy(*keys).cogroup(cells[1].groupBy(*keys)).applyInArrow(run, kind).withColumnRenamed("grp", within)
+
+
+def sparse_in_blocks(queries: DataFrame, pool: DataFrame, within: str, k: int, differ: str | None = None, digits: int = 6) -> DataFrame:
+    """within, q, p, sim, scored of (id, within, terms, w) rows: of each query the k best of a block with any shared term,
+    ties to the smaller p; scored: the pairs of the task whose scores were completed, once a task, else 0."""
+    cells = dealt(queries, pool, within, SPARSE_ROWS, False)
+    kinds = queries.schema
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pa.array(np.argsort(right["id"].to_numpy(), kind="stable")))  # so that equal similarities stand by p
+        i, j, sims, scored = sparse_best(left, right, k, differ, digits)
+        counted = np.zeros(len(i), np.int64)
+        counted[:1] = scored
+        return pa.table({"grp": left[within].take(pa.array(i)), "q": left["id"].take(pa.array(i)), "p": right["id"].take(pa.array(j)), "sim": pa.array(sims), "scored": pa.array(counted)})
+
+    kind = f"grp {kinds[within].dataType.simpleString()}, q {kinds['id'].dataType.simpleString()}, p {pool.schema['id'].dataType.simpleString()}, sim double, scored long"
+    keys = ["_whole", "_g", "_qb", "_pb"]
+    return cells[0].groupBy(*keys).cogroup(cells[1].groupBy(*keys)).applyInArrow(run, kind).withColumnRenamed("grp", within)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askloom.operators.blocks import DENSE_ROWS, SPARSE_ROWS, dense_scores, in_blocks, sparse_scores
+from askloom.operators.blocks import DENSE_ROWS, dense_scores, in_blocks, sparse_in_blocks
+from askloom.storage import Rounds
 
 
 def term_counts(docs: DataFrame, keys: list[str], grams: Column) -> DataFrame:
@@ -59,13 +60,36 @@ def as_vectors(weights: DataFrame, keys: list[str]) -> DataFrame:
     return weights.groupBy(*keys).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("x")).select(*keys, F.col("x.t").alias("terms"), F.col("x.w").alias("w"))
 
 
+def unit_vectors(counts: DataFrame, idfs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, terms, w of each document: tfidf() as vectors; the norm is taken inside a document's own array."""
+    raw = counts.join(idfs, "term").select(*keys, F.xxhash64("term").alias("t"), ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    held = raw.groupBy(*keys).agg(F.collect_list(F.struct("t", "raw")).alias("x"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return held.select(*keys, F.col("x.t").alias("terms"), F.transform("x", lambda x: x["raw"] / F.col("norm")).alias("w"))
+
+
+def _sparse_found(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool) -> DataFrame:
+    """Vectors are written once, as both sides are counted, dealt and read again."""
+    store = Rounds(queries.sparkSession)
+    own = lambda x: x if "terms" in x.columns else as_vectors(x, ["id", within])
+    q = store.put("queries", own(queries))
+    p = q if pool is queries else store.put("pool", own(pool))
+    return sparse_in_blocks(q, p, within, k, "id" if drop_self else None)
+
+
 def sparse_top_k(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool = False) -> DataFrame:
-    """within, q, p, sim, rank: the k nearest with any shared term of (id, within, term, w), in blocks."""
-    own = lambda x: as_vectors(x, ["id", within])
-    found = in_blocks(own(queries), own(pool), within, sparse_scores, SPARSE_ROWS, k, 0.0, "id" if drop_self else None)
+    """within, q, p, sim, rank: the k nearest with any shared term, in blocks; rows are (id, within, term, w >= 0) or vectors
+    (id, within, terms, w)."""
+    found = _sparse_found(queries, pool, k, within, drop_self).drop("scored")
     return top_k(found, k, ["q"], [F.desc("sim"), F.asc("p")])
 
 
+def pairs_scored(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool = False) -> DataFrame:
+    """within, n_pairs, n_scored: pairs of a group, and those of which sparse_top_k has to add up all terms."""
+    found = _sparse_found(queries, pool, k, within, drop_self).groupBy(within).agg(F.sum("scored").alias("n_scored"))
+    size = lambda x, n: x.groupBy(within).agg(F.count_distinct("id").alias(n))
+    return size(queries, "nq").join(size(pool, "np"), within).join(found, within, "left").select(within, (F.col("nq") * F.col("np")).alias("n_pairs"), F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
+
+
 def sparse_at_least(vectors: DataFrame, least: float, digits: int = 9) -> DataFrame:
     """q, p, sim of all pairs of unit vectors (id, term, w) with a cosine of at least `least`, each with itself too. Terms
     are ordered from rare to common; of a pair that reaches the bound the first shared term lies, on both sides, before

@@ -25,17 +25,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def weighted(spark, d, grams, min_df=1):
-    """Vectors (id, subset, term, w) of the questions, fitted on the whole pool."""
+def weighted(spark, d, grams, min_df=1, make=R.tfidf):
+    """Weights (id, subset, term, w) of the questions, fitted on the whole pool; or what `make` makes of counts and idf."""
     pool = qa_pool(spark, d).select("id", "subset", "input")
     counts = R.term_counts(pool, ["id", "subset"], grams(F.col("input")))
-    return R.tfidf(counts, R.idf(counts, pool.agg(F.count("*").alias("n")), min_df), ["id", "subset"])
+    return make(counts, R.idf(counts, pool.agg(F.count("*").alias("n")), min_df), ["id", "subset"])
 
 
 def lexical(spark, d, grams, min_df=1):
     """Similarities of questions (q) to all others (p) of the same subset."""
-    weights = weighted(spark, d, grams, min_df)
-    return R.sparse_top_k(weights, weights, 3, "subset", drop_self=True).select("q", "p", "sim", F.col("rank").cast("long").alias("rank"))
+    held = weighted(spark, d, grams, min_df, R.unit_vectors)
+    return R.sparse_top_k(held, held, 3, "subset", drop_self=True).select("q", "p", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 def lexical_sql(grams: str, min_df: int) -> str:
@@ -64,6 +64,14 @@ def char_tfidf(spark, d):
     return lexical(spark, d, X.char_ngrams, 2)
 
 
+@query("pairs_scored", f"WITH {QA}, n AS (SELECT subset, count(*) AS n FROM qa GROUP BY subset) SELECT subset, (n * n)::BIGINT AS n_pairs, true AS few FROM n")
+def pairs_scored(spark, d):
+    """Pairs of questions by subset, and whether the bounds of char_tfidf_topk leave at most a tenth of them to be added up."""
+    held = weighted(spark, d, X.char_ngrams, 2, R.unit_vectors)
+    out = R.pairs_scored(held, held, 3, "subset", drop_self=True)
+    return out.select("subset", "n_pairs", (10 * F.col("n_scored") <= F.col("n_pairs")).alias("few"))
+
+
 @query("bm25_topk", f"""WITH t AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({words_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
     l AS (SELECT id, sum(tf) AS len FROM t GROUP BY id), st AS (SELECT count(*) AS n, avg(len) AS avg FROM l), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
     s AS (SELECT q.id AS q, p.id AS p, round(sum(q.tf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score

@@ -58,14 +58,40 @@ def test_sparse_joins_are_exact(spark, monkeypatch):
     dot = lambda a, b: sum(w * vectors[b].get(t, 0.0) for t, w in vectors[a].items())
     near = {(a, b) for a in texts for b in texts if round(dot(a, b), 9) >= 0.8}
     assert {(r.q, r.p) for r in R.sparse_at_least(df.select("id", "term", "w"), 0.8).collect()} == near
-    monkeypatch.setattr(B, "COLUMNS", 3)
-    monkeypatch.setattr(R, "SPARSE_ROWS", 11)
+    monkeypatch.setattr(B, "SPARSE_ROWS", 11)
+    monkeypatch.setattr(B, "PRODUCTS", 20)
+    monkeypatch.setattr(B, "CELLS", 60)
     got = {(r.q, r["rank"]): r.p for r in R.sparse_top_k(df, df, 2, "g", drop_self=True).collect()}
     for a in texts:
         best = sorted((-round(dot(a, b), 6), b) for b in texts if b != a and dot(a, b) > 0)[:2]
         assert [got.get((a, n + 1)) for n in range(len(best))] == [b for _, b in best]
 
 
+def test_bounds_rule_out_pairs_and_keep_the_best():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    chance = 1 / np.arange(1, 2001) ** 0.9
+    chance /= chance.sum()
+    lists = [np.unique(rng.choice(2000, 60, p=chance)) for _ in range(300)]
+    lists += [np.unique(np.concatenate((x[: len(x) * 9 // 10], rng.choice(2000, 5)))) for x in lists[:150]] + [np.array([], int)]
+    weights = [rng.random(len(x)) / np.log2(2 + 1 / chance[x].clip(1e-9)) + np.log(1 / chance[x]) if len(x) else x.astype(float) for x in lists]
+    weights = [w / np.linalg.norm(w) if len(w) else w for w in weights]
+    side = pa.table({"id": list(range(len(lists))), "terms": [x.tolist() for x in lists], "w": [w.tolist() for w in weights]})
+    wide = np.zeros((len(lists), 2000))
+    for row, x, w in zip(wide, lists, weights, strict=True):
+        row[x] = w
+    sims = np.round(wide @ wide.T, 6)
+    np.fill_diagonal(sims, 0.0)
+    i, j, found, scored = B.sparse_best(side, side, 2, "id", 6)
+    want = {(a, b): sims[a, b] for a in range(len(lists)) for b in sorted(range(len(lists)), key=lambda b: (-sims[a, b], b))[:2] if sims[a, b] > 0}
+    got = dict(zip(zip(i.tolist(), j.tolist(), strict=True), found.tolist(), strict=True))
+    assert got == pytest.approx(want, abs=2e-6) and scored < len(lists) ** 2 / 10
+    with pytest.raises(ValueError):
+        B.sparse_best(pa.table({"id": [1], "terms": [[1]], "w": [[-1.0]]}), side, 2, None, 6)
+
+
 def test_hooks_check_lengths():
     calls = []
 
