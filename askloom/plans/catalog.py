@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from askloom.plans import frame_queries, hook_queries, relational_queries, retrieval_queries, scoring_queries, table_queries, training_queries
+from askloom.plans import candidate_queries, frame_queries, hook_queries, relational_queries, retrieval_queries, scoring_queries, table_queries, training_queries
 
-PARTS = (scoring_queries, retrieval_queries, table_queries, training_queries, hook_queries, frame_queries, relational_queries)
+PARTS = (scoring_queries, retrieval_queries, candidate_queries, table_queries, training_queries, hook_queries, frame_queries, relational_queries)
 
 
 def queries() -> dict:

@@ -312,14 +312,6 @@ def proxy_total(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(M.proxy((F.col("doc_id") % 5) / 5, (F.col("doc_id") % 3) / 3, F.col("doc_id") % 2), 6).alias("total"))
 
 
-@query("recall_20_50", f"""WITH s AS (SELECT a.label, a.vec_id AS q, b.vec_id % 7 = a.vec_id % 7 AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
-    h AS (SELECT label, q, {', '.join(f'coalesce(max(hit::INT) FILTER (rank <= {k}), 0) AS r{k}' for k in (1, 5, 20, 50))} FROM s GROUP BY ALL) SELECT label, {', '.join(f'round(avg(r{k}), 6) AS recall_{k}' for k in (1, 5, 20, 50))} FROM h GROUP BY label""")
-def recall_20_50(spark, d):
-    """Whether a row with the same answer is among the first 1, 5, 20 and 50, by label."""
-    n = neighbours(spark, d, 50).withColumn("hit", (F.col("q") % 7 == F.col("p") % 7).cast("int"))
-    per = n.groupBy("label", "q").agg(*[F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("hit"))), F.lit(0)).alias(f"r{k}") for k in (1, 5, 20, 50)])
-    return per.groupBy("label").agg(*[F.round(F.avg(f"r{k}"), 6).alias(f"recall_{k}") for k in (1, 5, 20, 50)])
-
 
 @query("cross_fitted_lists", f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, vec_id % 3 AS fold FROM embeddings), s AS (SELECT a.vec_id AS q, a.fold, b.vec_id AS p, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.fold <> b.fold)
     SELECT fold, q, string_agg(p || ':' || printf('%.6f', sim), '|' ORDER BY rank) AS list FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rank FROM s) WHERE rank <= 3 GROUP BY fold, q""")

@@ -32,19 +32,19 @@ def weighted(spark, d, grams, min_df=1, make=R.tfidf):
     return make(counts, R.idf(counts, pool.agg(F.count("*").alias("n")), min_df), ["id", "subset"])
 
 
-def lexical(spark, d, grams, min_df=1):
+def lexical(spark, d, grams, min_df=1, k=3):
     """Similarities of questions (q) to all others (p) of the same subset."""
     held = weighted(spark, d, grams, min_df, R.unit_vectors)
-    return R.sparse_top_k(held, held, 3, "subset", drop_self=True).select("q", "p", "sim", F.col("rank").cast("long").alias("rank"))
+    return R.sparse_top_k(held, held, k, "subset", drop_self=True).select("q", "p", "sim", F.col("rank").cast("long").alias("rank"))
 
 
-def lexical_sql(grams: str, min_df: int) -> str:
+def lexical_sql(grams: str, min_df: int, k: int = 3, meet: str = "a.subset = b.subset") -> str:
     return f"""WITH {QA}, tf AS (SELECT id, subset, term, count(*) AS tf FROM (SELECT id, subset, unnest({grams}) AS term FROM qa) GROUP BY ALL),
     df AS (SELECT term, ln((1 + (SELECT count(*) FROM qa)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY term HAVING count(*) >= {min_df}),
     raw AS (SELECT id, subset, tf.term, (1 + ln(tf)) * idf AS w FROM tf JOIN df ON tf.term = df.term),
     v AS (SELECT id, subset, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
-    s AS (SELECT a.id AS q, b.id AS p, round(sum(a.w * b.w), 6) AS sim FROM v a JOIN v b ON a.subset = b.subset AND a.term = b.term AND a.id <> b.id GROUP BY 1, 2)
-    SELECT * FROM (SELECT q, p, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rank FROM s) WHERE rank <= 3"""
+    s AS (SELECT a.id AS q, b.id AS p, round(sum(a.w * b.w), 6) AS sim FROM v a JOIN v b ON {meet} AND a.term = b.term AND a.id <> b.id GROUP BY 1, 2)
+    SELECT * FROM (SELECT q, p, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rank FROM s) WHERE rank <= {k}"""
 
 
 _PLAIN = r"regexp_extract_all(lower(input), '[^\s?.,!]+')"
@@ -160,14 +160,6 @@ def skip_paired(spark, d):
     return table(spark, d, "embeddings").select("vec_id").join(used, "vec_id", "left_anti")
 
 
-@query("hybrid_topk", f"""WITH {SELF}, lex AS (SELECT q, p, 1.0::DOUBLE / (1 + abs(q - p)) AS sim FROM self WHERE (q + p) % 2 = 0), b AS (
-      SELECT self.q, self.p, round(0.6::DOUBLE * self.sim + 0.4::DOUBLE * coalesce(lex.sim, 0), 6) AS sim FROM self LEFT JOIN lex ON lex.q = self.q AND lex.p = self.p)
-    SELECT q, p, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) AS rn FROM b) WHERE rn = 1""")
-def hybrid_topk(spark, d):
-    n = neighbours(spark, d)
-    other = n.where("(q + p) % 2 = 0").select("q", "p", (1 / (1 + F.abs(F.col("q") - F.col("p")))).alias("sim"))
-    return R.top_k(R.blend(n, other, 0.4).withColumn("sim", F.round("sim", 6)), 1, ["q"], [F.desc("sim"), F.asc("p")]).drop("rank")
-
 
 @query("one_to_one")
 def one_to_one(spark, d):
@@ -183,33 +175,9 @@ def answered(spark, d):
     return neighbours(spark, d).select("q", "p", "sim", "rank", F.concat(F.lit("a"), F.col("p") % 7).alias("answer"))
 
 
-@query("vote_answer", f"WITH {ANS}, s AS (SELECT q, answer, round(sum(pow(greatest(sim, 0), 2)), 9) AS score, min(rank) AS seen FROM nb GROUP BY q, answer) SELECT q, answer, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seen) AS n FROM s) WHERE n = 1")
-def vote_answer(spark, d):
-    return S.vote(answered(spark, d), 2.0).withColumn("score", F.round("score", 6))
-
-
-@query("distinct_options", f"WITH {ANS}, f AS (SELECT q, answer, min(rank) AS rank FROM nb GROUP BY q, answer) SELECT f.q, nb.p, f.answer, n AS option FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) AS n FROM f) f JOIN nb ON nb.q = f.q AND nb.rank = f.rank WHERE n <= 3")
-def distinct_options(spark, d):
-    return S.distinct_options(answered(spark, d), 3).select("q", "p", "answer", F.col("option").cast("long").alias("option"))
-
 
-@query("agree_pick", f"WITH {ANS} SELECT q, CASE WHEN bool_or(answer = 'a' || (q % 7)) THEN 'a' || (q % 7) ELSE max(answer) FILTER (rank = 1) END AS pred, CASE WHEN bool_or(answer = 'a' || (q % 7)) THEN 'gen' ELSE 'sel' END AS source FROM nb WHERE rank <= 3 GROUP BY q")
-def agree_pick(spark, d):
-    rows = answered(spark, d).groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "answer"))), lambda x: x["answer"]).alias("answers"))
-    return S.agree(rows.select("q", F.get("answers", F.lit(0)).alias("pred"), F.concat(F.lit("a"), F.col("q") % 7).alias("gen"), "answers"), 3)
 
 
-@query("rescore", f"""WITH {ANS}, f AS (SELECT q, answer, min(rank) - 1 AS ce, min(CASE WHEN rank % 2 = 0 THEN rank - 1 ELSE 50 END) AS ret, max(sim) AS qa FROM nb GROUP BY q, answer),
-    s AS (SELECT q, answer, round(-ln(1 + ce) - 0.5 * ln(1 + ret) + 2.0 * (qa - max(qa) OVER (PARTITION BY q)), 6) AS score, ce FROM f)
-    SELECT q, answer, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ce) AS n FROM s) WHERE n = 1""")
-def rescore(spark, d):
-    """Selector rank, retriever rank (50 where absent) and the gap of the answer's similarity to the best."""
-    ret = F.when(F.col("rank") % 2 == 0, F.col("rank") - 1).otherwise(50)
-    f = answered(spark, d).groupBy("q", "answer").agg((F.min("rank") - 1).alias("ce"), F.min(ret).alias("ret"), F.max("sim").alias("qa"))
-    gap = F.col("qa") - F.max("qa").over(Window.partitionBy("q"))
-    s = f.withColumn("score", F.round(-F.log1p("ce") - 0.5 * F.log1p("ret") + 2.0 * gap, 6))
-    return R.top_k(s, 1, ["q"], [F.desc("score"), F.asc("ce")]).select("q", "answer", "score")
-
 
 @query("router", f"WITH {SELF} SELECT q, sim, CASE WHEN sim >= 0.4 THEN 'copy' ELSE 'generate' END AS route FROM self WHERE rank = 1")
 def router(spark, d):
@@ -224,28 +192,6 @@ def fallback_short(spark, d):
     return rows.join(med, "subset").select("id", "n", (F.col("n") < 0.5 * F.col("med")).alias("fallback"))
 
 
-OVERLAPS = f"""{QA}, c AS (SELECT conv_id AS q, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, list_distinct({words_sql('output')}) AS w FROM qa),
-    o AS (SELECT a.q, a.i, b.i AS j, round(2.0::DOUBLE * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)), 9) AS overlap FROM c a JOIN c b ON a.q = b.q AND a.i <> b.i)"""
-
-
-def overlaps(spark, d):
-    """Pairs of a conversation's answers with the overlap of their distinct words; conversations bound the pairs."""
-    i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    c = qa_pool(spark, d).select(F.col("conv_id").alias("q"), i.alias("i"), F.array_distinct(X.words(F.col("output"))).alias("w"))
-    pairs = c.join(c.select("q", F.col("i").alias("j"), F.col("w").alias("v")), "q").where("i <> j")
-    return pairs.select("q", "i", "j", F.round(M.f1(F.size(F.array_intersect("w", "v")), F.size("w"), F.size("v")), 9).alias("overlap"))
-
-
-@query("mbr_medoid", f"WITH {OVERLAPS}, u AS (SELECT q, i, round(sum(overlap), 9) AS u FROM o GROUP BY q, i) SELECT q, i::BIGINT AS i, round(u, 6) AS u FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY u DESC, i) AS n FROM u) WHERE n = 1")
-def mbr_medoid(spark, d):
-    return S.medoid(overlaps(spark, d)).select("q", F.col("i").cast("long").alias("i"), F.round("u", 6).alias("u"))
-
-
-@query("pool_weighted", f"WITH {OVERLAPS}, u AS (SELECT q, i, round(sum(CASE WHEN j = 0 THEN 2.5 ELSE 1.0 END * overlap), 9) AS u FROM o GROUP BY q, i) SELECT q, i::BIGINT AS i, round(u, 6) AS u FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY u DESC, i) AS n FROM u) WHERE n = 1")
-def pool_weighted(spark, d):
-    return S.medoid(overlaps(spark, d), 2.5).select("q", F.col("i").cast("long").alias("i"), F.round("u", 6).alias("u"))
-
-
 ROUTES = f"{SELF}, rt AS (SELECT q, label AS grp, p AS target, sim, row_number() OVER (PARTITION BY label, p ORDER BY sim DESC, q) > 1 AS loser FROM self WHERE rank = 1)"
 
 
@@ -255,37 +201,9 @@ def twin_losers(spark, d):
     return S.losers(routes).select("q", "target", "loser")
 
 
-@query("twin_route", f"WITH {ROUTES} SELECT q, CASE WHEN NOT loser AND round(sim + 0.5 * (target % 3) / 10, 6) >= 0.45 THEN 'twin' ELSE 'base' END AS source FROM rt")
-def twin_route(spark, d):
-    routes = S.losers(neighbours(spark, d, 1).select("q", F.col("label").alias("grp"), F.col("p").alias("target"), "sim"))
-    signal = F.round(F.col("sim") + 0.5 * (F.col("target") % 3) / 10, 6)
-    return routes.select("q", F.when(~F.col("loser") & (signal >= 0.45), "twin").otherwise("base").alias("source"))
-
 
-@query("recall_at_k", f"WITH {ANS}, h AS (SELECT q, max((answer = 'a' || (q % 7) AND rank <= 1)::INT) AS a, max((answer = 'a' || (q % 7))::INT) AS b FROM nb GROUP BY q) SELECT q % 3 AS grp, round(avg(a), 6) AS recall_1, round(avg(b), 6) AS recall_5 FROM h GROUP BY 1")
-def recall_at_k(spark, d):
-    hit = F.col("answer") == F.concat(F.lit("a"), F.col("q") % 7)
-    rows = answered(spark, d).groupBy("q").agg(F.max((hit & (F.col("rank") <= 1)).cast("int")).alias("a"), F.max(hit.cast("int")).alias("b"))
-    return rows.groupBy((F.col("q") % 3).alias("grp")).agg(F.round(F.avg("a"), 6).alias("recall_1"), F.round(F.avg("b"), 6).alias("recall_5"))
 
 
-@query("grid_best", f"""WITH {SELF}, g(t) AS (VALUES (0.2::DOUBLE), (0.3::DOUBLE), (0.4::DOUBLE)), s AS (SELECT label, t, round(avg(CASE WHEN sim >= t THEN (q % 2)::DOUBLE ELSE (p % 2)::DOUBLE END), 9) AS score FROM self, g WHERE rank = 1 GROUP BY ALL)
-    SELECT label, t, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, t) AS n FROM s) WHERE n = 1""")
-def grid_best(spark, d):
-    grid = spark.createDataFrame([(0.2,), (0.3,), (0.4,)], "t double")
-    keep = F.when(F.col("sim") >= F.col("t"), F.col("q") % 2).otherwise(F.col("p") % 2).cast("double")
-    return S.grid_best(neighbours(spark, d, 1), grid, keep, "label").withColumn("score", F.round("score", 6))
-
-
-@query("fold_fusion", f"""WITH {SELF}, s AS (SELECT q, p % 3 AS fold, p, sim AS score FROM self UNION ALL SELECT q, (p + 1) % 3, p, sim / 2 FROM self WHERE rank <= 2),
-    f AS (SELECT q, fold, min(score) AS floor FROM s GROUP BY ALL), u AS (SELECT DISTINCT q, p FROM s),
-    m AS (SELECT u.q, u.p, round(avg(coalesce(s.score, f.floor)), 9) AS score FROM u JOIN f ON f.q = u.q LEFT JOIN s ON s.q = u.q AND s.p = u.p AND s.fold = f.fold GROUP BY ALL)
-    SELECT q, p, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS rank FROM m) WHERE rank <= 3""")
-def fold_fusion(spark, d):
-    n = neighbours(spark, d)
-    scored = n.select("q", (F.col("p") % 3).alias("fold"), "p", F.col("sim").alias("score")).unionByName(n.where("rank <= 2").select("q", ((F.col("p") + 1) % 3).alias("fold"), "p", (F.col("sim") / 2).alias("score")))
-    return S.fuse(scored, 3).select("q", "p", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
 
 @query("shifted_choice", """WITH s AS (SELECT vec_id AS q, k AS shift, [(embedding[k + 1])::DOUBLE, (embedding[k + 2])::DOUBLE, CASE WHEN k = 1 THEN -50.0::DOUBLE ELSE embedding[k + 3]::DOUBLE END] AS lp FROM embeddings, range(3) t(k)),
     e AS (SELECT q, shift, j, exp(lp[j + 1] - list_max(lp)) / list_sum(list_transform(lp, lambda x: exp(x - list_max(lp)))) AS v FROM s, range(3) u(j))
@@ -296,10 +214,6 @@ def shifted_choice(spark, d):
     return S.shifted_choice(e.select("q", "shift", lp.alias("lp"))).select("q", F.col("option").cast("long").alias("option"), F.round("p", 6).alias("p"))
 
 
-@query("hard_negatives", f"WITH {ANS} SELECT q, min_by(p, rank) AS negative FROM nb WHERE answer <> 'a' || (q % 7) GROUP BY q")
-def hard_negatives(spark, d):
-    return answered(spark, d).where(F.col("answer") != F.concat(F.lit("a"), F.col("q") % 7)).groupBy("q").agg(F.min_by("p", "rank").alias("negative"))
-
 
 @query("same_answer_positives", "SELECT doc_id, n - 1 AS mates, first_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY lang, text) AS n, min(doc_id) OVER (PARTITION BY lang, text) AS first_id FROM documents) WHERE n > 1")
 def same_answer_positives(spark, d):

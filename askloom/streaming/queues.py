@@ -21,12 +21,6 @@ def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "10 minute
     return stream.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"))
 
 
-def complete_groups(stream: DataFrame, group: str, part: str, n: int) -> DataFrame:
-    """Groups once all n different parts have come, in update mode."""
-    seen = stream.groupBy(group).agg(F.size(F.collect_set(part)).alias("parts"))
-    return seen.where(F.col("parts") >= n)
-
-
 def to_table(stream: DataFrame, name_or_path: str, checkpoint: str) -> StreamingQuery:
     """Appends to a Parquet folder all that is there now; a later start goes on where this one ended."""
     return stream.writeStream.format("parquet").option("path", name_or_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
