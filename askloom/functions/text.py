@@ -27,6 +27,14 @@ def words_ascii(text: Column) -> Column:
     return words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+def words_stemmed(text: Column) -> Column:
+    """words_ascii with words of more than three letters cut to their stems."""
+    from askloom.functions.stemming import stems
+
+    own = words_ascii(text)
+    return F.zip_with(own, stems(own), lambda w, stem: F.when(F.length(w) > 3, stem).otherwise(w))
+
+
 def words_plain(text: Column) -> Column:
     """Runs of anything but blanks and ? . , !"""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\s?.,!]+"), F.lit(0))

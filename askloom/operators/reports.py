@@ -14,14 +14,31 @@ def with_all(rows: DataFrame, by: str, *measures: Column) -> DataFrame:
     return rows.rollup(by).agg(*measures, F.grouping(by).alias("_all")).withColumn(by, F.when(F.col("_all") == 1, "ALL").otherwise(F.col(by))).drop("_all")
 
 
-def full_report(scored: DataFrame, by: str, judge: str | None = None) -> DataFrame:
-    """n, rouge1, rougeL, judge, judge_n and total by group and for ALL, from rows with r1, rl and maybe a judge's score.
-    The total weighs means: rows without a judge's score count in the other two; no score at all gives no total."""
-    own = scored if judge else scored.withColumn("judge", F.lit(None).cast("double"))
+def full_report(scored: DataFrame, by: str, judge: str | None = None, digits: int = 4) -> DataFrame:
+    """n, rouge1, rougeL, judge, judge_n, rouge_only and total by group and for ALL, from rows with r1, rl and maybe a judge's
+    score. Totals weigh means: rows without a judge's score count in the other two, and no score at all gives no total.
+    Where some rows were not judged, ALL's judge is the mean of the judged groups' means by the groups' sizes, so that a
+    group of which fewer rows were judged weighs no less."""
     judge = judge or "judge"
-    total = M.total(F.avg("r1"), F.avg("rl"), F.avg(judge))
-    rounded = lambda c, n: F.round(c, 4).alias(n)
-    return with_all(own, by, F.count("*").alias("n"), rounded(F.avg("r1"), "rouge1"), rounded(F.avg("rl"), "rougeL"), rounded(F.avg(judge), "judge"), F.count(judge).alias("judge_n"), rounded(total, "total"))
+    own = scored if judge in scored.columns else scored.withColumn(judge, F.lit(None).cast("double"))
+    per = own.groupBy(by).agg(F.count("*").alias("n"), F.sum("r1").alias("s1"), F.sum("rl").alias("sl"), F.avg(judge).alias("judge"), F.count(judge).alias("judge_n"), F.sum(judge).alias("sj"))
+    judged = F.col("judge_n") > 0
+    by_size = F.try_divide(F.sum(F.when(judged, F.col("judge") * F.col("n"))), F.sum(F.when(judged, F.col("n"))))
+    whole = per.agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("sl").alias("sl"), F.when(F.sum("judge_n") < F.sum("n"), by_size).otherwise(F.try_divide(F.sum("sj"), F.sum("judge_n"))).alias("judge"), F.sum("judge_n").alias("judge_n"))
+    rows = per.drop("sj").unionByName(whole.where("n > 0").withColumn(by, F.lit("ALL")))
+    r1, rl = F.col("s1") / F.col("n"), F.col("sl") / F.col("n")
+    only = M.W_R1 * r1 + M.W_RL * rl
+    named = {"rouge1": r1, "rougeL": rl, "judge": F.col("judge"), "judge_n": F.col("judge_n"), "rouge_only": only, "total": only + M.W_JUDGE * F.col("judge")}
+    return rows.select(by, "n", *[(c if k == "judge_n" else F.round(c, digits)).alias(k) for k, c in named.items()])
+
+
+def compare_tokenizers(rows: DataFrame, by: str, pred: str, ref: str, digits: int = 6) -> DataFrame:
+    """by and a column per tokenizer with the weighted ROUGE of pred against ref, also for ALL."""
+    cuts = {"whitespace": X.words, "unicode": X.words_unicode, "default": X.words_ascii, "default_stem": X.words_stemmed}
+    own = rows.select(by, *[c.alias(f"{k}_{side}") for k, cut in cuts.items() for side, c in (("p", cut(F.col(pred))), ("r", cut(F.col(ref))))])
+    score = lambda k: M.W_R1 * M.rouge1(F.col(f"{k}_p"), F.col(f"{k}_r")) + M.W_RL * M.rouge_l(F.col(f"{k}_p"), F.col(f"{k}_r"))
+    scored = own.select(by, *[score(k).alias(k) for k in cuts])
+    return with_all(scored, by, *[F.round(F.avg(k), digits).alias(k) for k in cuts])
 
 
 def gap(report: DataFrame, by: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from askloom.operators.splits import ordinal
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,10 +25,17 @@ QA = """qa AS (SELECT 'Q' || lpad(conv_id::VARCHAR, 8, '0') || '_' || lpad(turn:
     FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS na FROM conversations) WHERE role = 'user' AND nr = 'assistant')"""
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qa_pool with rn, the row's number in its subset by id; conversations of 64 ids each are numbered together, so no task
+    holds a subset."""
+    return ordinal(qa_pool(spark, sf_dir), "subset", F.floor(F.col("conv_id") / 64), [F.col("id")])
+
+
 def previous_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qa_pool with pred: the answer of the row before in the subset, where there is one."""
-    w = Window.partitionBy("subset").orderBy("id")
-    return qa_pool(spark, sf_dir).withColumn("pred", F.lag("output").over(w)).where("pred IS NOT NULL")
+    rows = numbered(spark, sf_dir)
+    before = rows.select("subset", (F.col("rn") + 1).alias("rn"), F.col("output").alias("pred"))
+    return rows.join(before, ["subset", "rn"]).where("pred IS NOT NULL").drop("rn", "n")
 
 
 PREV = QA + """, prev AS (SELECT * FROM (SELECT *, lag(output) OVER (PARTITION BY subset ORDER BY id) AS pred FROM qa) WHERE pred IS NOT NULL)"""

@@ -10,6 +10,7 @@ from askloom.functions import prompts as P
 from askloom.functions import text as X
 from askloom.operators import frames as D
 from askloom.operators import reports as T
+from askloom.operators.splits import ordinal
 from askloom.plans.common import OVERLAP, PREV, QA, previous_answers, qa_pool, table, words_sql
 from askloom.plans.retrieval_queries import SELF, neighbours
 
@@ -145,11 +146,8 @@ def frequent_champion(spark, d):
 @query("row_order", f"WITH {QA} SELECT id, row_number() OVER (ORDER BY id) AS n FROM qa QUALIFY true")
 def row_order(spark, d):
     """Splits are put together again in the order of the rows they came from: ranks by blocks and offsets, no single task."""
-    rows = qa_pool(spark, d).select("id", F.substring("id", 1, 7).alias("block"))
-    w = Window.partitionBy("block").orderBy("id")
-    sizes = rows.groupBy("block").agg(F.count("*").alias("size"))
-    before = sizes.join(sizes.select(F.col("block").alias("b2"), F.col("size").alias("s2")), F.col("b2") < F.col("block"), "left").groupBy("block").agg(F.coalesce(F.sum("s2"), F.lit(0)).alias("ahead"))
-    return rows.withColumn("k", F.row_number().over(w)).join(before, "block").select("id", (F.col("k") + F.col("ahead")).alias("n"))
+    rows = qa_pool(spark, d).select("id", F.substring("id", 1, 7).alias("block"), F.lit(0).alias("whole"))
+    return ordinal(rows, "whole", F.col("block"), [F.col("id")]).select("id", F.col("rn").alias("n"))
 
 
 _DETECT = "d AS (SELECT doc_id, lang, text, CASE WHEN doc_id % 5 = 0 THEN 'en' ELSE lang END AS found, (doc_id % 11) / 10.0::DOUBLE AS conf FROM documents)"
@@ -211,6 +209,13 @@ def full_report(spark, d):
 _ROLL = "count(*) AS n, round(avg(x), 6) AS score"
 
 
+@query("tokenizer_columns")
+def tokenizer_columns(spark, d):
+    """The weighted ROUGE of copying the answer before under four tokenizers, a column each, by subset with an ALL row. The
+    fourth stems its tokens, for which there is no SQL."""
+    return T.compare_tokenizers(previous_answers(spark, d), "subset", "pred", "output")
+
+
 @query("tokenizer_scores", f"""WITH {PREV}, w(m) AS (VALUES ('blank'), ('ascii'), ('plain')), t AS (SELECT id, subset, m, CASE m WHEN 'blank' THEN {words_sql('pred')} WHEN 'ascii' THEN regexp_extract_all(lower(pred), '[a-z0-9]+') ELSE regexp_extract_all(pred, '[^ \\t\\n\\x0B\\f\\r?.,!]+') END AS pt,
       CASE m WHEN 'blank' THEN {words_sql('output')} WHEN 'ascii' THEN regexp_extract_all(lower(output), '[a-z0-9]+') ELSE regexp_extract_all(output, '[^ \\t\\n\\x0B\\f\\r?.,!]+') END AS rt FROM prev, w),
     o AS (SELECT id, m, sum(least(a, b)) AS ov FROM (SELECT id, m, x, count(*) FILTER (s = 'p') AS a, count(*) FILTER (s = 'r') AS b FROM (SELECT id, m, unnest(pt) AS x, 'p' AS s FROM t UNION ALL SELECT id, m, unnest(rt), 'r' FROM t) GROUP BY ALL) GROUP BY ALL),

@@ -79,13 +79,23 @@ def answer_overlap(spark, d):
     return rows.select("id", F.round((M.rouge1(F.col("p"), F.col("r")) + M.rouge_l(F.col("p"), F.col("r"))) / 2, 6).alias("overlap"))
 
 
-@query("judged_rollup", f"""WITH {PREV}, {R1}, j AS (SELECT r1.*, CASE WHEN l.quality IS NOT NULL THEN l.quality::DOUBLE END AS judge FROM r1 JOIN qa ON qa.id = r1.id LEFT JOIN labels l ON l.doc_id = qa.conv_id)
-    SELECT coalesce(subset, 'ALL') AS subset, count(*) AS n, count(judge) AS judge_n, round(avg(judge), 6) AS judge, round(avg(0.37 * r1 + 0.26 * judge), 6) AS total FROM j GROUP BY ROLLUP (subset)""")
+@query("judged_rollup", f"""WITH RECURSIVE {BENCH}, {LCS}, {OVERLAP}, s AS (
+      SELECT 'g' || (t.id % 3) AS grp, 2.0::DOUBLE * coalesce(ov, 0)::DOUBLE / (len(pt) + len(rt)) AS r1, 2.0::DOUBLE * prow[len(rt) + 1] / (len(pt) + len(rt)) AS rl, l.quality::DOUBLE AS judge
+      FROM steps s JOIN tok t ON s.id = t.id AND s.i = len(t.pt) LEFT JOIN ov ON ov.id = t.id LEFT JOIN labels l ON l.doc_id = t.id),
+    g AS (SELECT grp, count(*) AS n, avg(r1) AS r1, avg(rl) AS rl, avg(judge) AS judge, count(judge) AS judge_n FROM s GROUP BY grp),
+    a AS (SELECT 'ALL' AS grp, sum(n)::BIGINT AS n, sum(r1 * n) / sum(n) AS r1, sum(rl * n) / sum(n) AS rl, sum(judge * n) FILTER (judge_n > 0) / sum(n) FILTER (judge_n > 0) AS judge, sum(judge_n)::BIGINT AS judge_n FROM g)
+    SELECT grp AS subset, n, round(r1, 6) AS rouge1, round(rl, 6) AS "rougeL", round(judge, 6) AS judge, judge_n, round(0.37::DOUBLE * r1 + 0.37::DOUBLE * rl, 6) AS rouge_only, round(0.37::DOUBLE * r1 + 0.37::DOUBLE * rl + 0.26::DOUBLE * judge, 6) AS total
+    FROM (SELECT * FROM g UNION ALL SELECT * FROM a)""")
 def judged_rollup(spark, d):
-    rows = previous_answers(spark, d).select("conv_id", "subset", M.rouge1(X.words(F.col("pred")), X.words(F.col("output"))).alias("r1"))
-    own = rows.join(table(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), F.col("quality").cast("double").alias("judge")), "conv_id", "left")
-    out = own.rollup("subset").agg(F.count("*").alias("n"), F.count("judge").alias("judge_n"), F.round(F.avg("judge"), 6).alias("judge"), F.round(F.avg(0.37 * F.col("r1") + 0.26 * F.col("judge")), 6).alias("total"))
-    return out.withColumn("subset", F.coalesce("subset", F.lit("ALL")))
+    """Both ROUGE scores, a judge that has seen some of the rows, and the totals by group; ALL's judge by the groups' sizes."""
+    from askloom.operators import reports as T
+
+    b = table(spark, d, "benchmark")
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("output"))
+    p, r = X.words(F.col("text")), X.words(F.col("output"))
+    rows = b.join(nxt, "item_id").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("g"), F.col("item_id") % 3).alias("subset"), M.rouge1(p, r).alias("r1"), M.rouge_l(p, r).alias("rl"))
+    judged = rows.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("judge")), "doc_id", "left")
+    return T.full_report(judged, "subset", "judge", 6)
 
 
 @query("tokenizer_compare", rf"""SELECT lang, sum(len({words_sql('text')}))::BIGINT AS n_blank, sum(len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')))::BIGINT AS n_unicode,
@@ -141,6 +151,16 @@ def lang_heuristic(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", X.language(F.col("text")).alias("guess"))
 
 
+@query("language_confusion")
+def language_confusion(spark, d):
+    """Languages found by a model of nine tenths of the documents in the last tenth. Fitted tables of hashes: no SQL."""
+    from askloom.operators import language as N
+
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    return N.confusion(N.detect(docs.where(held), N.fit(docs.where(~held))))
+
+
 JUDGED = "CASE doc_id % 6 WHEN 0 THEN '{\"overall\": ' || (quality + 3) || '}' WHEN 1 THEN '{\"accuracy\": 4, \"completeness\": 3, \"language\": 4}' WHEN 2 THEN 'Score: ' || (quality + 1) WHEN 3 THEN (quality + 4) || '/5' WHEN 4 THEN 'I would say 3' ELSE 'between 2 and 4' END"
 
 

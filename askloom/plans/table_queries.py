@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as X
 from askloom.operators import ledger as L
+from askloom.operators import order_stats as O
 from askloom.operators import splits as P
 from askloom.operators import validation as V
 from askloom.plans.common import QA, qa_pool, table, words_sql
@@ -82,12 +83,18 @@ def length_bounds(spark, d):
 @query("length_policy", f"""WITH {QA}, w AS (SELECT subset, len({words_sql('output')}) AS n FROM qa), l AS (SELECT subset, list_sort(list(n)) AS a FROM w GROUP BY subset)
     SELECT subset, a[(trunc(len(a) * 0.1) + 1)::INT]::BIGINT AS lo, a[(trunc(len(a) * 0.9) + 1)::INT]::BIGINT AS hi FROM l""")
 def length_policy(spark, d):
-    """Not interpolated: the value at position int(n*q) of the sorted lengths, by row numbers instead of a list."""
-    w = Window.partitionBy("subset")
+    """Not interpolated: the value at position int(n*q) of the lengths in order, by refined histograms."""
     rows = qa_pool(spark, d).select("subset", F.size(X.words(F.col("output"))).cast("long").alias("n"))
-    rows = rows.select("subset", "n", F.row_number().over(w.orderBy("n")).alias("rn"), F.count("*").over(w).alias("k"))
-    at = lambda q: F.max(F.when(F.col("rn") == (F.col("k") * q).cast("int") + 1, F.col("n")))
-    return rows.groupBy("subset").agg(at(0.1).alias("lo"), at(0.9).alias("hi"))
+    out = O.order_statistics(rows, "subset", "n", {"lo": lambda n: (n * 0.1).cast("int"), "hi": lambda n: (n * 0.9).cast("int")})
+    return out.select("subset", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+
+
+@query("text_percentiles", "SELECT lang, count(*) AS n, round(quantile_cont(length(text), 0.01), 6) AS p01, round(quantile_cont(length(text), 0.5), 6) AS p50, round(quantile_cont(length(text), 0.99), 6) AS p99 FROM documents GROUP BY lang")
+def text_percentiles(spark, d):
+    """Interpolated percentiles of the texts' lengths, exact at any size."""
+    rows = table(spark, d, "documents").select("lang", F.length("text").alias("size"))
+    out = O.percentiles(rows, "lang", "size", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
+    return out.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("p01", "p50", "p99")])
 
 
 @query("share_by_lang", "SELECT lang, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY lang")

@@ -40,7 +40,7 @@ def triplets(spark, d):
 
 @query("stemmed_tokens")
 def stemmed_tokens(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", X.words_ascii(F.col("text")).alias("w"))
+    t = table(spark, d, "documents").select("doc_id", X.words_ascii(F.col("text")).alias("w"))
     return t.select("doc_id", F.size(F.array_distinct(stemming.stems(F.col("w")))).cast("long").alias("n_stems"))
 
 
