@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from askloom.functions.vectors import greedy_batch
+
 # fixed values: weights of the total
 W_R1, W_RL, W_JUDGE = 0.37, 0.37, 0.26
 W_PROXY = (0.3125, 0.3125, 0.375)
@@ -82,11 +85,12 @@ def softmax(a: Column) -> Column:
 
 
 def bert_score(pred: Column, ref: Column) -> Column:
-    """precision, recall, f1 from two arrays of unit token vectors."""
-    best = lambda x, ys: F.array_max(F.transform(ys, lambda y: dot(x, y)))
-    mean = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: best(x, ys)), F.lit(0.0), lambda s, v: s + v, lambda s: F.try_divide(s, F.size(xs)))
-    p, r = mean(pred, ref), mean(ref, pred)
-    return F.struct(p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+    """precision, recall, f1 from two arrays of unit token vectors, as one matrix product a pair in Arrow batches."""
+    return F.arrow_udf(_greedy, "precision double, recall double, f1 double")(pred, ref)
+
+
+def _greedy(pred: pa.Array, ref: pa.Array) -> pa.Array:
+    return greedy_batch(pred, ref)
 
 
 def proxy(r1: Column, rl: Column, bert: Column) -> Column:

@@ -28,16 +28,16 @@ def tfidf(counts: DataFrame, idfs: DataFrame, keys: list[str], by: list[str] = (
     return raw.select(*keys, *[c for c in by if c not in keys], "term", (F.col("raw") / norm).alias("w"))
 
 
-def bm25(queries: DataFrame, pool: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """q, p, score from (q, term, tf) and (p, term, tf); repeated query terms add up."""
-    size = pool.groupBy("p").agg(F.sum("tf").alias("len"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    df = pool.groupBy("term").agg(F.count("*").alias("df"))
-    own = pool.join(size, "p").join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
+def bm25_weights(counts: DataFrame, within: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """id, within, term, w of a pool's (id, within, term, tf): its dot product with a query's term counts is BM25, fitted
+    inside each group. So sparse_top_k ranks by BM25 without a join of all postings of a common term."""
+    size = counts.groupBy("id", within).agg(F.sum("tf").alias("len"))
+    stats = size.groupBy(within).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    df = counts.groupBy(within, "term").agg(F.count("*").alias("df"))
+    own = counts.join(size, ["id", within]).join(df, [within, "term"]).join(stats, within)
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    own = own.select("p", "term", part.alias("part"))
-    return queries.withColumnRenamed("tf", "qtf").join(own, "term").groupBy("q", "p").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
+    return own.select("id", within, "term", part.alias("w"))
 
 
 def top_k(pairs: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame:

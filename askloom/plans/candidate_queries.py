@@ -184,3 +184,18 @@ def grid_best(spark, d):
     gen = answered(spark, d, char_list(spark, d, 1)).select("q", F.col("answer").alias("gen"))
     rows = copied.join(gen, "q", "left").fillna("", ["gen"]).select("subset", "sim", rouge("answer", "own").alias("a"), rouge("gen", "own").alias("b"))
     return S.threshold_sweep(rows, "subset", "sim", "a", "b")
+
+
+@query("rerank_pool")
+def rerank_pool(spark, d):
+    """Of both rankers' first answers the one with the higher mean BERTScore against the answers of the four questions nearest
+    by BM25. Vectors come from hashes of character n-grams, which SQL lacks."""
+    from askloom.functions.vectors import bert_scorer
+    from askloom.operators import rerank as K
+
+    pool = qa_pool(spark, d)
+    both = word_list(spark, d, 1).withColumn("k", F.lit(0)).unionByName(char_list(spark, d, 1).withColumn("k", F.lit(1)))
+    cands = answered(spark, d, both).select("q", "k", F.col("answer").alias("cand"))
+    pools = K.reference_pool(pool, X.words, 4, "id", "subset", "input")
+    best = K.rerank(cands, pools, pool.select(F.col("id").alias("p"), F.col("output").alias("answer")), bert_scorer())
+    return best.select("q", "k", "cand", F.round("score", 6).alias("score"))

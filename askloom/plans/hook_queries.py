@@ -146,22 +146,6 @@ def ensemble_routed(spark, d):
     return rows.select("doc_id", P.routed({"fr": "b", "de": "c", "es": "missing"}, ["a", "b", "c"], F.col("lang")).alias("pred"))
 
 
-@query("rerank_pool", f"""WITH {QA}, c AS (SELECT id, subset, unnest([input, output]) AS cand, unnest([0, 1]) AS k FROM qa), pool AS (SELECT subset, output AS ref FROM (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY id) AS n FROM qa) WHERE n <= 8),
-    s AS (SELECT c.id, k, cand, round(avg(least(length(cand), length(ref)) / greatest(length(cand), length(ref), 1)::DOUBLE), 9) AS score FROM c JOIN pool ON c.subset = pool.subset GROUP BY ALL)
-    SELECT id, cand AS pred, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k) AS n FROM s) WHERE n = 1""")
-def rerank_pool(spark, d):
-    """The candidate with the highest mean score against its language's reference pool; a pool has at most 8 rows, which
-    is the feature's size, so it is broadcast."""
-    from pyspark.sql import Window
-
-    rows = qa_pool(spark, d)
-    pool = rows.withColumn("n", F.row_number().over(Window.partitionBy("subset").orderBy("id"))).where("n <= 8").select("subset", F.col("output").alias("ref"))
-    cands = rows.select("id", "subset", F.posexplode(F.array("input", "output")).alias("k", "cand"))
-    scored = cands.join(pool, "subset").withColumn("s", H.pair_scores(F.col("cand"), F.col("ref"), [H.length_scorer]))
-    mean = scored.groupBy("id", "k", "cand").agg(F.round(F.avg("s"), 9).alias("score"))
-    return R.top_k(mean, 1, ["id"], [F.desc("score"), F.asc("k")]).select("id", F.col("cand").alias("pred"), F.round("score", 6).alias("score"))
-
-
 @query("pooled_cosine", "SELECT vec_id, round(coalesce(list_dot_product(m, r) / nullif(sqrt(list_dot_product(m, m)) * sqrt(list_dot_product(r, r)), 0), 0), 6) AS sim FROM (SELECT vec_id, [(embedding[1]::DOUBLE + embedding[3]::DOUBLE) / 2, (embedding[2]::DOUBLE + embedding[4]::DOUBLE) / 2] AS m, [embedding[5]::DOUBLE, embedding[6]::DOUBLE] AS r FROM embeddings)")
 def pooled_cosine(spark, d):
     """Mean-pooled token vectors (masked ones left out) against a sentence vector."""

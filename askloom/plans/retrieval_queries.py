@@ -79,9 +79,11 @@ def pairs_scored(spark, d):
     SELECT q, p, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS rank FROM s) WHERE rank <= 5""")
 def bm25_topk(spark, d):
     """For every item against all others; an item does not match itself."""
-    counts = R.term_counts(table(spark, d, "benchmark").withColumnRenamed("item_id", "id"), ["id"], X.words(F.col("text")))
-    scored = R.bm25(counts.withColumnRenamed("id", "q"), counts.withColumnRenamed("id", "p")).where("q <> p").withColumn("score", F.round("score", 6))
-    return R.top_k(scored, 5, ["q"], [F.desc("score"), F.asc("p")]).select("q", "p", "score", F.col("rank").cast("long").alias("rank"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("all").alias("within"), "text")
+    counts = R.term_counts(items, ["id", "within"], X.words(F.col("text")))
+    asked = counts.select("id", "within", "term", F.col("tf").cast("double").alias("w"))
+    found = R.sparse_top_k(asked, R.bm25_weights(counts, "within"), 5, "within", drop_self=True)
+    return found.select("q", "p", F.col("sim").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("bow_neardup", rf"""WITH {QA}, a AS (SELECT min(id) AS id, output, count(*) AS freq FROM qa GROUP BY output),
