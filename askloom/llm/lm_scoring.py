@@ -15,7 +15,7 @@ is the log10 probability of the text, and bits_per_byte is the total of bits ove
 
 Training reads all documents whose crc32 of the id is not divisible by FOLDS. What it gathers grows with the texts: exact
 counts of all words, and exact counts of all pairs of two words and a follower (48 bits of the context's hash, 16 of the
-follower's). Units of about UNIT bytes of a partition write their distinct pairs; the pairs are dealt to buckets by hash, as
+follower's). Units of about UNIT bytes of a part write their distinct pairs; the pairs are dealt to buckets by hash, as
 many as the training tokens ask for, and added up there; each unit gets back one byte for each of its pairs. Contexts of
 symbols and bytes come from bounded alphabets, so their hashed tables have a fixed size; tasks write the slots they touch.
 A training text is scored as if its own occurrence of each word, pair and bit had not been counted.
@@ -25,7 +25,9 @@ WARM times before. So scores depend a little on which texts share a partition, b
 Null and empty texts have the end token alone. A null id counts as the empty text. An empty table gives no rows; without
 training documents all words are spelled with even odds. Repeated rows are scored, and learned from, as often as they occur.
 Words are known by 64 bits of a hash: of 10 million distinct words two fall together with odds of 1 to 370,000.
-A pair or word missing from what a task's partition has written would mean another split of the input and raises an error.
+The texts are written once, by the tasks that first read them, and each file is a part: later scans read part by part, so
+they don't hang on how Spark splits the input then, nor on the executors that are left. Scores do hang on which texts are in
+one part. Tables of bits are added up in a tree of TREE parts a task.
 Texts of over UNIT bytes are worked through in parts cut at blanks; contexts of words begin anew there.
 """
 
@@ -33,16 +35,17 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,8 @@ TOP, UNSEEN, BEGIN, SYMBOLS = 1024, 1024 + 60, 1024 + 61, 1024 + 64
 #: Bytes of text whose pairs are held at a time, training tokens a bucket, words a block.
 UNIT, SHARE, BLOCK = 1 << 21, 1 << 21, 1 << 16
 SLOT_BITS, RANGES, PREDICTORS = 21, 8, 3
+#: Parts whose tables of bits are added up at a time; rows of a part read at a time.
+TREE, ROWS = 64, 1024
 NODE_OF_BYTE = 2048
 MASK = (4 << SLOT_BITS) - 1
 GATES, WARM, RATE, SQUARE = 76, 4, 0.3, 3
@@ -326,11 +331,44 @@ def in_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array
         yield keys, pa.concat_arrays(held), False, False
 
 
-def distinct_words(own: DataFrame) -> DataFrame:
-    """part, kind, h, n. kind 0: each partition's words and how often its training texts have them; 1: bytes after bytes."""
+@dataclass
+class Parts:
+    """Files of texts, one a part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, after, some = TaskContext.get().partitionId(), np.zeros(1 << 16, np.int64), []
+    spark: SparkSession
+    files: list[str]
+
+    @classmethod
+    def write(cls, own: DataFrame) -> Parts:
+        """Writes (k, t) once; parts are numbered by the task that wrote them, as file names tell."""
+        place = f"{shared_dir(own.sparkSession)}/texts-{uuid.uuid4().hex}"
+        own.write.option("compression", "zstd").parquet(place)
+        store, at = fs.FileSystem.from_uri(place)
+        names = [(int(found[1]), x.path) for x in store.get_file_info(fs.FileSelector(at)) if (found := re.search(r"/part-(\d+)-[^/]*\.parquet$", x.path))]
+        return cls(own.sparkSession, [f"{place}/{path.rsplit('/', 1)[1]}" for _, path in sorted(names)])
+
+    def each(self, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+        """run(part, its batches) of every part, a task each."""
+        files = self.files
+
+        def read(file: str) -> Iterator[pa.RecordBatch]:
+            store, at = fs.FileSystem.from_uri(file)
+            with store.open_input_file(at) as held:
+                yield from pq.ParquetFile(held).iter_batches(ROWS, columns=["k", "t"])
+
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in batch.column(0).to_pylist():
+                    yield from run(part, read(files[part]))
+
+        return self.spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(every, kind)
+
+
+def distinct_words(parts: Parts) -> DataFrame:
+    """part, kind, h, n. kind 0: each part's words and how often its training texts have them; 1: bytes after bytes."""
+
+    def run(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after, some = np.zeros(1 << 16, np.int64), []
         for keys, texts, _, more in in_units(batches):
             held, starts, stops, lens = split(texts)
             trains = ~np.array([held_out(k) for k in keys], bool)
@@ -352,7 +390,7 @@ def distinct_words(own: DataFrame) -> DataFrame:
                 m = len(x[a : a + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, kind, np.int32)), pa.array(x[a : a + m]), pa.array(y[a : a + m])], ["part", "kind", "h", "n"])
 
-    return own.mapInArrow(run, "part int, kind int, h long, n long")
+    return parts.each(run, "part int, kind int, h long, n long")
 
 
 def settings(counts: DataFrame | None) -> dict:
@@ -377,8 +415,8 @@ def settings(counts: DataFrame | None) -> dict:
     return known
 
 
-def partition_words(place: str, known: dict) -> Words:
-    store, at = fs.FileSystem.from_uri(f"{place}/part={TaskContext.get().partitionId()}")
+def part_words(place: str, part: int, known: dict) -> Words:
+    store, at = fs.FileSystem.from_uri(f"{place}/part={part}")
     rows = pq.read_table(at, filesystem=store, columns=["h", "c"], filters=pc.field("kind") == 0, partitioning=None)
     return Words(rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy(), known)
 
@@ -426,8 +464,9 @@ def followers(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return whole, others, cells
 
 
-def gathered(own: DataFrame, known: dict, words_place: str) -> str:
-    """Where parts have what their units' pairs tell; part -1 has the tables, part -2 the cells of followers."""
+def gathered(parts: Parts, known: dict, words_place: str) -> str:
+    """Where parts have what their units' pairs tell; part -1 has the tables, part -2 the cells of followers, part -3 sums of
+    the tables of TREE parts each."""
     kind = "kind int, part int, unit int, bucket int, trains boolean, x binary, y binary"
     names = [x.split()[0] for x in kind.split(", ")]
     back = "part int, unit int, bucket int, trains boolean, x binary"
@@ -439,11 +478,11 @@ def gathered(own: DataFrame, known: dict, words_place: str) -> str:
         types = {"trains": pa.bool_(), "x": pa.binary(), "y": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(x, types.get(n, pa.int32())) for x, n in zip(zip(*out, strict=True), what, strict=True)], what)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words = TaskContext.get().partitionId(), None
+    def run(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
         counts = [np.zeros(2 << SLOT_BITS, np.int64) for _ in range(PREDICTORS)]
         for number, (keys, texts, _, more) in enumerate(in_units(batches)):
-            words = words or partition_words(words_place, known)
+            words = words or part_words(words_place, part, known)
             unit = Unit(keys, texts, more, words)
             counted_bits(unit, counts)
             pairs, out = unit.pairs(), []
@@ -458,7 +497,7 @@ def gathered(own: DataFrame, known: dict, words_place: str) -> str:
         for k, one in enumerate(counts):
             full = np.flatnonzero(one)
             edges = np.searchsorted(full, np.arange(RANGES + 1) * width)
-            out = [(0, part, 0, k * RANGES + r, True, squeezed(np.diff(full[edges[r] : edges[r + 1]] - r * width, prepend=0).astype("<u4")), squeezed(one[full[edges[r] : edges[r + 1]]])) for r in np.flatnonzero(np.diff(edges))]
+            out = [(0, part, part // TREE, k * RANGES + r, True, squeezed(np.diff(full[edges[r] : edges[r + 1]] - r * width, prepend=0).astype("<u4")), squeezed(one[full[edges[r] : edges[r + 1]]])) for r in np.flatnonzero(np.diff(edges))]
             if out:
                 yield rows(out, names)
 
@@ -469,9 +508,7 @@ def gathered(own: DataFrame, known: dict, words_place: str) -> str:
             counts = np.zeros(width, np.int64)
             for at, n in zip(x, y, strict=True):
                 counts[np.cumsum(restored(at, "<u4"), dtype=np.int64)] += restored(n, "<i8")
-            zeros, ones = counts[::2], counts[1::2]
-            made = np.stack([log_odds(zeros, ones), log_odds(np.maximum(zeros - 1, 0), ones), log_odds(zeros, np.maximum(ones - 1, 0))], 1)
-            return pa.Table.from_batches([rows([(-1, 0, bucket, True, squeezed(np.pad(made, ((0, 0), (0, 1))).view("<u4").ravel()))], back_names)])
+            return pa.Table.from_batches([rows([(-3, held.column("unit")[0].as_py(), bucket, True, squeezed(counts.astype("<i8")))], back_names)])
         trains = held.column("trains").to_pylist()
         cells = [np.cumsum(restored(b, "<u8"), dtype=np.uint64) for b in x]
         keys = np.concatenate(cells)
@@ -485,9 +522,27 @@ def gathered(own: DataFrame, known: dict, words_place: str) -> str:
         out.append((-2, 0, bucket, True, squeezed(seen.astype("<i8"))))
         return pa.Table.from_batches([rows(out, back_names)])
 
-    place = f"{shared_dir(own.sparkSession)}/followers-{uuid.uuid4().hex}"
-    made = own.mapInArrow(run, kind).groupBy("kind", "bucket").applyInArrow(add, back)
+    place = f"{shared_dir(parts.spark)}/followers-{uuid.uuid4().hex}"
+    def merge(held: pa.Table) -> pa.Table:
+        counts = sum((restored(x, "<i8") for x in held.column("x").to_pylist()), np.zeros(width, np.int64))
+        return pa.Table.from_batches([rows([(-3, held.column("unit")[0].as_py() // TREE, held.column("bucket")[0].as_py(), True, squeezed(counts.astype("<i8")))], back_names)])
+
+    def finish(held: pa.Table) -> pa.Table:
+        counts = sum((restored(x, "<i8") for x in held.column("x").to_pylist()), np.zeros(width, np.int64))
+        zeros, ones = counts[::2], counts[1::2]
+        made = np.stack([log_odds(zeros, ones), log_odds(np.maximum(zeros - 1, 0), ones), log_odds(zeros, np.maximum(ones - 1, 0))], 1)
+        return pa.Table.from_batches([rows([(-1, 0, held.column("bucket")[0].as_py(), True, squeezed(np.pad(made, ((0, 0), (0, 1))).view("<u4").ravel()))], back_names)])
+
+    # a group is a bucket of pairs, or a range of a table over TREE parts
+    group = ["kind", "bucket", F.when(F.col("kind") == 0, F.col("unit")).otherwise(0)]
+    made = parts.each(run, kind).groupBy(*group).applyInArrow(add, back)
     made.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(place)
+    sums = parts.spark.read.schema(back).parquet(place).where("part = -3")
+    left = -(-len(parts.files) // TREE)
+    while left > TREE:
+        sums = written(sums.groupBy("bucket", F.floor(F.col("unit") / TREE)).applyInArrow(merge, back), "tables")
+        left = -(-left // TREE)
+    sums.groupBy("bucket").applyInArrow(finish, back).write.partitionBy("part").mode("append").parquet(place)
     return place
 
 
@@ -658,26 +713,25 @@ def told_of(unit: Unit, number: int, held: dict) -> np.ndarray:
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: the key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    own = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     spark = docs.sparkSession
-    vocabulary = written(distinct_words(own), "words")
+    parts = Parts.write(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")))
+    vocabulary = written(distinct_words(parts), "words")
     by = Window.partitionBy("kind", "h")
     counted = vocabulary.withColumns({"c": F.sum("n").over(by), "first": F.min("part").over(by) == F.col("part")})
     words_place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
     counted.repartition("part").write.partitionBy("part").parquet(words_place)
     counts = spark.read.parquet(words_place) if not vocabulary.isEmpty() else None
     known = settings(counts)
-    place = gathered(own, known, words_place)
+    place = gathered(parts, known, words_place)
     kind = "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     names = [x.split()[0] for x in kind.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = model = None
         sums = states = None  # of a text that goes on
         for number, (keys, texts, on, more) in enumerate(in_units(batches)):
             if words is None:
-                words, model = partition_words(words_place, known), Model.load(place)
-                held = read_part(place, TaskContext.get().partitionId())
+                words, model, held = part_words(words_place, part, known), Model.load(place), read_part(place, part)
             unit = Unit(keys, texts, more, words)
             states = states if on else even(len(keys))
             score = score_unit(unit, told_of(unit, number, held), model, states)
@@ -692,7 +746,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             columns = [pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys], pa.bool_()), *(pa.array(np.rint(x).astype(np.int64)) for x in (tokens, seen, np.full(n, known["n"]))), *(pa.array(x, pa.float64()) for x in (base, score, bits))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return own.mapInArrow(run, kind).withColumnRenamed("k", key)
+    return parts.each(run, kind).withColumnRenamed("k", key)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

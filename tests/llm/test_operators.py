@@ -432,7 +432,7 @@ def test_lm_counts_are_exact(spark, docs, rows, monkeypatch):
     c = Counter(w for i, ws in held if not L.held_out(i) for w in ws)
     n = sum(c.values())
     F = L.F
-    own = docs.selectExpr("doc_id as k", "text as t").where("t is null or octet_length(t) <= 3000")
+    own = L.Parts.write(docs.selectExpr("doc_id as k", "text as t").where("t is null or octet_length(t) <= 3000"))
     vocabulary = L.written(L.distinct_words(own), "words")
     by = L.Window.partitionBy("kind", "h")
     place = f"{shared_dir(spark)}/counts-test"
