@@ -4,8 +4,11 @@ Each document gets five counts and four measures per thousand. For every languag
 measure is kept: a histogram over buckets that hold the six leading binary digits of a value, so a bucket is at most
 1/32 wide and two sketches merge by adding counts. The sketches of a language's sources merge to the language's, and
 those to the whole corpus's; a group with fewer than `least` documents uses the next wider one. A document is kept if
-every measure lies within [q1 - reach * spread, q3 + reach * spread], where spread is q3 - q1, and no less than a
-least spread that keeps a group of equal documents from rejecting small differences. Documents that fail the base
+every measure lies within limits that are read off the sketch in two steps:
+1. A fence around the quartiles, [q1 - reach * spread, q3 + reach * spread], where spread is q3 - q1 and no less than a least
+   spread, cuts gross outliers off the sketch, so that much junk in a group can't widen its own limits.
+2. Of what is left, the limits lie beyond the first and the 99th percentile by TAIL halves of their distance to the median.
+Only where a tail has no length (the percentile is the median) the fence itself is the limit. Documents that fail the base
 rules are in no sketch: they would move the thresholds of the others.
 
 Words and windows are told apart by 64 bits of a hash: in a text of a million words two different windows count as one with
@@ -26,7 +29,7 @@ WINDOW = 8
 LEAST_WORDS = 20
 MEASURES = ("word_len", "symbols", "dup_lines", "repeats")
 LEAST = 200
-REACH = 4
+REACH, TAIL = 4, 3
 SPREAD = {"word_len": 400, "symbols": 50, "dup_lines": 90, "repeats": 60}
 BROADCAST_ROWS, REJECTED_ROWS = 20_000, 500_000
 
@@ -81,31 +84,45 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """size, q1 and q3 by group and measure; a sketch has under 2,000 buckets, so a group is a small array."""
+def limits(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """size, lo, hi, lo_read and hi_read (whether the data's tail or the fence set them) by group and measure; a sketch has
+    under 2,000 buckets, so a group is a small array."""
     held = sketches.groupBy(*by, "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("size"))
 
-    def at(quarter: int) -> Column:
+    def at(b: str, size: str, part: int, of: int) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("v"))
-        step = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.when(a["v"].isNull() & (4 * (a["n"] + x["n"]) >= quarter * F.col("size")), x["bucket"]).otherwise(a["v"]).alias("v"))
-        return F.aggregate("b", start, step, lambda a: a["v"])
+        step = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.when(a["v"].isNull() & (of * (a["n"] + x["n"]) >= part * F.col(size)), x["bucket"]).otherwise(a["v"]).alias("v"))
+        return F.aggregate(b, start, step, lambda a: a["v"])
 
-    return held.select(*by, "measure", "size", at(1).alias("q1"), at(3).alias("q3"))
+    floor = F.create_map(*[F.lit(x) for m in MEASURES for x in (m, SPREAD[m])])
+    held = held.withColumns({"q1": at("b", "size", 1, 4), "q3": at("b", "size", 3, 4)})
+    spread = REACH * F.greatest(F.col("q3") - F.col("q1"), F.element_at(floor, F.col("measure")))
+    held = held.withColumns({"lo0": F.col("q1") - spread, "hi0": F.col("q3") + spread})
+    held = held.withColumn("c", F.filter("b", lambda x: x["bucket"].between(F.col("lo0"), F.col("hi0"))))
+    held = held.withColumn("left", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    held = held.withColumns({"p1": at("c", "left", 1, 100), "p50": at("c", "left", 1, 2), "p99": at("c", "left", 99, 100)})
+    low, high = F.col("p1") < F.col("p50"), F.col("p99") > F.col("p50")
+    return held.select(
+        *by,
+        "measure",
+        "size",
+        F.when(low, F.expr(f"p1 - {TAIL} * (p50 - p1) div 2")).otherwise(F.col("lo0")).alias("lo"),
+        F.when(high, F.expr(f"p99 + {TAIL} * (p99 - p50) div 2")).otherwise(F.col("hi0")).alias("hi"),
+        low.alias("lo_read"),
+        high.alias("hi_read"),
+    )
 
 
 def thresholds(measured: DataFrame, least: int = LEAST) -> DataFrame:
     """A row per language and source with lo_ and hi_ of every measure."""
     fine = cut(sketch(measured, ["lang_", "source_"]))
     wide, whole = merge(fine, ["lang_"]), merge(fine, [])
-    own = quartiles(fine, ["lang_", "source_"])
-    up = quartiles(wide, ["lang_"]).select("lang_", "measure", *[F.col(c).alias(f"w_{c}") for c in ("size", "q1", "q3")])
-    top = quartiles(whole, []).select("measure", *[F.col(c).alias(f"a_{c}") for c in ("q1", "q3")])
+    own = limits(fine, ["lang_", "source_"])
+    up = limits(wide, ["lang_"]).select("lang_", "measure", *[F.col(c).alias(f"w_{c}") for c in ("size", "lo", "hi")])
+    top = limits(whole, []).select("measure", *[F.col(c).alias(f"a_{c}") for c in ("lo", "hi")])
     own = own.join(up, ["lang_", "measure"]).join(F.broadcast(top), ["measure"])  # top has a row per measure
     pick = lambda q: F.when(F.col("size") >= least, F.col(q)).when(F.col("w_size") >= least, F.col(f"w_{q}")).otherwise(F.col(f"a_{q}"))
-    own = own.withColumns({"q1_": pick("q1"), "q3_": pick("q3")})
-    floor = F.create_map(*[F.lit(x) for m in MEASURES for x in (m, SPREAD[m])])
-    spread = REACH * F.greatest(F.col("q3_") - F.col("q1_"), F.element_at(floor, F.col("measure")))
-    own = own.withColumns({"lo": F.col("q1_") - spread, "hi": F.col("q3_") + spread})
+    own = own.select("lang_", "source_", "measure", pick("lo").alias("lo"), pick("hi").alias("hi"))
     pivot = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}") for m in MEASURES for e in ("lo", "hi")]
     return own.groupBy("lang_", "source_").agg(*pivot)
 
@@ -158,6 +175,11 @@ def oracle() -> str:
     quart = lambda by, src: f"""SELECT {by}measure, size, min(bucket) FILTER (4 * run >= size) AS q1, min(bucket) FILTER (4 * run >= 3 * size) AS q3
         FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {by}measure) AS size FROM {src}) GROUP BY ALL"""
     floor = "CASE measure " + " ".join(f"WHEN '{m}' THEN {SPREAD[m]}" for m in MEASURES) + " END"
+    tails = lambda by, src, q: f"""SELECT {by}measure, size, CASE WHEN p1 < p50 THEN p1 - {TAIL} * (p50 - p1) // 2 ELSE lo0 END AS lo, CASE WHEN p99 > p50 THEN p99 + {TAIL} * (p99 - p50) // 2 ELSE hi0 END AS hi FROM (
+        SELECT {by}measure, size, lo0, hi0, min(bucket) FILTER (100 * run >= rest) AS p1, min(bucket) FILTER (2 * run >= rest) AS p50, min(bucket) FILTER (100 * run >= 99 * rest) AS p99
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {by}measure) AS rest
+          FROM {src} JOIN (SELECT *, q1 - {REACH} * greatest(q3 - q1, {floor}) AS lo0, q3 + {REACH} * greatest(q3 - q1, {floor}) AS hi0 FROM ({q})) USING ({by}measure) WHERE bucket BETWEEN lo0 AND hi0) GROUP BY ALL)"""
+    limit = lambda by, src: tails(by, src, quart(by, src))
     inside = " AND ".join(f"NOT coalesce(bool_or(t.measure = '{m}' AND m.{m} NOT BETWEEN t.lo AND t.hi), false)" for m in MEASURES)
     return rf"""
     WITH w AS (
@@ -180,12 +202,11 @@ def oracle() -> str:
     fine AS ({sketches}),
     wide AS (SELECT lang, measure, bucket, sum(n)::BIGINT AS n FROM fine GROUP BY ALL),
     whole AS (SELECT measure, bucket, sum(n)::BIGINT AS n FROM fine GROUP BY ALL),
-    f AS ({quart('lang, source, ', 'fine')}), u AS ({quart('lang, ', 'wide')}), a AS ({quart('', 'whole')}),
-    p AS (
-      SELECT f.lang, f.source, f.measure, CASE WHEN f.size >= {LEAST} THEN f.q1 WHEN u.size >= {LEAST} THEN u.q1 ELSE a.q1 END AS q1,
-        CASE WHEN f.size >= {LEAST} THEN f.q3 WHEN u.size >= {LEAST} THEN u.q3 ELSE a.q3 END AS q3
-      FROM f JOIN u ON f.lang = u.lang AND f.measure = u.measure JOIN a ON f.measure = a.measure),
-    t AS (SELECT lang, source, measure, q1 - {REACH} * greatest(q3 - q1, {floor}) AS lo, q3 + {REACH} * greatest(q3 - q1, {floor}) AS hi FROM p)
+    f AS ({limit('lang, source, ', 'fine')}), u AS ({limit('lang, ', 'wide')}), a AS ({limit('', 'whole')}),
+    t AS (
+      SELECT f.lang, f.source, f.measure, CASE WHEN f.size >= {LEAST} THEN f.lo WHEN u.size >= {LEAST} THEN u.lo ELSE a.lo END AS lo,
+        CASE WHEN f.size >= {LEAST} THEN f.hi WHEN u.size >= {LEAST} THEN u.hi ELSE a.hi END AS hi
+      FROM f JOIN u ON f.lang = u.lang AND f.measure = u.measure JOIN a ON f.measure = a.measure)
     SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed, (NOT m.base_failed AND {inside}) AS kept
     FROM measured m LEFT JOIN t ON m.lang = t.lang AND m.source = t.source
     GROUP BY m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed"""
