@@ -199,3 +199,24 @@ def rerank_pool(spark, d):
     pools = K.reference_pool(pool, X.words, 4, "id", "subset", "input")
     best = K.rerank(cands, pools, pool.select(F.col("id").alias("p"), F.col("output").alias("answer")), bert_scorer())
     return best.select("q", "k", "cand", F.round("score", 6).alias("score"))
+
+
+_GEN = "array_to_string(string_split('Q: ' || input || chr(10) || 'A:', ' ')[-3:], ' ')"
+
+
+@query("run_modes", f"""WITH {lists_sql(5)}, m AS (SELECT 'retrieval' AS mode, q, answer, own, subset FROM nb WHERE rank = 1 UNION ALL
+      SELECT 'router', nb.q, CASE WHEN sim >= 0.12 THEN answer ELSE {_GEN} END, own, nb.subset FROM nb JOIN qa ON qa.id = nb.q WHERE rank = 1),
+    {rouge_sql('sc', "SELECT mode || '|' || q AS key, answer AS a, own AS b FROM m")}
+    SELECT mode, coalesce(m.subset, 'ALL') AS subset, count(*) AS n, round(avg(r1), 6) AS rouge1 FROM m JOIN sc ON sc.key = mode || '|' || q GROUP BY GROUPING SETS ((mode, m.subset), (mode))""")
+def run_modes(spark, d):
+    """Runs of two modes over all questions, scored by subset: copying, and routing far questions to a generator, which here
+    gives the prompt's last words."""
+    from askloom.operators import experiments as E
+    from askloom.operators import hooks as H
+
+    pool = qa_pool(spark, d).select("id", "subset", "input", "output")
+    made = None
+    for name, config in (("retrieval", {}), ("router", {"mode": "router", "threshold": 0.12, "examples": 0})):
+        part = E.scores(E.run(config, pool, pool, H.tail_generator), pool).select(F.lit(name).alias("mode"), "subset", "n", "rouge1")
+        made = part if made is None else made.unionByName(part)
+    return made
