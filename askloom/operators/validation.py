@@ -82,3 +82,15 @@ def differing_ranges(left: DataFrame, right: DataFrame) -> DataFrame:
     """level, node of two digest trees whose digests differ or that one side lacks: where two tables have drifted apart."""
     both = left.withColumnRenamed("digest", "a").join(right.withColumnRenamed("digest", "b"), ["level", "node"], "full")
     return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("level", "node")
+
+
+def within_tolerance(counts: DataFrame, by: str, target: dict[str, float], tolerance: float = 0.02) -> DataFrame:
+    """by, a share per split rounded to 4 places, and ok: no share is further than the tolerance from its target. counts: by and
+    a column of counts per split; a group without rows has shares of 0."""
+    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in target), F.lit(0))
+    share = {c: F.round(F.coalesce(F.try_divide(F.coalesce(F.col(c), F.lit(0)), total), F.lit(0.0)), 4) for c in target}
+    own = counts.select(by, *[x.alias(f"{c}_share") for c, x in share.items()])
+    ok = F.lit(True)
+    for c, wanted in target.items():
+        ok = ok & (F.round(F.abs(F.col(f"{c}_share") - wanted), 6) <= tolerance)
+    return own.withColumn("ok", ok)

@@ -220,3 +220,13 @@ def run_modes(spark, d):
         part = E.scores(E.run(config, pool, pool, H.tail_generator), pool).select(F.lit(name).alias("mode"), "subset", "n", "rouge1")
         made = part if made is None else made.unionByName(part)
     return made
+
+
+@query("cross_fitted_fusion")
+def cross_fitted_fusion(spark, d):
+    """Every fifth conversation's questions against all others: lists of three fold models, fused. Folds by a hash: no SQL."""
+    from askloom.operators import crossfit as C
+
+    rows = qa_pool(spark, d).select("id", "subset", "input", "conv_id")
+    _, per_fold = C.cross_fitted(rows.where("conv_id % 5 <> 0"), rows.where("conv_id % 5 = 0"), lambda t: X.words_plain(F.lower(t)), 3, 5)
+    return C.fused(per_fold, 5).select("q", "p", "score", "rank")

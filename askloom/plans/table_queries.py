@@ -108,6 +108,15 @@ def class_pivot(spark, d):
     return s.groupBy("lang").pivot("split", ["train", "val", "test"]).count().fillna(0)
 
 
+@query("class_tolerance", f"""WITH {ranked_sql(42)}, s AS (SELECT lang, CASE WHEN rn <= round_even(n * 0.8, 0) THEN 'train' WHEN rn <= round_even(n * (0.8 + 0.1), 0) THEN 'val' ELSE 'test' END AS split FROM r),
+    c AS (SELECT lang, count(*) AS n, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM s GROUP BY lang),
+    p AS (SELECT lang, round(train / n, 4) AS train_share, round(val / n, 4) AS val_share, round(test / n, 4) AS test_share FROM c)
+    SELECT *, round(abs(train_share - 0.8), 6) <= 0.002 AND round(abs(val_share - 0.1), 6) <= 0.002 AND round(abs(test_share - 0.1), 6) <= 0.002 AS ok FROM p""")
+def class_tolerance(spark, d):
+    """Whether each language's shares of a split are near their targets."""
+    return V.within_tolerance(class_pivot(spark, d), "lang", {"train": 0.8, "val": 0.1, "test": 0.1}, 0.002)
+
+
 @query("null_report", "SELECT * FROM (SELECT 'doc_id' AS column_name, count(*) FILTER (doc_id IS NULL) AS nulls FROM documents UNION ALL SELECT 'lang', count(*) FILTER (lang IS NULL) FROM documents UNION ALL SELECT 'quality', count(*) FILTER (quality IS NULL) FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)")
 def null_report(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")

@@ -138,3 +138,29 @@ def load(spark: SparkSession, name: str, most: int | None = None) -> DataFrame:
     df = _sources[name](spark)
     df = df.limit(most) if most is not None else df
     return df.withColumns({"_source": F.lit(name), "ID": F.concat(F.lit(f"{name}::"), F.col("ID").cast("string"))})
+
+
+BOM = b"\xef\xbb\xbf"
+
+
+def submission(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A submission's CSV as texts. A byte-order mark at the head of any of its files, or columns that are not the wanted ones
+    in their order, raise an error: readers pass over both without a word."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        raise FileNotFoundError(path)
+    for x in store.listStatus(at):
+        if x.isFile() and x.getLen() >= len(BOM) and not x.getPath().getName().startswith((".", "_")):
+            file = store.open(x.getPath())
+            try:
+                head = bytes(file.read() for _ in range(len(BOM)))
+            finally:
+                file.close()
+            if head == BOM:
+                raise ValueError(f"{x.getPath().toString()} begins with a byte-order mark")
+    made = csv(spark, path)
+    if made.columns != list(columns):
+        raise ValueError(f"columns are {made.columns}, wanted are {list(columns)}")
+    return made
