@@ -129,3 +129,13 @@ def by_sentence(text: Column, change) -> Column:
     """The text with `change` applied to each sentence; lines and the order of sentences stay, blanks between them become one."""
     lines = F.split(text, "\n", -1)
     return F.array_join(F.transform(lines, lambda line: F.array_join(F.transform(F.filter(F.split(line, r"(?<=[.!?።])\s+"), lambda s: s != ""), change), " ")), "\n")
+
+
+def link_lint(links: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dead links (source, target: no such name) and orphans (name: no other name links to it), from links (source, target)
+    and names (name). Null targets are no links; a link to itself saves no orphan."""
+    own = links.where("target IS NOT NULL").distinct()
+    known = names.select("name").where("name IS NOT NULL").distinct()
+    dead = own.join(known, own["target"] == known["name"], "left_anti")
+    reached = own.where("source <> target").select(F.col("target").alias("name")).distinct()
+    return dead.select("source", "target"), known.join(reached, "name", "left_anti")

@@ -230,3 +230,18 @@ def cross_fitted_fusion(spark, d):
     rows = qa_pool(spark, d).select("id", "subset", "input", "conv_id")
     _, per_fold = C.cross_fitted(rows.where("conv_id % 5 <> 0"), rows.where("conv_id % 5 = 0"), lambda t: X.words_plain(F.lower(t)), 3, 5)
     return C.fused(per_fold, 5).select("q", "p", "score", "rank")
+
+
+@query("candidate_echo", f"""WITH {lists_sql(3)}, r AS (SELECT q, subset, answer FROM nb UNION SELECT q, subset, answer FROM cb), st AS (SELECT subset, output AS answer, min(id) AS aid, count(*) AS freq FROM qa GROUP BY ALL),
+    bt AS (SELECT aid, term, count(*)::DOUBLE AS tf FROM (SELECT aid, unnest(regexp_extract_all(answer, '[^\\s?.,!]+')) AS term FROM st) GROUP BY ALL), bv AS (SELECT aid, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY aid)) AS w FROM bt),
+    cs AS (SELECT x.aid AS a, y.aid AS b, sum(x.w * y.w) AS sim FROM bv x JOIN bv y ON x.term = y.term GROUP BY ALL),
+    ms AS (SELECT a, sum(t.freq) AS mass FROM cs JOIN st s ON s.aid = a JOIN st t ON t.aid = b AND t.subset = s.subset WHERE round(sim, 9) >= 0.8 GROUP BY a),
+    n AS (SELECT r.q, r.answer, st.aid, st.freq FROM r JOIN st ON st.subset = r.subset AND st.answer = r.answer),
+    o AS (SELECT x.q, x.aid, avg(round(coalesce(sim, 0), 6)) AS m, max(round(coalesce(sim, 0), 6)) AS x, count(*) FILTER (round(sim, 6) >= 0.8) AS n FROM n x JOIN n y ON x.q = y.q AND x.aid <> y.aid LEFT JOIN cs ON cs.a = x.aid AND cs.b = y.aid GROUP BY ALL)
+    SELECT n.q, n.answer, round(ln(coalesce(mass, freq)::DOUBLE), 6) AS l_echo, coalesce(round(m, 8), 0) AS cand_mean, coalesce(round(x, 8), 0) AS cand_max, coalesce(o.n, 0) AS cand_echo FROM n LEFT JOIN ms ON ms.a = n.aid LEFT JOIN o ON o.q = n.q AND o.aid = n.aid""")
+def candidate_echo(spark, d):
+    """How much of the pool, and of the other candidates, says what a candidate says."""
+    from askloom.operators import ranking as K
+
+    both = word_list(spark, d, 3).unionByName(char_list(spark, d, 3))
+    return K.echo_features(answered(spark, d, both), qa_pool(spark, d).select("id", "subset", "output"), X.words_plain(F.col("t")))

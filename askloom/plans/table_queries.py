@@ -252,3 +252,18 @@ def ranked_lists(spark, d):
     top = table(spark, d, "events").withColumn("rn", rn).where("rn <= 5")
     ids = F.transform(F.sort_array(F.collect_list(F.struct("rn", "event_id"))), lambda x: x["event_id"].cast("string"))
     return top.groupBy("user_id").agg(F.array_join(ids, "|").alias("ids"))
+
+
+_LINKS = "l AS (SELECT DISTINCT '/' || split_part(split_part(url, '://', 2), '/', 2) AS source, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages), n AS (SELECT DISTINCT '/' || split_part(split_part(url, '://', 2), '/', 2) AS name FROM pages)"
+
+
+@query("link_lint", f"WITH {_LINKS} SELECT 'dead' AS kind, source AS name, target FROM l WHERE target NOT IN (SELECT name FROM n) UNION ALL SELECT 'orphan', name, NULL FROM n WHERE name NOT IN (SELECT target FROM l WHERE source <> target)")
+def link_lint(spark, d):
+    """Links of pages to sections (the first part of an address) that no page has, and sections that no other links to."""
+    from askloom.operators import reports as T
+
+    section = F.concat(F.lit("/"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(2)))
+    pages = table(spark, d, "pages").select(section.alias("name"), "html")
+    links = pages.select(F.col("name").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+    dead, orphans = T.link_lint(links, pages)
+    return dead.select(F.lit("dead").alias("kind"), F.col("source").alias("name"), "target").unionByName(orphans.select(F.lit("orphan").alias("kind"), "name", F.lit(None).cast("string").alias("target")))
