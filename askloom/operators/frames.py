@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,25 +21,37 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(RENAMES)
 
 
+@dataclass(frozen=True)
+class Role:
+    """What a role's column may be called, by whole name or ending; whether the test schema has it; and if the only column
+    that is left will do."""
+
+    names: tuple[str, ...]
+    ending: str | None = None
+    in_test: bool = True
+    last_one: bool = False
+
+    def fit(self, column: str, left: int) -> int | None:
+        """0 is best; None if the column can't be it."""
+        low = column.lower()
+        reasons = (low in self.names, self.ending is not None and low.endswith(self.ending), self.last_one and left == 1)
+        return reasons.index(True) if True in reasons else None
+
+
+RESOLVED = {"id": Role(("id",), ending="id"), "question": Role(ROLES["question"]), "answer": Role(ROLES["answer"], in_test=False), "language": Role(ROLES["language"], last_one=True)}
+
+
 def detect_roles(train: list[str], val: list[str], test: list[str]) -> dict[str, str]:
-    """The id, question, answer and language columns of three schemas, the first in train's order that fits: an id is
-    called so, the answer is missing from test, and the language is the only column left if none is called so."""
-    common = [c for c in train if c in val and c in test]
-    called = lambda role, names: [c for c in names if c.lower() in ROLES[role]]
-    ids = [c for c in common if c.lower() == "id"] or [c for c in common if c.lower().endswith("id")]
-    if not ids:
-        raise ValueError(f"no id column among {common}")
-    questions = [c for c in called("question", common) if c != ids[0]]
-    if not questions:
-        raise ValueError(f"no question column among {common}")
-    answers = called("answer", [c for c in train if c in val and c not in test])
-    if not answers:
-        raise ValueError(f"no answer column in {train} and {val} alone")
-    rest = [c for c in common if c not in (ids[0], questions[0])]
-    languages = called("language", rest) or (rest if len(rest) == 1 else [])
-    if not languages:
-        raise ValueError(f"no language column among {common}")
-    return {"id": ids[0], "question": questions[0], "answer": answers[0], "language": languages[0]}
+    """The id, question, answer and language columns of three schemas: for each role in turn the column that fits best of
+    those not yet taken, the first in train's order at ties. A role without a column raises an error."""
+    found: dict[str, str] = {}
+    for name, role in RESOLVED.items():
+        left = [c for c in train if c in val and (c in test) == role.in_test and c not in found.values()]
+        fits = [(fit, at) for at, c in enumerate(left) if (fit := role.fit(c, len(left))) is not None]
+        if not fits:
+            raise ValueError(f"no {name} column among {left}")
+        found[name] = left[min(fits)[1]]
+    return found
 
 
 def by_roles(df: DataFrame, roles: dict[str, str]) -> DataFrame:
