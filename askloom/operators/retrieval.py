@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askloom.operators.blocks import DENSE_ROWS, dense_scores, in_blocks, sparse_in_blocks
+from askloom.operators.blocks import DENSE_ROWS, dense_scores, in_blocks, sparse_in_blocks, sparse_pairs
 from askloom.storage import Rounds
 
 
@@ -91,16 +91,10 @@ def pairs_scored(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_
 
 
 def sparse_at_least(vectors: DataFrame, least: float, digits: int = 9) -> DataFrame:
-    """q, p, sim of all pairs of unit vectors (id, term, w) with a cosine of at least `least`, each with itself too. Terms
-    are ordered from rare to common; of a pair that reaches the bound the first shared term lies, on both sides, before
-    what is left has a norm below it. Such beginnings meet; then the whole vectors decide."""
-    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
-    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = vectors.join(df, "term").withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("rest") >= least - 1e-9)
-    begun = ahead.select("id", "term")
-    met = begun.withColumnRenamed("id", "q").join(begun.withColumnRenamed("id", "p"), "term").select("q", "p").distinct()
-    both = met.join(vectors.select(F.col("id").alias("q"), "term", F.col("w").alias("wq")), "q").join(vectors.select(F.col("id").alias("p"), "term", F.col("w").alias("wp")), ["p", "term"])
-    return both.groupBy("q", "p").agg(F.sum(F.col("wq") * F.col("wp")).alias("sim")).where(F.round("sim", digits) >= least)
+    """q, p, sim of all pairs of vectors (id, term, w >= 0) with a dot product of at least `least`, each with itself too. Two
+    blocks of rows meet in a task; pairs below the bound never leave it."""
+    held = Rounds(vectors.sparkSession).put("vectors", as_vectors(vectors, ["id"]))
+    return sparse_pairs(held, least, digits)
 
 
 def blend(dense: DataFrame, lexical: DataFrame, alpha: float) -> DataFrame:
