@@ -23,6 +23,7 @@ from askloom.operators import reports as T
 from askloom.operators import retrieval as R
 from askloom.operators import selection as S
 from askloom.operators.ledger import KEEP_DELTA
+from askloom.storage import Rounds
 
 DEFAULTS = {"mode": "retrieval", "select": "first", "k": 5, "vote_power": 1.0, "threshold": 0.5, "examples": 3, "words": "plain"}
 WORDS: dict[str, Callable[[Column], Column]] = {"plain": lambda t: X.words_plain(F.lower(t)), "unicode": X.words_unicode, "characters": X.char_ngrams}
@@ -47,7 +48,7 @@ def neighbours(config: dict, questions: DataFrame, pool: DataFrame) -> DataFrame
     held = R.unit_vectors(counts, R.idf(counts, texts.agg(F.count("*").alias("n"))), ["id", "subset"])
     some = lambda rows: held.join(rows.select("id").distinct(), "id", "left_semi")
     found = R.sparse_top_k(some(questions), some(pool), config["k"], "subset", drop_self=True)
-    return found.join(pool.select(F.col("id").alias("p"), "input", F.col("output").alias("answer")), "p")
+    return Rounds(found.sparkSession).put("found", found).join(pool.select(F.col("id").alias("p"), "input", F.col("output").alias("answer")), "p")
 
 
 def copied(config: dict, found: DataFrame) -> DataFrame:
