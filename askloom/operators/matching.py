@@ -1,11 +1,13 @@
-"""One-to-one assignment by auction, in DataFrames: bids and prices are tables and no group stands in one task.
+"""One-to-one assignment by auction: bids and prices are tables, and no group stands in one task.
 
-Bidders are the smaller side of a group. In a round every bidder without an object looks at its pairs less the objects'
-prices and bids for the best one as much as it beats the second best, plus a step; then each object goes to its highest
-bid, and who held it asks again. That is two aggregations a round: the two best pairs of a bidder, the best bid of an
-object. Prices only rise and start at zero, so an object that nobody holds costs nothing: that makes the result right
-for sides of unequal sizes (prices carried over from coarser steps, as in epsilon scaling, would not). With a step
-below resolution / bidders the total is the greatest possible up to the resolution of the similarities.
+Bidders are the smaller side of a group, dealt to blocks of at most PAIRS pairs. In a round every block with a bidder who
+has no object holds its own auction at the prices of the whole group: a bidder looks at its pairs less the objects'
+prices and bids for the best one as much as it beats the second best, plus a step; who held it asks again. Then each
+object goes to the highest bidder of all blocks, and the others ask again. A block's prices are never above the group's,
+so who wins is content with what it has, as if there were no blocks. Prices only rise and start at zero, so an object
+that nobody holds costs nothing: that makes the result right for sides of unequal sizes (prices carried over from coarser
+steps, as in epsilon scaling, would not). With a step below resolution / bidders the total is the greatest possible up to
+the resolution of the similarities.
 
 Staying alone is worth `alone`; a bidder whose best pair is worth no more stops asking, so missing pairs and groups with
 too few partners come to an end. Ties go to the smaller object and the smaller bidder. Of repeated pairs the best
@@ -14,55 +16,81 @@ counts; pairs with a null key or similarity go. Null groups are a group. Empty t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloom.storage import Rounds
 
 RESOLUTION = 1e-6
 ROUNDS_MAX = 100_000
+#: Pairs of a block, as long as a bidder has no more.
+PAIRS = 1 << 21
 
 
 def sided(pairs: DataFrame, group: str) -> DataFrame:
-    """g, b, o, sim, turned, step: bidders and objects; turned where p bids because it is the smaller side."""
+    """g, blk, b, o, sim, turned, step: bidders, with their block, and objects; turned where p bids because it is the smaller
+    side."""
     g = F.struct(F.col(group).alias("k"))  # a null group is a key like any other
     own = pairs.where("q IS NOT NULL AND p IS NOT NULL AND sim IS NOT NULL").groupBy(g.alias("g"), "q", "p").agg(F.max("sim").cast("double").alias("sim"))
     sizes = own.select("g", "q").distinct().groupBy("g").agg(F.count("*").alias("nq")).join(own.select("g", "p").distinct().groupBy("g").agg(F.count("*").alias("np")), "g")
+    sizes = sizes.join(own.groupBy("g").agg(F.ceil(F.count("*") / PAIRS).alias("blocks")), "g")
     own = own.join(sizes, "g").withColumn("turned", F.col("nq") > F.col("np"))
     pick = lambda a, b: F.when(F.col("turned"), F.col(a)).otherwise(F.col(b))
-    return own.select("g", pick("p", "q").alias("b"), pick("q", "p").alias("o"), "sim", "turned", (RESOLUTION / (1 + F.least("nq", "np"))).alias("step"))
+    own = own.withColumn("blk", F.pmod(F.xxhash64(pick("p", "q")), F.col("blocks")).cast("int"))
+    return own.select("g", "blk", pick("p", "q").alias("b"), pick("q", "p").alias("o"), "sim", "turned", (RESOLUTION / (1 + F.least("nq", "np"))).alias("step"))
 
 
-def bids(pairs: DataFrame, state: DataFrame, alone: float) -> DataFrame:
-    """g, b, o, bid of all bidders without an object; o and bid are null where staying alone is as good."""
-    asking = state.where("o IS NULL AND NOT out").select("g", "b")
-    prices = state.where("o IS NOT NULL").select("g", "o", "price")
-    offers = pairs.join(asking, ["g", "b"], "left_semi").join(prices, ["g", "o"], "left")
-    offers = offers.select("g", "b", "o", "step", F.coalesce("price", F.lit(0.0)).alias("price"), (F.col("sim") - F.coalesce("price", F.lit(0.0))).alias("net"))
-    offers = offers.withColumn("n", F.row_number().over(Window.partitionBy("g", "b").orderBy(F.desc("net"), "o"))).where("n <= 2")
-    first = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
-    two = offers.groupBy("g", "b").agg(first("o").alias("o"), first("price").alias("price"), first("net").alias("net"), first("step").alias("step"), F.max(F.when(F.col("n") == 2, F.col("net"))).alias("next"))
-    worth = F.col("net") > alone
-    bid = F.col("price") + F.col("net") - F.greatest(F.col("next"), F.lit(alone)) + F.col("step")
-    return two.select("g", "b", F.when(worth, F.col("o")).alias("o"), F.when(worth, bid).alias("bid"))
+def auction(pairs: pa.Table, state: pa.Table, alone: float) -> pa.Table:
+    """The state of a block's bidders after its auction, from its pairs and the state of the whole group's holders."""
+    pairs = pairs.sort_by([("b", "ascending"), ("o", "ascending")])
+    bidders, begin = np.unique(pairs["b"].to_numpy(), return_index=True)
+    objects, at = np.unique(pairs["o"].to_numpy(), return_inverse=True)
+    sims, ends, step = pairs["sim"].to_numpy(), np.append(begin[1:], pairs.num_rows), pairs["step"][0].as_py()
+    prices, holder, held = np.zeros(len(objects)), np.full(len(objects), -1), np.full(len(bidders), -1)
+    out = np.zeros(len(bidders), bool)
+    for b, o, price, gone in zip(*(state[c].to_pylist() for c in ("b", "o", "price", "out")), strict=True):
+        i = int(np.searchsorted(bidders, b))
+        own = i < len(bidders) and bidders[i] == b
+        if own:
+            out[i] = gone
+        if o is not None and (j := int(np.searchsorted(objects, o))) < len(objects) and objects[j] == o:
+            prices[j] = price
+            if own:
+                holder[j], held[i] = i, j
+    asking = deque(np.flatnonzero((held < 0) & ~out).tolist())
+    while asking:
+        i = asking.popleft()
+        some = at[begin[i] : ends[i]]
+        net = sims[begin[i] : ends[i]] - prices[some]
+        best = int(net.argmax())  # the smallest object of equal ones
+        worth = net[best]
+        if worth <= alone:
+            out[i] = True
+            continue
+        net[best] = alone
+        j = some[best]
+        prices[j] += worth - max(net.max(), alone) + step
+        if holder[j] >= 0:
+            held[holder[j]] = -1
+            asking.append(int(holder[j]))
+        holder[j], held[i] = i, j
+    none = held < 0
+    g = pairs["g"].take(pa.array(begin))
+    blk = pairs["blk"].take(pa.array(begin))
+    return pa.table({"g": g, "blk": blk, "b": pa.array(bidders), "o": pa.array(objects[held], mask=none), "price": pa.array(prices[held], mask=none), "out": pa.array(out)})
 
 
-def settled(state: DataFrame, made: DataFrame) -> DataFrame:
-    """The state after a round of bids: who won holds the object, who lost it to a higher bid holds none."""
-    best = made.where("o IS NOT NULL").groupBy("g", "o").agg(F.max(F.struct(F.col("bid").alias("bid"), (-F.col("b")).alias("nb"))).alias("x"))
-    best = best.select("g", "o", F.col("x.bid").alias("won_for"), (-F.col("x.nb")).alias("winner"))
-    taken = best.select("g", "o", F.lit(True).alias("taken"))
-    wins = best.select("g", F.col("winner").alias("b"), F.col("o").alias("won"), "won_for")
-    gone = made.where("o IS NULL").select("g", "b", F.lit(True).alias("gone"))
-    both = state.join(taken, ["g", "o"], "left").join(wins, ["g", "b"], "left").join(gone, ["g", "b"], "left")
-    kept = F.col("taken").isNull()
-    return both.select(
-        "g",
-        "b",
-        F.coalesce("won", F.when(kept, F.col("o"))).alias("o"),
-        F.coalesce("won_for", F.when(kept, F.col("price"))).alias("price"),
-        (F.col("out") | F.col("gone").isNotNull()).alias("out"),
-    )
+def settled(state: DataFrame) -> DataFrame:
+    """Of all who hold an object the one who pays most keeps it."""
+    best = state.where("o IS NOT NULL").groupBy("g", "o").agg(F.max(F.struct(F.col("price").alias("price"), (-F.col("b")).alias("nb"))).alias("x"))
+    best = best.select("g", "o", (-F.col("x.nb")).alias("winner"))
+    both = state.join(best, ["g", "o"], "left")
+    kept = F.col("winner") == F.col("b")
+    return both.select("g", "blk", "b", F.when(kept, F.col("o")).alias("o"), F.when(kept, F.col("price")).alias("price"), "out")
 
 
 def one_to_one(pairs: DataFrame, group: str, alone: float = -1.0) -> DataFrame:
@@ -70,13 +98,17 @@ def one_to_one(pairs: DataFrame, group: str, alone: float = -1.0) -> DataFrame:
     numbers as q and p."""
     store = Rounds(pairs.sparkSession)
     sides = store.put("pairs", sided(pairs, group))
-    state = sides.select("g", "b").distinct().select("g", "b", F.lit(None).cast(sides.schema["o"].dataType).alias("o"), F.lit(None).cast("double").alias("price"), F.lit(False).alias("out"))
+    state = sides.select("g", "blk", "b").distinct().select("g", "blk", "b", F.lit(None).cast(sides.schema["o"].dataType).alias("o"), F.lit(None).cast("double").alias("price"), F.lit(False).alias("out"))
     state = store.put("state", state)
+    kind = state.schema
     for _ in range(ROUNDS_MAX):
-        if state.where("o IS NULL AND NOT out").isEmpty():
+        busy = state.where("o IS NULL AND NOT out").select("g", "blk").distinct()
+        if busy.isEmpty():
             break
-        made = store.put("bids", bids(sides, state, alone))
-        state = store.put("state", settled(state, made))
+        seen = busy.join(state.withColumnRenamed("blk", "home"), "g").where("home = blk OR o IS NOT NULL").drop("home")
+        met = sides.join(busy, ["g", "blk"], "left_semi").groupBy("g", "blk").cogroup(seen.groupBy("g", "blk"))
+        made = met.applyInArrow(lambda left, right: auction(left, right, alone), kind)
+        state = store.put("state", settled(state.join(busy, ["g", "blk"], "left_anti").unionByName(made)))
     else:
         raise RuntimeError(f"the auction did not end in {ROUNDS_MAX} rounds")
     held = sides.join(state.where("o IS NOT NULL").select("g", "b", "o"), ["g", "b", "o"])

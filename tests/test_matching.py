@@ -46,3 +46,31 @@ def test_totals_are_greatest(spark):
             assert all(sims[x] == s for x, s in own.items())
             assert sum(s - alone for s in own.values()) == pytest.approx(best_total(sims, alone), abs=1e-5), (g, alone)
     assert A.one_to_one(pairs.where("false"), "grp").count() == 0
+
+
+@pytest.mark.parametrize("size", [1 << 21, 60])
+def test_rounds_do_not_grow_with_bids(spark, monkeypatch, size):
+    """Near equal similarities raise prices in many small steps: blocks settle them, not tables of a round each."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sims = np.round(0.5 + rng.random((24, 24)) / 1000, 6)
+    monkeypatch.setattr(A, "PAIRS", size)
+    monkeypatch.setattr(A, "ROUNDS_MAX", 3 if size > 60 else 200)
+    pairs = spark.createDataFrame([("g", i, j, float(sims[i, j])) for i in range(24) for j in range(24)], "grp string, q long, p long, sim double")
+    got = A.one_to_one(pairs, "grp").collect()
+    assert len({r.q for r in got}) == len({r.p for r in got}) == 24
+    # the dual bound: no assignment's total is above the sum of profits and prices, found by a plain auction
+    price, held = np.zeros(24), {}
+    free = list(range(24))
+    while free:
+        i = free.pop(0)
+        net = sims[i] - price
+        j = int(net.argmax())
+        second = np.delete(net, j).max()
+        price[j] += net[j] - second + 1e-8
+        if j in held:
+            free.append(held[j])
+        held[j] = i
+    bound = price.sum() + (sims - price).max(axis=1).sum()
+    assert sum(r.sim for r in got) == pytest.approx(bound, abs=2e-6)
