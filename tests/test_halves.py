@@ -49,3 +49,21 @@ def test_counts_inside_lists(spark):
     got = R.hashed_counts(docs, ["id"], X.words(F.col("t"))).collect()
     assert sorted((r.id, r.tf) for r in got) == [("a", 1), ("a", 2), ("d", 1)]
     assert len({r.term for r in got}) == 2
+
+
+def test_an_ngram_is_hashed_once_and_words_survive_a_full_table(monkeypatch):
+    from askloom.functions import vectors as V
+
+    asked = []
+    signs = V.HashedNgrams.signs
+    monkeypatch.setattr(V.HashedNgrams, "signs", lambda self, grams: asked.extend(grams) or signs(self, grams))
+    texts = ["running runner run", "runs running xyz", "other runner words", "other xyz Run"]
+    encode = V.HashedNgrams()
+    made = [encode(t.split()) for t in texts]
+    assert len(asked) == len(set(asked))
+    monkeypatch.setattr(V, "SEEN_MAX", 3)
+    small = V.HashedNgrams()
+    for t, rows in zip(texts, made, strict=True):
+        assert np.array_equal(small(t.split()), rows)
+    one = signs(encode, ["<run>", "<r", "ru", "un", "n>", "<ru", "run", "un>", "<run", "run>"]).sum(axis=0, dtype=float)
+    assert np.array_equal(made[0][2], one / np.sqrt(one @ one))
