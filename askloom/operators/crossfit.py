@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from askloom.operators import ranking as K
 from askloom.operators import retrieval as R
 from askloom.operators import selection as S
+from askloom.storage import Rounds
 
 
 def cross_fitted(pool: DataFrame, questions: DataFrame, words: Callable[[Column], Column], folds: int = 5, k: int = 10, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -25,26 +26,24 @@ def cross_fitted(pool: DataFrame, questions: DataFrame, words: Callable[[Column]
     and questions (id, subset, input). Ids of the two must differ."""
     own = pool.select("id", "subset", "input", K.question_fold(F.col("id"), folds).alias("own"), F.lit(True).alias("stored"))
     rows = own.unionByName(questions.select("id", "subset", "input", F.lit(-1).alias("own"), F.lit(False).alias("stored")))
-    counts = R.term_counts(rows.where("input IS NOT NULL"), ["id", "subset", "own", "stored"], words(F.col("input")))
+    counts = R.hashed_counts(rows.where("input IS NOT NULL"), ["id", "subset", "own", "stored"], words(F.col("input")))
     copies = counts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     seen = copies.where("stored AND own <> fold")
     sizes = pool.select(K.question_fold(F.col("id"), folds).alias("own")).groupBy("own").agg(F.count("*").alias("c"))
     every = sizes.agg(F.sum("c").alias("all"))
     n_docs = sizes.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold")).join(sizes.withColumnRenamed("own", "fold"), "fold", "left").crossJoin(every)  # a row a fold
     n_docs = n_docs.select("fold", (F.col("all") - F.coalesce("c", F.lit(0))).alias("n"))
-    weights = R.tfidf(copies, R.idf(seen, n_docs, min_df, ["fold"]), ["id", "subset", "own", "stored", "fold"], ["fold"])
-    weights = weights.withColumn("grp", F.concat_ws("|", "fold", "subset")).select("id", "grp", "term", "w", "own", "fold", "stored")
-    store = weights.where("stored").select("id", "grp", "term", "w")
-
-    def listed(asked: DataFrame) -> DataFrame:
-        found = R.sparse_top_k(asked.select("id", "grp", "term", "w"), store, k, "grp", drop_self=True)
-        return found.select(F.split("grp", r"\|")[0].cast("int").alias("fold"), "q", "p", "sim", "rank")
-
+    vectors = R.unit_vectors(copies, R.idf(seen, n_docs, min_df, ["fold"]), ["id", "subset", "own", "stored", "fold"], ["fold"])
+    vectors = vectors.withColumn("grp", F.concat_ws("|", "fold", "subset")).select("id", "grp", "terms", "w", "own", "fold", "stored")
+    vectors = Rounds(pool.sparkSession).put("vectors", vectors)  # once: both searches read them, and a search not asked for costs nothing
+    own = lambda x: x.select("id", "grp", "terms", "w")
+    store = own(vectors.where("stored"))
+    trained = R.sparse_top_k(own(vectors.where("stored AND own = fold")), store, k, "grp", drop_self=True, written=True)
     # a question of several groups has a list in each: the group is a part of its key
-    keyed = weights.withColumn("id", F.concat_ws("#", "fold", "id"))
-    evaluated = R.sparse_top_k(keyed.where("NOT stored").select("id", "grp", "term", "w"), store, k, "grp")
+    keyed = vectors.where("NOT stored").withColumn("id", F.concat_ws("#", "fold", "id"))
+    evaluated = R.sparse_top_k(own(keyed), store, k, "grp", written=True)
     per_fold = evaluated.select(F.split("q", "#")[0].cast("int").alias("fold"), F.expr("substring(q, instr(q, '#') + 1)").alias("q"), "p", "sim", "rank")
-    return listed(weights.where("stored AND own = fold")), per_fold
+    return trained.select(F.split("grp", r"\|")[0].cast("int").alias("fold"), "q", "p", "sim", "rank"), per_fold
 
 
 def fused(per_fold: DataFrame, k: int = 10) -> DataFrame:

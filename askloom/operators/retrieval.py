@@ -100,8 +100,10 @@ def unit_vectors(counts: DataFrame, idfs: DataFrame, keys: list[str], by: list[s
     return held.select(*keys, F.col("x.t").alias("terms"), F.transform("x", lambda x: x["raw"] / F.col("norm")).alias("w"))
 
 
-def _sparse_found(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool) -> DataFrame:
-    """Vectors are written once, as both sides are counted, dealt and read again."""
+def _sparse_found(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool, written: bool = False) -> DataFrame:
+    """Vectors are written once, unless they come from files, as both sides are counted, dealt and read again."""
+    if written:
+        return sparse_in_blocks(queries, pool, within, k, "id" if drop_self else None)
     store = Rounds(queries.sparkSession)
     own = lambda x: x if "terms" in x.columns else as_vectors(x, ["id", within])
     q = store.put("queries", own(queries))
@@ -109,10 +111,10 @@ def _sparse_found(queries: DataFrame, pool: DataFrame, k: int, within: str, drop
     return sparse_in_blocks(q, p, within, k, "id" if drop_self else None)
 
 
-def sparse_top_k(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool = False) -> DataFrame:
+def sparse_top_k(queries: DataFrame, pool: DataFrame, k: int, within: str, drop_self: bool = False, written: bool = False) -> DataFrame:
     """within, q, p, sim, rank: the k nearest with any shared term, in blocks; rows are (id, within, term, w >= 0) or vectors
-    (id, within, terms, w)."""
-    found = _sparse_found(queries, pool, k, within, drop_self).drop("scored")
+    (id, within, terms, w); written: vectors that are read from files."""
+    found = _sparse_found(queries, pool, k, within, drop_self, written).drop("scored")
     return top_k(found, k, ["q"], [F.desc("sim"), F.asc("p")])
 
 

@@ -73,3 +73,15 @@ def test_submission_files(spark, tmp_path):
             readers.submission(spark, str(tmp_path / name), ["ID", "a", "b"])
     with pytest.raises(FileNotFoundError):
         readers.submission(spark, str(tmp_path / "none.csv"), ["ID"])
+
+
+def test_lists_that_nobody_reads_are_not_prepared(spark, monkeypatch):
+    from askloom import storage
+
+    put, written = storage.Rounds.put, []
+    monkeypatch.setattr(storage.Rounds, "put", lambda self, name, df: written.append(name) or put(self, name, df))
+    kind = "id string, subset string, input string"
+    df = spark.createDataFrame([(f"p{i}", "s", f"a{i % 3} b{i % 4}") for i in range(12)], kind)
+    _, per_fold = C.cross_fitted(df, spark.createDataFrame([("e", "s", "a1 b2")], kind), X.words, 2, 2)
+    assert per_fold.count() == 4
+    assert sorted(written) == ["counts", "vectors"]
