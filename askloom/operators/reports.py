@@ -35,7 +35,7 @@ def full_report(scored: DataFrame, by: str, judge: str | None = None, digits: in
 def compare_tokenizers(rows: DataFrame, by: str, pred: str, ref: str, digits: int = 6) -> DataFrame:
     """by and a column per tokenizer with the weighted ROUGE of pred against ref, also for ALL."""
     cuts = {"whitespace": X.words, "unicode": X.words_unicode, "default": X.words_ascii, "default_stem": X.words_stemmed}
-    own = rows.select(by, *[c.alias(f"{k}_{side}") for k, cut in cuts.items() for side, c in (("p", cut(F.col(pred))), ("r", cut(F.col(ref))))])
+    own = rows.select(by, *[M.numbered(c).alias(f"{k}_{side}") for k, cut in cuts.items() for side, c in (("p", cut(F.col(pred))), ("r", cut(F.col(ref))))])
     score = lambda k: M.W_R1 * M.rouge1(F.col(f"{k}_p"), F.col(f"{k}_r")) + M.W_RL * M.rouge_l(F.col(f"{k}_p"), F.col(f"{k}_r"))
     scored = own.select(by, *[score(k).alias(k) for k in cuts])
     return with_all(scored, by, *[F.round(F.avg(k), digits).alias(k) for k in cuts])

@@ -67,3 +67,18 @@ def test_an_ngram_is_hashed_once_and_words_survive_a_full_table(monkeypatch):
         assert np.array_equal(small(t.split()), rows)
     one = signs(encode, ["<run>", "<r", "ru", "un", "n>", "<ru", "run", "un>", "<run", "run>"]).sum(axis=0, dtype=float)
     assert np.array_equal(made[0][2], one / np.sqrt(one @ one))
+
+
+def test_tokenizer_columns_send_numbers_and_not_strings(spark, monkeypatch):
+    from askloom.functions import metrics as M
+    from askloom.operators import reports as T
+
+    kinds = []
+    rouge1 = M.rouge1
+    df = spark.createDataFrame([("s", "a b a", "a a c"), ("t", "", "x"), ("t", None, "x"), ("t", "x y", "y x")], "g string, p string, r string")
+    monkeypatch.setattr(M, "rouge1", lambda a, b: kinds.append((a, b)) or rouge1(a, b))
+    got = {r.g: r for r in T.compare_tokenizers(df, "g", "p", "r").collect()}
+    assert got["s"].whitespace == pytest.approx(M.W_R1 * 2 / 3 + M.W_RL * 2 / 3, abs=1e-6)
+    assert got["t"].whitespace == pytest.approx((M.W_R1 + M.W_RL / 2) / 3, abs=1e-6)
+    assert len(kinds) == 4
+    assert df.select(M.numbered(X.words(F.col("p"))).alias("x")).schema["x"].dataType.simpleString() == "array<bigint>"
