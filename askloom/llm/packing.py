@@ -37,8 +37,9 @@ CUT_SENTENCE, CUT_INSIDE, PER_WINDOW = 24, 256, 16
 LEAST_POWER = 256
 STRETCH = 1 << 19
 SETTLED = 4 * LIMIT
-BATCH_BYTES = 2 << 20
-PARTS_MAX, WORDS_MAX = 600_000, 600_000
+BATCH_BYTES = 1 << 20
+#: Bounds of a worker's tables: an executor runs one worker a core beside its JVM.
+PARTS_MAX, WORDS_MAX = 100_000, 100_000
 RUN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|[_\x1c-\x1f])+")
 
 

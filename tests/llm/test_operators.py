@@ -98,6 +98,21 @@ def test_packing_is_a_round_trip(docs, nothing, rows):
     assert packing.pack(nothing).count() == 0
 
 
+def test_a_packers_tables_stay_small():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    encoder, library = packing.Encoder("word_bpe_49k.json"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    held = 0
+    for a in range(0, 160_000, 20_000):
+        text = " ".join(f"w{n}x" for n in range(a, a + 20_000))
+        ids, sizes = encoder.encode(pa.array([text]))
+        held = max(held, len(encoder.parts), len(encoder.words))
+    assert held <= 130_000  # an executor's workers had 600,000 parts each beside the JVM
+    assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, packing.END_ID] and sizes.tolist() == [len(ids)]
+
+
 def test_cuts_are_cheapest():
     rng = random.Random(2)
     for _ in range(30):
