@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 DENSE_ROWS, SPARSE_ROWS, STRIPE = 4096, 8192, 512
 #: Cells of a stripe of sparse scores, products of exact scores held at once.
 CELLS, PRODUCTS = 1 << 22, 1 << 19
+#: Products of rare terms, and the sums that they go to, held at once.
+MET = 1 << 16
+#: Groups of cells of a row for each of the k best; only their maxima are ordered.
+GROUPS = 8
 #: The least score in single precision above 0.
 TINY = np.float32(1e-45)
 #: Terms are dense columns, up to so many, where this share of all pairs has them on both sides.
@@ -74,15 +78,14 @@ class Met:
         begin, term, w = self.sides[1]
         tail = self.head[term] < 0
         order = np.argsort(term[tail], kind="stable")
-        ends = np.cumsum(np.where(self.head < 0, n_right, 0)).tolist()
-        edges = list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
-        rows = np.repeat(np.arange(right.num_rows), np.diff(begin))[tail][order]
-        weights = w[tail][order]
-        self.post = [rows[a:b] for a, b in edges], [weights[a:b] for a, b in edges]
         self.n_post = np.where(self.head < 0, n_right, 0)
+        self.first = np.cumsum(self.n_post) - self.n_post
+        self.post = np.repeat(np.arange(right.num_rows), np.diff(begin))[tail][order], w[tail][order]
         begin, term, w = self.sides[0]
         tail = self.head[term] < 0
-        self.asked = np.concatenate(([0], np.cumsum(tail)))[begin].tolist(), term[tail], w[tail]
+        self.asked = np.concatenate(([0], np.cumsum(tail)))[begin], term[tail], w[tail]
+        met = int(self.n_post[self.asked[1]].sum())
+        self.step = max(1, min(MET * self.rows[0] // max(met, 1), MET // max(right.num_rows, 1)))
         self.longest = max(int(np.diff(b).max(initial=1)) for b, _, _ in self.sides)
         self.slack = (self.longest + 8) * 2.0**-22
 
@@ -100,13 +103,21 @@ class Met:
         out = self.columns(0, a, b) @ self.dense
         begin, term, w = self.asked
         rows, weights = self.post
-        for at in range(a, b):  # a row's sums stay in the cache
-            mine = slice(begin[at], begin[at + 1])
-            terms = term[mine].tolist()
-            if terms:
-                products = np.repeat(w[mine], self.n_post[term[mine]])
-                products *= np.concatenate([weights[t] for t in terms])
-                out[at - a] += np.bincount(np.concatenate([rows[t] for t in terms]), products, self.rows[1])
+        for at in range(a, b, self.step):  # the sums of a few rows stay in the cache
+            to = min(at + self.step, b)
+            mine = slice(begin[at], begin[to])
+            runs = self.n_post[term[mine]]
+            stops = np.cumsum(runs)
+            if not len(runs):
+                continue
+            where = np.repeat(self.first[term[mine]] - stops + runs, runs)
+            where += np.arange(stops[-1])
+            products = np.repeat(w[mine], runs)
+            products *= weights[where]
+            cells = rows[where]
+            if to - at > 1:
+                cells += np.repeat(np.repeat(np.arange(to - at) * self.rows[1], np.diff(begin[at : to + 1])), runs)
+            out[at - a : to - a] += np.bincount(cells, products, (to - at) * self.rows[1]).reshape(to - at, -1)
         return out
 
     def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -143,6 +154,29 @@ def firsts(i: np.ndarray, j: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.n
     return i[keep], j[keep], sims[keep]
 
 
+def peaks(cells: np.ndarray, k: int) -> tuple[np.ndarray, int, int]:
+    """The maxima of n groups of each row's cells (g, g + n, ...) and the cells left over, n, and the cells of a group. The
+    k-th greatest of them is not above the row's k-th greatest cell."""
+    n = max(16, GROUPS * k)
+    size = cells.shape[1] // n
+    if size < 2:
+        return cells, 0, 0
+    return np.concatenate((cells[:, : n * size].reshape(len(cells), size, n).max(axis=1), cells[:, n * size :]), axis=1), n, size
+
+
+def reaching(cells: np.ndarray, found: tuple[np.ndarray, int, int], bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of at least their row's bound, by row; only groups whose maximum reaches it are looked at."""
+    tops, n, size = found
+    i, g = np.nonzero(tops >= bound[:, None])
+    whole = g < n
+    j = np.concatenate(((g[whole][:, None] + n * np.arange(size)).ravel(), g[~whole] + n * (size - 1) if n else g))
+    i = np.concatenate((np.repeat(i[whole], size), i[~whole]))
+    keep = cells[i, j] >= bound[i]
+    i, j = i[keep], j[keep]
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
+
+
 def sparse_best(left: pa.Table, right: pa.Table, k: int, differ: str | None, digits: int, both: bool = False) -> tuple:
     """Of each left row the right rows that can be among its k best by the dot product of (terms, w >= 0) lists, with their
     exact scores, and the number of pairs that were scored exactly: those whose score in single precision is not below the
@@ -156,28 +190,33 @@ def sparse_best(left: pa.Table, right: pa.Table, k: int, differ: str | None, dig
     stripe = max(1, CELLS // max(right.num_rows, 1))
     none = np.empty(0, int), np.empty(0, int), np.empty(0)
     found, scored = [none], 0
-    back, top = [none], np.zeros((k, right.num_rows), np.float32)  # of each right row the k best so far
+    back, top = [none], np.zeros((right.num_rows, k), np.float32)  # of each right row k of the best so far
     for a in range(0, left.num_rows, stripe):
         b = min(a + stripe, left.num_rows)
         out = met.scores(a, b)
         if barred:
             out[barred[0][a:b, None] == barred[1][None, :]] = 0.0
+        tops = peaks(out, k)
         bound = np.zeros(b - a, np.float32)
         if right.num_rows > k:
-            bound = least(np.partition(out, right.num_rows - k, axis=1)[:, right.num_rows - k])
-        i, j = np.nonzero(out >= np.maximum(bound, TINY)[:, None])
+            at = tops[0].shape[1] - k
+            bound = least(np.partition(tops[0], at, axis=1)[:, at])
+        i, j = reaching(out, tops, np.maximum(bound, TINY))
         scored += len(i)
         found.append(firsts(i + a, j, np.round(met.exact(i + a, j), digits), k))
         if both:
-            top = np.partition(np.concatenate((top, out)), b - a, axis=0)[b - a :]
-            i, j = np.nonzero(out >= np.maximum(least(top.min(axis=0)), TINY))
+            tops = peaks(out.T, k)
+            top = np.concatenate((top, tops[0]), axis=1)
+            top = np.partition(top, top.shape[1] - k, axis=1)[:, -k:]
+            j, i = reaching(out.T, tops, np.maximum(least(top.min(axis=1)), TINY))
             back.append((i + a, j, out[i, j]))
     there = *(np.concatenate([x[c] for x in found]) for c in range(3)), scored
     if not both:
         return there
     i, j, near = (np.concatenate([x[c] for x in back]) for c in range(3))
-    keep = near >= least(top.min(axis=0))[j]
-    i, j = i[keep], j[keep]
+    keep = near >= least(top.min(axis=1))[j]
+    order = np.argsort(i[keep], kind="stable")
+    i, j = i[keep][order], j[keep][order]
     return there, (*firsts(j, i, np.round(met.exact(i, j), digits), k), len(i))
 
 

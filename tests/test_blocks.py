@@ -60,3 +60,19 @@ def test_near_pairs_of_half_the_cells(spark, monkeypatch):
 def test_equal_nulls_do_not_bar():
     a, b = B.codes(pa.chunked_array([["x", None, "y"]]), pa.chunked_array([["y", None]]))
     assert (a[:, None] == b[None, :]).tolist() == [[False, False], [False, False], [True, False]]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_only_maxima_of_groups_are_ordered(monkeypatch, k):
+    wide = corpus(400, 300, 5)
+    left, right = table(wide[:200]), table(wide[200:])
+    right = right.set_column(0, "id", pa.array(np.arange(200, 400)))
+    monkeypatch.setattr(B, "CELLS", 200 * 90)
+    ordered, plain = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **b: ordered.append(x.size) or plain(x, *a, **b))
+    there, back = B.sparse_best(left, right, k, "id", 6, True)
+    sims = np.round(wide[:200] @ wide[200:].T, 6)
+    for got, cells in ((there, sims), (back, sims.T)):
+        want = [(a, b) for a in range(200) for b in sorted(range(200), key=lambda b: (-cells[a, b], b))[:k] if cells[a, b] > 0]
+        assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
+    assert sum(ordered) < 200 * 200  # it was every cell, twice
