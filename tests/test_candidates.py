@@ -47,7 +47,7 @@ def test_dots_of_pairs_by_terms_and_by_vectors(spark, monkeypatch):
     assert {(r.q, r.p, round(r.sim, 9)) for r in K.pair_dots(pairs, w, w).collect()} == {("a", "b", 0.4), ("a", "none", 0.0)}
 
 
-@pytest.mark.parametrize("name", ["mbr_medoid"])
+@pytest.mark.parametrize("name", ["fold_fusion", "mbr_medoid"])
 def test_both_lists_are_ranked_once(spark, monkeypatch, name):
     """What chooses among the lists reads them from files: none of its branches ranks them again."""
     from askloom.plans import candidate_queries as C
