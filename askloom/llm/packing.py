@@ -8,14 +8,16 @@ the best start of each window being the head of a monotone queue over the last `
 through in stretches of STRETCH tokens: windows well before the end of a stretch are settled, the rest goes into the
 next one, so memory stays bounded. Partitions are independent; no text is shuffled.
 
-Tokens come from the library, word by word: a text is cut at blanks (never inside a special token), a part into runs
-of letters, digits and other characters where none of the library's patterns reaches across, and each worker keeps
-bounded tables of the parts it has seen. Null and empty texts consist of the end id alone. Repeated rows and ids are
-packed as often as they occur.
+Tokens come from the library, word by word: a text is cut at blanks and between a letter and a following mark or digit
+(never inside a special token), a part into runs of letters, digits and other characters where none of the library's
+patterns reaches across. Each worker keeps bounded tables of the parts it has seen: when the newer table is full it
+becomes the older one, and parts that occur again move from there into the next, so frequent parts stay known. Null and
+empty texts consist of the end id alone. Repeated rows and ids are packed as often as they occur.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 import zlib
@@ -41,6 +43,15 @@ BATCH_BYTES = 1 << 20
 #: Bounds of a worker's tables: an executor runs one worker a core beside its JVM.
 PARTS_MAX, WORDS_MAX = 100_000, 100_000
 RUN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|[_\x1c-\x1f])+")
+#: By byte: A-Z as a-z and line ends as blanks; a-z; the second byte of a letter of Latin-1; ASCII marks and digits.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+LOWER[10] = 32
+LETTER, SECOND, MARK = np.zeros((3, 256), bool)
+LETTER[97:123] = True
+SECOND[128:192] = True
+SECOND[[0x97, 0xB7]] = False
+MARK[[*range(33, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 class Encoder:
@@ -59,8 +70,12 @@ class Encoder:
         self.ends[ends] = True
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}  # the public byte-level alphabet
-        self.clear()
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}  # the public byte-level alphabet
+        self.letters = "".join(letters[b] for b in range(256))
+        self.tokenize = self.library.model.tokenize
+        self.words: dict[str, list[int]] = {}
+        self.renew()
+        self.older = self.parts, self.flat, self.bounds
 
     @classmethod
     def of(cls, name: str) -> Encoder:
@@ -68,86 +83,115 @@ class Encoder:
             cls._made[name] = cls(name)
         return cls._made[name]
 
-    def clear(self) -> None:
+    def renew(self) -> None:
+        """New tables of parts; the first number stands for the end id."""
         self.parts: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.flat, self.bounds = array("I", [END_ID]), array("q", [0, 1])
+
+    def letters_only(self, word: str) -> list[int] | None:
+        """Ids of a run of letters; None if the library may part it."""
+        if word.isascii():
+            return [t.id for t in self.tokenize(word.lower())] if word.isalpha() else None
+        low = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
+        if not low.isalpha():  # some letters become a letter and a mark, which the library parts
+            return None
+        return [t.id for t in self.tokenize(codecs.charmap_decode(low.encode(), "strict", self.letters)[0])]
 
     def word(self, word: str) -> list[int]:
         """Ids of a run of one kind."""
         if word in self.words:
             return self.words[word]
-        if word.isascii():
-            low = spelled = word.lower()
-        else:
-            low = "".join(c.lower() for c in word)
-            spelled = "".join(map(self.letters.__getitem__, low.encode()))
-        if low.isalpha():  # some letters become a letter and a mark, which the library parts
-            ids = [t.id for t in self.library.model.tokenize(spelled)]
-        else:
+        ids = self.letters_only(word)
+        if ids is None:
             ids = self.library.encode(word, add_special_tokens=False).ids
         if len(word) <= 64:
             self.words[word] = ids
         return ids
 
-    def part(self, part: str) -> int:
-        """The number of a part; its ids go into the flat array if it is new."""
-        if part.isascii() and part.isalpha():
-            ids = self.word(part)
-        elif "'" in part or "<|" in part or not unicodedata.is_normalized("NFC", part):
-            ids = self.library.encode(part, add_special_tokens=False).ids
-        else:
-            ids = [i for w in RUN.findall(part) for i in self.word(w)]
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-        k = len(self.sizes) - 1
-        self.parts[part] = k
-        return k
+    def ids(self, part: str) -> list[int]:
+        if part.isascii() or unicodedata.is_normalized("NFC", part):
+            if part.isalpha() and (ids := self.letters_only(part)) is not None:
+                return ids
+            if "'" not in part and "<|" not in part and "İ" not in part:  # İ lowers to a letter and a mark, which joins marks behind it
+                return [i for w in RUN.findall(part) for i in self.word(w)]
+        return self.library.encode(part, add_special_tokens=False).ids
+
+    def learn(self, fresh: list[str]) -> None:
+        """Numbers parts that the newer tables lack; their ids come from the older ones if they are there."""
+        parts, flat, bounds = self.parts, self.flat, self.bounds
+        older, old_flat, old_bounds = self.older
+        for part in fresh:
+            k = older.get(part)
+            flat.extend(self.ids(part.strip(" ")) if k is None else old_flat[old_bounds[k] : old_bounds[k + 1]])
+            bounds.append(len(flat))
+            parts[part] = len(parts) + 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, END_ID after each, and the number of ids of each."""
-        if len(self.parts) > PARTS_MAX or len(self.words) > WORDS_MAX or len(self.flat) > 16 * PARTS_MAX:
-            self.clear()
-        if not self.sizes:  # the first number stands for the end id
-            self.starts.append(0)
-            self.sizes.append(1)
-            self.flat.append(END_ID)
-        texts = pc.fill_null(texts, "")
-        plain = pc.ascii_lower(texts)
-        marked = pc.match_substring(texts, "<|")  # the library looks for special tokens before it lowers
-        lists = pc.split_pattern(pc.replace_substring(pc.if_else(marked, texts, plain), "\n", " "), " ")
-        offsets = lists.offsets.to_numpy()
-        coded = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
-        get = self.parts.get
-        numbers = np.array([self.part(x) if (n := get(x)) is None else n for x in coded.dictionary.to_pylist()], np.int64)
-        counts = np.diff(offsets)
+        if len(self.parts) > PARTS_MAX or len(self.flat) > 16 * PARTS_MAX:
+            self.older = self.parts, self.flat, self.bounds
+            self.renew()
+        if len(self.words) > WORDS_MAX:
+            self.words.clear()
+        coded, counts = cut(pc.fill_null(texts, ""))
+        held = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([x for x in held if x not in self.parts])
+        numbers = np.array([self.parts[x] for x in held], np.int64)
         stops = np.cumsum(counts + 1)
         which = np.zeros(int(stops[-1]) if len(stops) else 0, np.int64)
         inner = np.ones(len(which), bool)
         inner[stops - 1] = False
         which[inner] = numbers[coded.indices.to_numpy()]
-        sizes = np.frombuffer(self.sizes, np.int64)[which]
+        starts = np.array(self.bounds, np.int64)
+        sizes = np.diff(starts)[which]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat((np.frombuffer(self.starts, np.int64)[which] - (ends - sizes)).astype(np.int32), sizes)  # a batch has far less than 2 ** 31 ids
+        at = np.repeat((starts[which] - (ends - sizes)).astype(np.int32), sizes)  # a batch has far less than 2 ** 31 ids
         at += np.arange(total, dtype=np.int32)
         return np.frombuffer(self.flat, np.uint32)[at], np.diff(ends[stops - 1], prepend=0)
 
 
+def cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The parts of all texts end to end, each with the blank before it, A-Z lowered, and the number of parts of each text.
+
+    A part begins at every blank and line end, and where an ASCII mark or digit follows a letter of Latin-1: a run of
+    letters ends there in the library too. Texts with "<|" are neither lowered nor cut inside words, as the library looks
+    for special tokens before it lowers.
+    """
+    data = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    low = LOWER[data]
+    letter = LETTER[low]
+    letter[1:] |= (low[:-1] == 0xC3) & SECOND[low[1:]]
+    begins = low == 32
+    begins[1:] |= letter[:-1] & MARK[low[1:]]
+    for i in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist():
+        own = slice(ends[i - 1] if i else 0, ends[i])
+        low[own] = np.where(data[own] == 10, 32, data[own])
+        begins[own] = low[own] == 32
+    begins = np.append(begins, True)
+    begins[ends] = True
+    begins[0] = True
+    places = np.flatnonzero(begins).astype(np.int32)  # a batch has far less than 2 ** 31 bytes
+    parts = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(low))
+    return parts.dictionary_encode(), np.diff(np.searchsorted(places, ends), prepend=0)
+
+
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Where windows may end, rising, and the penalty of each: nothing at a document's end."""
-    sentence = np.flatnonzero(ends[ids]) + 1
-    places = np.union1d(sentence, doc_ends)
+    sentence, document = np.zeros((2, len(ids) + 1), bool)
+    sentence[1:] = ends[ids]
+    document[doc_ends] = True
+    held = sentence | document
+    places = np.flatnonzero(held)
     gaps = np.diff(places, prepend=0)
     step = limit // 4
-    extra = [np.arange(p - g + step, p, step) for p, g in zip(places[gaps > step], gaps[gaps > step], strict=True)]
-    tail = int(places[-1]) if len(places) else 0
-    extra.append(np.arange(tail + step, len(ids) + 1, step))
-    places = np.union1d(places, np.concatenate(extra))
-    cost = np.full(len(places), CUT_INSIDE, np.int64)
-    cost[np.isin(places, sentence, assume_unique=True)] = CUT_SENTENCE
-    cost[np.isin(places, doc_ends)] = 0
+    for p, g in zip(places[gaps > step].tolist(), gaps[gaps > step].tolist(), strict=True):
+        held[p - g + step : p : step] = True
+    held[(int(places[-1]) if len(places) else 0) + step :: step] = True
+    places = np.flatnonzero(held)
+    cost = np.where(sentence[places], CUT_SENTENCE, CUT_INSIDE)
+    cost[document[places]] = 0
     return places, cost
 
 

@@ -113,6 +113,54 @@ def test_a_packers_tables_stay_small():
     assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, packing.END_ID] and sizes.tolist() == [len(ids)]
 
 
+def test_frequent_words_are_encoded_once(monkeypatch):
+    import pyarrow as pa
+    import tokenizers
+    import public_tokenizers
+
+    asked, real = Counter(), tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+    class Model:
+        def tokenize(self, word):
+            asked[word] += 1
+            return real.model.tokenize(word)
+
+    class Library:
+        model, get_vocab = Model(), real.get_vocab
+
+        def from_file(path):
+            return Library()
+
+        def encode(self, word, **more):
+            asked[word] += 1
+            return real.encode(word, **more)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Library)
+    monkeypatch.setattr(packing, "PARTS_MAX", 100)
+    monkeypatch.setattr(packing, "WORDS_MAX", 100)
+    encoder = packing.Encoder("word_bpe_49k.json")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    often = [f"éven{a}{b}" for a in letters[:2] for b in letters]
+    for n in range(20):
+        rare = [f"rare{letters[n]}{a}{b}" for a in letters[:3] for b in letters]
+        text = " ".join(f"{r} {often[k % 52]}{'.' * (k % 2)} {often[k % 52]}," for k, r in enumerate(rare))
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == [*real.encode(text, add_special_tokens=False).ids, packing.END_ID]
+    assert sum(k for w, k in asked.items() if "ven" in w) <= len(often)  # full tables were dropped whole, with the frequent words
+
+
+def test_ids_at_the_packers_cuts_are_the_librarys():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder, library = packing.Encoder("word_bpe_49k.json"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["É.x'S", "İ. theİ|>", "a<|endoftext|>.b C", "e\u0301.=\u0338", "×.÷,ß-ÿ9", None, "", "\n.A\n\nb2c ", "<|ENDOFTEXT|>", ".'s ('t"]
+    ids, sizes = encoder.encode(pa.array(["no", *texts]).slice(1))
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_cuts_are_cheapest():
     rng = random.Random(2)
     for _ in range(30):
