@@ -166,8 +166,7 @@ def skip_paired(spark, d):
 @query("one_to_one")
 def one_to_one(spark, d):
     v = vectors(spark, d)
-    pairs = R.dense_top_k(v.where("id % 2 = 0"), v.where("id % 2 = 1"), None, "label")
-    return A.one_to_one(pairs, "label")
+    return A.one_to_one_vectors(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "label")
 
 
 ANS = f"{SELF}, nb AS (SELECT q, p, sim, rank, 'a' || (p % 7) AS answer FROM self)"

@@ -74,3 +74,35 @@ def test_rounds_do_not_grow_with_bids(spark, monkeypatch, size):
         held[j] = i
     bound = price.sum() + (sims - price).max(axis=1).sum()
     assert sum(r.sim for r in got) == pytest.approx(bound, abs=2e-6)
+
+
+@pytest.mark.parametrize(("bidders", "mind"), [(1 << 15, 128), (7, 3)])
+def test_vectors_are_matched_without_rows_of_pairs(spark, monkeypatch, bidders, mind):
+    """The same totals as over pairs; no table that is written has as many rows as there are pairs."""
+    import numpy as np
+
+    from askloom.operators import retrieval as R
+    from askloom.storage import Rounds
+
+    monkeypatch.setattr(A, "BIDDERS", bidders)
+    monkeypatch.setattr(A, "MIND", mind)
+    rng, written, put = np.random.default_rng(2), [], Rounds.put
+    made = lambda ids, g: [(g, int(i), rng.normal(size=4).tolist()) for i in ids]
+    kind = "g string, id long, vec array<double>"
+    left = spark.createDataFrame([*made(range(20), "a"), *made([3, 3], "a"), *made(range(50, 75), "b"), *made([90], None), *made([91], "c"), ("a", 20, None)], kind)
+    right = spark.createDataFrame([*made(range(100, 126), "a"), *made([101], "a"), *made(range(150, 162), "b"), *made([190], None), *made([192], "d")], kind)
+    want = A.one_to_one(R.dense_top_k(left, right, None, "g"), "g").collect()
+
+    def counted(self, name, df):
+        out = put(self, name, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Rounds, "put", counted)
+    got = A.one_to_one_vectors(left, right, "g").collect()
+    sims = {(r.q, r.p): r.sim for r in R.dense_top_k(left, right, None, "g").groupBy("q", "p").agg({"sim": "max"}).toDF("q", "p", "sim").collect()}
+    assert len({r.q for r in got}) == len({r.p for r in got}) == len(got) == len(want) == 33
+    assert all(sims[r.q, r.p] == pytest.approx(r.sim, abs=1e-9) for r in got)
+    assert sum(r.sim for r in got) == pytest.approx(sum(r.sim for r in want), abs=2e-5)
+    assert max(written) <= left.count() + right.count()
+    assert A.one_to_one_vectors(left.where("false"), right, "g").count() == 0
