@@ -77,3 +77,28 @@ def test_floors_leave_out_only_what_cannot_be_listed():
     assert not len(high[0][0]) and not len(high[1][0])
     kth = B.sparse_best(left, right, 3, "id", 6, True, (plain[0][2][2::3], np.zeros(40)))
     assert [x.tolist() for x in kth[0][:3]] == [x.tolist() for x in plain[0][:3]]  # a tie with the floor stays
+
+
+def test_texts_are_attached_in_tasks(spark, monkeypatch):
+    """Both texts of a pair come from files; null keys, unknown keys and groups without files give null."""
+    monkeypatch.setattr(B, "SPARSE_ROWS", 4)
+    rows = [(f"q{i}", "ab"[i % 2], None if i == 4 else f"text {i}") for i in range(40)]
+    texts = FD.filed(spark.createDataFrame(rows, "id string, g string, t string"), "g")
+    pairs = [(g, f"q{i}", f"q{j}") for i in range(40) for j in range(40) for g in "ab"[i % 2] if i % 2 == j % 2] + [("a", "q0", None), ("a", "none", "q2"), ("z", "q0", "q2"), (None, "q0", "q2")]
+    got = FD.attached(spark.createDataFrame(pairs, "g string, q string, p string"), "g", ("q", texts, {"t": "x"}), ("p", texts, {"t": "y"}))
+    held = {(g, i): t for i, g, t in rows}
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(((g, q, p, held.get((g, q)), held.get((g, p))) for g, q, p in pairs), key=key)
+
+
+@pytest.mark.parametrize("name", ["vote_answer", "agree_pick", "mbr_medoid", "pool_weighted"])
+def test_lists_do_not_carry_texts_through_shuffles(spark, monkeypatch, name):
+    """No table that is joined or grouped holds an answer: they are read from files after the lists are cut."""
+    import __spark_entry__ as entry
+    from askloom.plans import candidate_queries as C
+
+    asked = []
+    plain = C.attached
+    monkeypatch.setattr(C, "attached", lambda pairs, *a: asked.append(pairs) or plain(pairs, *a))
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked and not {"answer", "own", "other", "output"} & set(asked[0].columns)
