@@ -102,3 +102,24 @@ def test_lists_do_not_carry_texts_through_shuffles(spark, monkeypatch, name):
     monkeypatch.setattr(C, "attached", lambda pairs, *a: asked.append(pairs) or plain(pairs, *a))
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert asked and not {"answer", "own", "other", "output"} & set(asked[0].columns)
+
+
+def test_candidates_features_are_joined_by_ids(spark, monkeypatch):
+    """Pairs meet vectors and texts in tasks; what is shuffled for a candidate has numbers and ids only."""
+    import __spark_entry__ as entry
+    from askloom.operators import ranking as K
+
+    asked = []
+    plain = K.attached
+    monkeypatch.setattr(K, "attached", lambda pairs, *a: asked.append(pairs) or plain(pairs, *a))
+    out = entry.queries()["candidate_features"](spark, "/root/testdata/sf0.001")
+    assert out.count() == out.select("q", "answer").distinct().count() > 0
+    assert len(asked) == 3 and not any({"answer", "own_answer", "terms", "w", "_qt"} & set(x.columns) for x in asked)
+
+
+def test_equal_terms_of_groups_have_their_own_fit(spark):
+    docs = spark.createDataFrame([("a", "x", "u v"), ("b", "x", "u"), ("c", "y", "u u"), ("d", "y", "w"), ("e", "y", "w u")], "id string, subset string, t string")
+    files = R.tfidf_files(docs, "subset", X.words(F.col("t")), by_group=True)
+    idf = {round(r.idf, 9) for r in spark.read.parquet(files.idf).collect()}
+    assert idf == {round(math.log((1 + n) / (1 + df)) + 1, 9) for n, df in ((2, 2), (2, 1), (3, 2))}
+    assert files.sizes.count() == 2
