@@ -123,3 +123,15 @@ def test_equal_terms_of_groups_have_their_own_fit(spark):
     idf = {round(r.idf, 9) for r in spark.read.parquet(files.idf).collect()}
     assert idf == {round(math.log((1 + n) / (1 + df)) + 1, 9) for n, df in ((2, 2), (2, 1), (3, 2))}
     assert files.sizes.count() == 2
+
+
+def test_near_copies_are_compared_in_their_subset_only(spark, monkeypatch):
+    """Echo features read blocks of answers from files; before, each was shuffled once for each block of the whole table."""
+    from askloom.operators import ranking as K
+
+    monkeypatch.setattr(B, "SPARSE_ROWS", 3)
+    rows = [(f"q{i:02d}", "st"[i % 2], ["a b c d e", "a b c d f", "x y", None][i % 4] if i < 16 else f"lone{i}") for i in range(30)]
+    pool = spark.createDataFrame(rows, "id string, subset string, output string")
+    out = K.echo_features(pool.selectExpr("id AS q", "output AS answer").where("output IS NOT NULL"), pool, X.words_plain(F.col("t")))
+    assert "CoGroups" not in out._jdf.queryExecution().toString()
+    assert {r.q: round(math.exp(r.l_echo)) for r in out.collect()} == {i: 4 if int(i[1:]) < 16 else 1 for i, _, t in rows if t}
