@@ -135,3 +135,18 @@ def test_near_copies_are_compared_in_their_subset_only(spark, monkeypatch):
     out = K.echo_features(pool.selectExpr("id AS q", "output AS answer").where("output IS NOT NULL"), pool, X.words_plain(F.col("t")))
     assert "CoGroups" not in out._jdf.queryExecution().toString()
     assert {r.q: round(math.exp(r.l_echo)) for r in out.collect()} == {i: 4 if int(i[1:]) < 16 else 1 for i, _, t in rows if t}
+
+
+def test_reranking_reads_texts_from_files(spark, monkeypatch):
+    from askloom.functions import vectors as V
+    from askloom.operators import rerank as K
+
+    monkeypatch.setattr(B, "SPARSE_ROWS", 3)
+    answers = spark.createDataFrame([(f"q{i}", "g", f"word{i % 3} word{i % 5} tail") for i in range(12)], "id string, subset string, output string")
+    cands = spark.createDataFrame([(f"q{i}", "g", k, f"q{(i + 2 + 3 * k) % 12}") for i in range(12) for k in (0, 1)], "q string, subset string, k int, aid string")
+    pools = spark.createDataFrame([(f"q{i}", f"q{(i + s) % 12}") for i in range(11) for s in (1, 4)], "q string, p string")
+    got = K.rerank_files(cands, pools, FD.filed(answers, "subset"), "output", V.bert_scorer())
+    texted = cands.join(answers.selectExpr("id AS aid", "output AS cand"), "aid").select("q", "k", "cand")
+    want = K.rerank(texted, pools, answers.selectExpr("id AS p", "output AS answer"), V.bert_scorer())
+    assert sorted((r.q, r.k, r.cand, r.score) for r in got.where("q <> 'q11'").collect()) == sorted((r.q, r.k, r.cand, r.score) for r in want.where("q <> 'q11'").collect())
+    assert got.where("q = 'q11' AND score IS NULL AND k = 0").count() == 1
